@@ -1,0 +1,189 @@
+"""Exact percentiles per group by distributed multi-select, and digests that can be merged.
+
+Multi-select: every batch of a partition proposes the median of its values that are still in
+question, with their number as weight; the weighted median of the proposals becomes the pivot; the
+values below, equal to and above the pivot are counted; the ruled-out range is discarded. This is
+repeated for all groups and ranks at once until each is found. A pass counts for one pivot and at
+the same time takes the proposals for both ranges that may remain, so a round is one pass without a
+shuffle of values: what is exchanged is a row for each partition and open rank. A pivot discards a
+quarter of the values at least, so the rounds grow with the logarithm of the rows. Ranges that hold
+at most ``small`` values are read out and sorted within their group.
+
+The percentiles are exact: error 0 in rank and value. :func:`digest` gives summaries of fixed
+relative error that may be added up over days or partitions; see :func:`digest_percentiles`.
+"""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Iterator
+from dataclasses import dataclass, field
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from weftline.session import cut
+
+_PASS = "target int, below bigint, equal bigint, above bigint, lower double, upper double"
+
+
+@dataclass
+class _Targets:
+    """Open ranks: of group ``gid`` the value of 0-based ``rank`` among those in (lo, hi)."""
+
+    gid: np.ndarray
+    rank: np.ndarray
+    lo: np.ndarray
+    hi: np.ndarray
+    pivot: np.ndarray
+    left: np.ndarray
+    value: np.ndarray = field(default=None)
+
+
+def _slices(gids: np.ndarray, values: np.ndarray, t: tuple) -> Iterator[tuple[int, np.ndarray]]:
+    """Values still in question of each target in a batch sorted by group and value."""
+    gid, lo, hi = t
+    first, last = np.searchsorted(gids, gid, "left"), np.searchsorted(gids, gid, "right")
+    for k in np.flatnonzero(last > first):
+        v = values[first[k] : last[k]]
+        yield int(k), v[np.searchsorted(v, lo[k], "right") : np.searchsorted(v, hi[k], "left")]
+
+
+def _sorted_batches(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    for b in batches:
+        g, v = b["gid"].to_numpy(), b["value"].to_numpy()
+        if len(g) > 1 and not (np.diff(g) >= 0).all():
+            o = np.lexsort((v, g))
+            g, v = g[o], v[o]
+        yield g, v
+
+
+def _round(data: DataFrame, t: _Targets, open_: np.ndarray) -> dict[int, tuple]:
+    """One pass: (below, equal, above, next pivot below, next pivot above) of each open target."""
+    gid, lo, hi, pivot = t.gid[open_], t.lo[open_], t.hi[open_], t.pivot[open_]
+
+    def count(batches):
+        for g, v in _sorted_batches(batches):
+            out = []
+            for k, s in _slices(g, v, (gid, lo, hi)):
+                a, b = np.searchsorted(s, pivot[k], "left"), np.searchsorted(s, pivot[k], "right")
+                if len(s):
+                    low, up = s[:a], s[b:]
+                    out.append((k, a, b - a, len(up), low[len(low) // 2] if a else None, up[len(up) // 2] if len(up) else None))
+            yield pd.DataFrame(out, columns=["target", "below", "equal", "above", "lower", "upper"]).astype({"lower": "float64", "upper": "float64"})
+
+    rows = data.mapInPandas(count, _PASS)
+    weight = lambda v, n: F.expr(f"percentile(if(isnan({v}), null, {v}), 0.5, {n})")
+    agg = rows.groupBy("target").agg(F.sum("below").alias("b"), F.sum("equal").alias("e"), F.sum("above").alias("a"), weight("lower", "below").alias("lower"), weight("upper", "above").alias("upper"))
+    return {int(open_[r.target]): (r.b, r.e, r.a, r.lower, r.upper) for r in agg.collect()}  # at most the open ranks
+
+
+def _read_out(data: DataFrame, t: _Targets, few: np.ndarray) -> None:
+    """Find the targets whose range is small: their values are sorted within the target."""
+    gid, lo, hi = t.gid[few], t.lo[few], t.hi[few]
+
+    def emit(batches):
+        for g, v in _sorted_batches(batches):
+            parts = [(k, s) for k, s in _slices(g, v, (gid, lo, hi)) if len(s)]
+            if parts:
+                yield pd.DataFrame({"target": np.concatenate([np.full(len(s), k, np.int32) for k, s in parts]), "value": np.concatenate([s for _, s in parts])})
+
+    spark = data.sparkSession
+    ranks = spark.createDataFrame(pd.DataFrame({"target": np.arange(len(few), dtype=np.int32), "rank": t.rank[few].astype(np.int32)}))
+    held = data.mapInPandas(emit, "target int, value double").groupBy("target").agg(F.sort_array(F.collect_list("value")).alias("v"))
+    for r in held.join(F.broadcast(ranks), "target").select("target", F.expr("get(v, rank)").alias("value")).collect():
+        t.value[few[r.target]] = r.value
+
+
+def select_ranks(data: DataFrame, wanted: dict[int, list[int]], counts: dict[int, int], small: int = 4096) -> dict[tuple[int, int], float]:
+    """Values of the 0-based ranks ``wanted`` of each group of ``data`` (gid, value), exactly."""
+    pairs = [(g, r) for g, rs in sorted(wanted.items()) for r in sorted(set(rs))]
+    n = len(pairs)
+    if not n:
+        return {}
+    gid, rank = np.array([p[0] for p in pairs], np.int64), np.array([p[1] for p in pairs], np.int64)
+    t = _Targets(gid, rank.copy(), np.full(n, -np.inf), np.full(n, np.inf), np.full(n, -np.inf), np.array([counts[int(g)] for g in gid]), np.full(n, np.nan))
+    while len(open_ := np.flatnonzero(np.isnan(t.value) & (t.left > small))):
+        for k, (below, equal, above, lower, upper) in _round(data, t, open_).items():
+            if t.rank[k] < below:
+                t.hi[k], t.left[k], t.pivot[k] = t.pivot[k], below, lower
+            elif t.rank[k] < below + equal:
+                t.value[k] = t.pivot[k]
+            else:
+                t.rank[k] -= below + equal
+                t.lo[k], t.left[k], t.pivot[k] = t.pivot[k], above, upper
+    few = np.flatnonzero(np.isnan(t.value))
+    if len(few):
+        _read_out(data, t, few)
+    return {p: float(v) for p, v in zip(pairs, t.value)}
+
+
+def percentiles(df: DataFrame, by: list[str], value: str, quantiles: dict[str, float], small: int = 4096, groups_a_run: int = 50_000) -> DataFrame:
+    """Exact percentiles of ``value`` per group: the group's columns, n and one column a quantile.
+
+    ``quantiles`` maps column names to shares; between two ranks the value is interpolated. Null,
+    NaN and infinite values are left out, and a group without values gives no row; null groups are
+    groups. An empty table gives no rows. Runs take ``groups_a_run`` groups at a time, so what the
+    driver holds is bounded; all groups are done.
+    """
+    spark = df.sparkSession
+    rows = df.select(*by, F.col(value).cast("double").alias("value")).where(F.col("value").isNotNull() & ~F.isnan("value") & (F.abs("value") < float("inf")))
+    groups = rows.groupBy(*by).agg(F.count("*").alias("n"))
+    total = groups.count()
+    runs = max(1, -(-total // groups_a_run))
+    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in by)
+    schema = f"{kinds}, n bigint, " + ", ".join(f"`{q}` double" for q in quantiles)
+    done = []
+    for run in range(runs):
+        part = F.pmod(F.xxhash64(*by), F.lit(runs)) == run
+        names = groups.where(part).orderBy(*by).collect()
+        if not names:
+            continue
+        ids = spark.createDataFrame([(*r[: len(by)], i) for i, r in enumerate(names)], f"{kinds}, gid int").withColumnsRenamed({c: f"g_{c}" for c in by})
+        same = [F.col(c).eqNullSafe(F.col(f"g_{c}")) for c in by]
+        on = same[0]
+        for c in same[1:]:
+            on = on & c
+        data = cut(rows.join(F.broadcast(ids), on).select("gid", "value").sortWithinPartitions("gid", "value"))
+        counts = {i: r["n"] for i, r in enumerate(names)}
+        spots = {i: {q: share * (n - 1) for q, share in quantiles.items()} for i, n in counts.items()}
+        wanted = {i: [x for p in s.values() for x in (math.floor(p), math.ceil(p))] for i, s in spots.items()}
+        at = select_ranks(data, wanted, counts, small)
+        for i, r in enumerate(names):
+            low = {q: at[i, math.floor(p)] for q, p in spots[i].items()}
+            done.append((*r[: len(by)], r["n"], *(low[q] + (at[i, math.ceil(p)] - low[q]) * (p - math.floor(p)) for q, p in spots[i].items())))
+    return spark.createDataFrame(done, schema)
+
+
+def digest(df: DataFrame, by: list[str], value: str, error: float = 0.005) -> DataFrame:
+    """Mergeable summary: (by, bin, n). Values of a bin differ by at most 2 * ``error`` of themselves.
+
+    Bin b > -2147483648 holds ((1+e)/(1-e)) ** (b-1) < value <= ((1+e)/(1-e)) ** b; zero has the
+    bin -2147483648. Null, NaN, infinite and negative values are left out. Adding the n of equal
+    bins of two digests gives the digest of their union, exactly.
+    """
+    v = F.col(value).cast("double")
+    growth = math.log((1 + error) / (1 - error))
+    fine = v.isNotNull() & ~F.isnan(v) & (v >= 0) & (v < float("inf"))
+    bin_ = F.when(v == 0, F.lit(-(2**31))).otherwise(F.ceil(F.log(F.when(v > 0, v)) / growth).cast("int"))
+    return df.where(fine).groupBy(*by, bin_.alias("bin")).agg(F.count("*").alias("n"))
+
+
+def merge_digests(digests: DataFrame, by: list[str]) -> DataFrame:
+    """Digest of the groups ``by`` from digests of finer groups."""
+    return digests.groupBy(*by, "bin").agg(F.sum("n").alias("n"))
+
+
+def digest_percentiles(digests: DataFrame, by: list[str], quantiles: dict[str, float], error: float = 0.005) -> DataFrame:
+    """Percentiles from a digest: each is within ``error`` times the value of rank floor(q*(n-1))."""
+    growth = math.log((1 + error) / (1 - error))
+    bins = digests.groupBy(*by).agg(F.sum("n").alias("n"), F.sort_array(F.collect_list(F.struct("bin", "n"))).alias("bins"))
+    step = lambda acc, x: F.struct((acc["c"] + x["n"]).alias("c"), F.when((acc["c"] <= F.col("want")) & (acc["c"] + x["n"] > F.col("want")), x["bin"]).otherwise(acc["bin"]).alias("bin"))
+    out = bins
+    for q, share in quantiles.items():
+        out = out.withColumn("want", F.floor(F.lit(share) * (F.col("n") - 1)))
+        hit = F.aggregate("bins", F.struct(F.lit(0).cast("bigint").alias("c"), F.lit(None).cast("int").alias("bin")), step)["bin"]
+        out = out.withColumn(q, F.when(hit == -(2**31), F.lit(0.0)).otherwise(F.exp(hit * growth) * (1 - error)))
+    return out.drop("want", "bins")
