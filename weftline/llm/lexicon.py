@@ -17,7 +17,7 @@ from __future__ import annotations
 import bisect
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -277,14 +277,14 @@ _NO_TITLE = re.compile(r"^\W*(?:illus\b|\d+[a-z]?\s*/\s*\d+|(?:\{[^}]*\})+\s*:)"
 _STRAY = re.compile(r"^(?:\d+x?|.)$")
 
 
-def title_candidates(lines: list[str] | None, known: frozenset[str], starts: list[str]) -> list[str]:
+def title_candidates(lines: Sequence[str] | None, known: frozenset[str], starts: list[str]) -> list[str]:
     """Normalized forms of the lines that may be a title, alone and with the line that follows.
 
     Lines of ``known`` (normalized type lines), beginnings of one of the sorted ``starts`` (rules
     text), artists, numbers and costs are no titles.
     """
     usable: list[str | None] = []
-    for line in lines or ():
+    for line in () if lines is None else lines:
         if not line or _NO_TITLE.match(line):
             usable.append(None)
             continue
