@@ -142,7 +142,10 @@ def exact_then_like(df: DataFrame, column: str, norm: str) -> DataFrame:
     return hit.join(F.broadcast(hit.agg(flag.alias("any_exact"))), (F.col("any_exact") == 0) | (F.col(column) == norm)).drop("any_exact")
 
 
-NEWEST = [F.col("released_at").desc_nulls_last(), F.col("set_code").asc_nulls_first(), F.col("collector_number").asc_nulls_first(), F.col("scryfall_id").asc_nulls_first()]
+def newest_first() -> list[Column]:
+    """Order of printings: newest release, then set, number and id."""
+    return [F.col("released_at").desc_nulls_last(), F.col("set_code").asc_nulls_first(), F.col("collector_number").asc_nulls_first(), F.col("scryfall_id").asc_nulls_first()]
+
 
 
 class Catalog:
@@ -163,7 +166,7 @@ class Catalog:
         return exact_then_like(self.identities, "normalized_name", norm).orderBy("name", "oracle_id").limit(limit)
 
     def printings(self, *, name: str | None = None, oracle_id: str | None = None, set_code: str | None = None, collector_number: str | None = None, limit: int | None = None) -> DataFrame:
-        out = self.view.where(predicates(name, oracle_id, set_code, collector_number)).orderBy(*NEWEST)
+        out = self.view.where(predicates(name, oracle_id, set_code, collector_number)).orderBy(*newest_first())
         return out if limit is None else out.limit(limit)
 
     def resolve(self, *, scryfall_id: str | None = None, oracle_id: str | None = None, name: str | None = None) -> DataFrame:

@@ -15,7 +15,10 @@ from pyspark.sql import functions as F
 
 from weftline.session import tasks
 
-NEVER = F.timestamp_micros(F.lit(253_402_300_799_000_000))
+def _never():
+    """End of a span that hasn't ended."""
+    return F.to_timestamp_ntz(F.lit("9999-12-31 00:00:00"))
+
 
 
 def target_states(targets: DataFrame, salts: int = 16) -> DataFrame:
@@ -27,7 +30,7 @@ def target_states(targets: DataFrame, salts: int = 16) -> DataFrame:
     key don't meet in one task. Rows with a null key or no time of appearance are no targets.
     """
     t = targets.where(F.col("key").isNotNull() & F.col("appeared").isNotNull())
-    t = t.select("kind", "key", "appeared", F.coalesce("deleted", NEVER).alias("gone"))
+    t = t.select("kind", "key", "appeared", F.coalesce("deleted", _never()).alias("gone"))
     t = t.groupBy("kind", "key", "appeared", "gone").agg(F.lit(1).alias("one")).drop("one")
     salted = t.withColumn("salt", F.pmod(F.xxhash64("appeared", "gone"), F.lit(salts)))
     part = _merged(salted, ["kind", "key", "salt"])

@@ -167,3 +167,23 @@ def tie_gate(candidates: DataFrame, limit: float) -> DataFrame:
     t = ranked(candidates).where("rn <= 2")
     per = t.groupBy("obs_id").agg(F.count("*").alias("n"), F.min("name").alias("a"), F.max("name").alias("b"), (F.max("score") - F.min("score")).alias("d"))
     return per.select("obs_id", ((F.col("n") == 2) & (F.col("a") == F.col("b")) & (F.round("d", 10) <= limit)).alias("tied"))
+
+
+def visual_rerank(candidates: DataFrame, window: float, most: int, factor: float, least: float = 0.0, lead: float = 0.0) -> DataFrame:
+    """Candidates with ``sim`` to their scores after comparing pictures; adds moved.
+
+    Compared are the first ``most`` of rank 1's name within ``window`` of its score, if there are two.
+    Nothing moves unless the strongest similarity is at least ``least`` and leads by ``lead``.
+    """
+    t = ranked(candidates)
+    w = Window.partitionBy("obs_id").orderBy("rn")
+    whole = Window.partitionBy("obs_id")
+    near = (F.col("name") == F.first("name").over(w)) & (F.first("score").over(w) - F.col("score") <= window)
+    t = t.withColumn("near", near.cast("int"))
+    compared = (F.col("near") == 1) & (F.sum("near").over(w) <= most) & (F.sum("near").over(whole) >= 2)
+    t = t.withColumn("s", F.when(compared, F.col("sim")))
+    order = F.sort_array(F.collect_list("s").over(whole), asc=False)
+    t = t.withColumn("top", F.get(order, F.lit(0))).withColumn("second", F.coalesce(F.get(order, F.lit(1)), F.lit(0.0)))
+    moved = F.coalesce(F.col("s").isNotNull() & (F.col("top") >= least) & (F.col("top") - F.col("second") >= lead), F.lit(False))
+    delta = F.round((F.col("sim") - 0.5) * factor, 4)
+    return t.withColumn("moved", moved).withColumn("score", F.when(F.col("moved"), clamp(F.col("score") + delta)).otherwise(F.col("score"))).drop("near", "s", "top", "second", "rn")
