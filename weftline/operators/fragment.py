@@ -96,8 +96,12 @@ def _salts(spark, wanted: list[tuple[str, int, int]], n_tasks: int) -> list[tupl
 
 
 def fragment(df: DataFrame, plan: LoadPlan, key: str | None = None) -> DataFrame:
-    """Give each row one salt of its key, by a hash of the row and its place in its partition."""
+    """Give each row one salt of its key, by a hash of the row and its place in its partition.
+
+    Columns named ``__salt``, ``__salts`` or ``__key`` are replaced.
+    """
     key = key or plan.key
+    df = df.drop(SALT, "__salts", "__key")
     hashed = [c for c, t in df.dtypes if "map<" not in t and "variant" not in t]
     spread = F.pmod(F.xxhash64(*hashed, F.monotonically_increasing_id()), F.size("__salts").cast("bigint")).cast("int")
     held = df.join(F.broadcast(plan.shards), F.col(key).cast("string") == F.col("__key"), "left")
@@ -106,6 +110,7 @@ def fragment(df: DataFrame, plan: LoadPlan, key: str | None = None) -> DataFrame
 
 def replicate(df: DataFrame, plan: LoadPlan, key: str) -> DataFrame:
     """Copy each row to the salts of its key, rows of small keys once."""
+    df = df.drop(SALT, "__salts", "__key")
     held = df.join(F.broadcast(plan.shards), F.col(key).cast("string") == F.col("__key"), "left")
     return held.withColumn(SALT, F.explode(F.coalesce("__salts", F.array(F.lit(0))))).drop("__key", "__salts")
 

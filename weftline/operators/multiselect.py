@@ -129,8 +129,8 @@ def percentiles(df: DataFrame, by: list[str], value: str, quantiles: dict[str, f
     driver holds is bounded; all groups are done.
     """
     spark = df.sparkSession
-    rows = df.select(*by, F.col(value).cast("double").alias("value")).where(F.col("value").isNotNull() & ~F.isnan("value") & (F.abs("value") < float("inf")))
-    groups = rows.groupBy(*by).agg(F.count("*").alias("n"))
+    rows = df.select(*by, F.col(value).cast("double").alias("__value")).where(F.col("__value").isNotNull() & ~F.isnan("__value") & (F.abs("__value") < float("inf")))
+    groups = rows.groupBy(*by).agg(F.count("*").alias("__n"))
     total = groups.count()
     runs = max(1, -(-total // groups_a_run))
     kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in by)
@@ -141,19 +141,19 @@ def percentiles(df: DataFrame, by: list[str], value: str, quantiles: dict[str, f
         names = groups.where(part).orderBy(*by).collect()
         if not names:
             continue
-        ids = spark.createDataFrame([(*r[: len(by)], i) for i, r in enumerate(names)], f"{kinds}, gid int").withColumnsRenamed({c: f"g_{c}" for c in by})
-        same = [F.col(c).eqNullSafe(F.col(f"g_{c}")) for c in by]
+        ids = spark.createDataFrame([(*r[: len(by)], i) for i, r in enumerate(names)], f"{kinds}, __gid int").withColumnsRenamed({c: f"__g_{c}" for c in by})
+        same = [F.col(c).eqNullSafe(F.col(f"__g_{c}")) for c in by]
         on = same[0]
         for c in same[1:]:
             on = on & c
-        data = cut(rows.join(F.broadcast(ids), on).select("gid", "value").sortWithinPartitions("gid", "value"))
-        counts = {i: r["n"] for i, r in enumerate(names)}
+        data = cut(rows.join(F.broadcast(ids), on).select(F.col("__gid").alias("gid"), F.col("__value").alias("value")).sortWithinPartitions("gid", "value"))
+        counts = {i: r["__n"] for i, r in enumerate(names)}
         spots = {i: {q: share * (n - 1) for q, share in quantiles.items()} for i, n in counts.items()}
         wanted = {i: [x for p in s.values() for x in (math.floor(p), math.ceil(p))] for i, s in spots.items()}
         at = select_ranks(data, wanted, counts, small)
         for i, r in enumerate(names):
             low = {q: at[i, math.floor(p)] for q, p in spots[i].items()}
-            done.append((*r[: len(by)], r["n"], *(low[q] + (at[i, math.ceil(p)] - low[q]) * (p - math.floor(p)) for q, p in spots[i].items())))
+            done.append((*r[: len(by)], r["__n"], *(low[q] + (at[i, math.ceil(p)] - low[q]) * (p - math.floor(p)) for q, p in spots[i].items())))
     return spark.createDataFrame(done, schema)
 
 
