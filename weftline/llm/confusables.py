@@ -165,11 +165,14 @@ def skeleton(text: str | None) -> str | None:
 
 
 def annotate(df: DataFrame, text: str) -> DataFrame:
-    """Add is_odd, plain and skeleton to every row.
+    """Add is_odd, plain and skeleton to every row; columns of these names are replaced.
 
     A null text is not odd and has null forms, an empty one empty forms. Texts in printable ASCII
     without blanks at an end or in a run don't leave the JVM: they are their own plain form.
     """
+    if text in ("is_odd", "plain", "skeleton"):
+        raise ValueError(f"{text} would be replaced")
+    df = df.drop("is_odd", "plain", "skeleton", "__forms")
     simple = F.col(text).rlike(r"^[!-_a-~]+( [!-_a-~]+)*$")
 
     @F.pandas_udf("is_odd boolean, plain string, skeleton string")
@@ -181,7 +184,7 @@ def annotate(df: DataFrame, text: str) -> DataFrame:
         return pd.DataFrame([cache.get(t, (False, None, None)) for t in s], columns=["is_odd", "plain", "skeleton"])
 
     plain = df.where(simple | F.col(text).isNull()).withColumn("is_odd", F.lit(False)).withColumn("plain", F.col(text)).withColumn("skeleton", F.col(text))
-    rest = df.where(~simple).withColumn("f", forms(text)).select("*", "f.is_odd", "f.plain", "f.skeleton").drop("f")
+    rest = df.where(~simple).withColumn("__forms", forms(text)).select("*", "__forms.is_odd", "__forms.plain", "__forms.skeleton").drop("__forms")
     return plain.unionByName(rest)
 
 

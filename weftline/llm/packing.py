@@ -203,21 +203,21 @@ def pack(df: DataFrame, key: str, text: str, capacity: int = 2048, vocabulary: s
     texts of their own. An empty table gives no rows.
     """
     spark = df.sparkSession
-    sized = count_tokens(df, key, text, vocabulary)
+    sized = count_tokens(df, key, text, vocabulary).withColumnRenamed(key, "k")
     last = F.when(F.col("n_tokens") > 0, F.ceil(F.col("n_tokens") / F.lit(capacity)) - 1).otherwise(0).cast("int")
-    pieces = sized.select(key, F.col("n_tokens").alias("all"), F.explode(F.sequence(F.lit(0), last)).alias("piece"))
+    pieces = sized.select("k", F.col("n_tokens").alias("all"), F.explode(F.sequence(F.lit(0), last)).alias("piece"))
     start = F.col("piece").cast("bigint") * capacity
-    pieces = pieces.select(key, "piece", start.alias("token_start"), F.least(F.lit(capacity).cast("bigint"), F.col("all") - start).alias("n_tokens"))
-    pieces = cut(pieces.withColumn("salt", F.pmod(F.xxhash64(key, "piece", F.monotonically_increasing_id()), F.lit(salts))))
+    pieces = pieces.select("k", "piece", start.alias("token_start"), F.least(F.lit(capacity).cast("bigint"), F.col("all") - start).alias("n_tokens"))
+    pieces = cut(pieces.withColumn("salt", F.pmod(F.xxhash64("k", "piece", F.monotonically_increasing_id()), F.lit(salts))))
     counts = pieces.groupBy("n_tokens", "salt").agg(F.count("*").alias("n"))
     by_size = counts.where("n_tokens > 0").groupBy("n_tokens").agg(F.sum("n").alias("n"))
     groups = pack_histogram({r.n_tokens: r.n for r in by_size.collect()}, capacity)  # at most `capacity` rows
     slots = spark.sparkContext.broadcast(slot_table(groups, 0))
     before = Window.partitionBy("n_tokens").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("n_tokens", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    within = Window.partitionBy("n_tokens", "salt").orderBy(key, "piece")
+    within = Window.partitionBy("n_tokens", "salt").orderBy("k", "piece")
     ranked = pieces.withColumn("r", F.row_number().over(within) - 1).join(offsets, ["n_tokens", "salt"])
-    ranked = ranked.select(key, "piece", "token_start", "n_tokens", (F.col("offset") + F.col("r")).alias("rank"))
+    ranked = ranked.select("k", "piece", "token_start", "n_tokens", (F.col("offset") + F.col("r")).alias("rank"))
 
     @F.pandas_udf("bigint")
     def container(size: pd.Series, rank: pd.Series) -> pd.Series:
@@ -232,4 +232,4 @@ def pack(df: DataFrame, key: str, text: str, capacity: int = 2048, vocabulary: s
         at = np.clip(at, lo, np.maximum(hi - 1, lo)).clip(0, len(t["size"]) - 1)
         return pd.Series(np.where(n > 0, t["container"][at] + (r - t["start"][at]) // t["copies"][at], 0))
 
-    return ranked.select(key, "piece", "token_start", "n_tokens", container("n_tokens", "rank").alias("container"))
+    return ranked.select(F.col("k").alias(key), "piece", "token_start", "n_tokens", container("n_tokens", "rank").alias("container"))

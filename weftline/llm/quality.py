@@ -161,7 +161,8 @@ def of_line(x: Line) -> Block:
     seps = max(get(v, "comma"), get(v, "semicolon"), x.tabs)
     b = Block(lines=1, first=(n, get(v, "sum")), last=(n, get(v, "sum")))
     plain_words = lower + upper + title
-    texty = lower >= 0.5 * n or upper >= 0.6 * n or lower + upper >= 0.4 * n and common >= RULES["bullet_common"] * n
+    texty = lower >= 0.5 * n or upper >= 0.6 * n or n >= 8 and lower + upper >= 0.4 * n and common >= RULES["bullet_common"] * n
+    named = n <= 5 and title >= 2  # "Ember of Kro, worn"
     pipes = get(v, "pipe")
     hard = get(v, "hard") - pipes
     if pipes and (pipes >= 2 or n == pipes) and hard <= RULES["hard_share"] * get(v, "chars") + 1 and not get(v, "dot"):
@@ -185,9 +186,9 @@ def of_line(x: Line) -> Block:
             b.junk = n
         else:
             b.entries = n
-    elif texty and (n > 3 or lower == n or common):
+    elif texty and not named and (n > 3 or lower == n or common):
         b.texty, b.common = n, common
-    elif n <= RULES["entry_words"] and title:
+    elif named or n <= RULES["entry_words"] and title:
         b.plain = n
     elif common < RULES["title_common"] * n and n > RULES["entry_words"]:
         b.junk = n
