@@ -54,7 +54,8 @@ gestalt_ratio = F.pandas_udf(_ratio, DoubleType())
 def fuzzy_score(ratio: Column, query: Column, candidate: Column) -> Column:
     """Similarity of a name to a query given their gestalt ratio, at most .99."""
     prefix = F.when(F.startswith(candidate, query) | F.startswith(query, candidate), 0.05).otherwise(0.0)
-    return F.least(F.lit(0.99), ratio * 0.75 + token_overlap(query, candidate) * 0.25 + prefix)
+    value = ratio * 0.75 + token_overlap(query, candidate) * 0.25 + prefix
+    return F.when(value.isNotNull(), F.least(F.lit(0.99), value))
 
 
 def compatibility_score(ratio: Column, query: Column, candidate: Column) -> Column:
@@ -72,7 +73,7 @@ def title_quality(norm: Column) -> Column:
     """How much a normalized query looks like a title."""
     n = F.size(F.filter(F.split(norm, " "), lambda t: t != ""))
     value = F.least(F.length(norm) / 24.0, F.lit(1.0)) - F.greatest(n - 2, F.lit(0)) * 0.08 - F.when(contains_noise(norm), 0.18).otherwise(0.0)
-    return F.when(norm == "", 0.0).otherwise(F.greatest(F.lit(0.0), value))
+    return F.when(norm == "", 0.0).when(norm.isNotNull(), F.greatest(F.lit(0.0), value))
 
 
 def is_noise_token(t: Column) -> Column:

@@ -32,7 +32,7 @@ def histogram_similarity(a: Column, b: Column) -> Column:
 def mean_colour_similarity(a: Column, b: Column) -> Column:
     """1 minus the distance over 255, at least 0, to 4 places."""
     d = F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y) * (x.cast("double") - y)), F.lit(0.0), lambda s, x: s + x))
-    return F.round(F.greatest(F.lit(0.0), 1 - d / 255), 4)
+    return F.when(d.isNotNull(), F.round(F.greatest(F.lit(0.0), 1 - d / 255), 4))
 
 
 # Weights of the parts of a fingerprint's similarity.
@@ -51,8 +51,9 @@ def art_similarity(gray: Column, edge: Column, histogram: Column, mean: Column)
 
 
 def score_delta(score: Column, similarity: Column, factor: float) -> Column:
-    """Score moved by the similarity's distance from one half, within 0 and 1."""
-    return F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score + (similarity - 0.5) * factor)), 4)
+    """Score moved by the similarity's distance from one half, within 0 and 1; null if either is."""
+    moved = score + (similarity - 0.5) * factor
+    return F.when(moved.isNotNull(), F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), moved)), 4))
 
 
 def bits_hex(flags: Column, bits: int) -> Column:

@@ -14,6 +14,11 @@ def safe_ratio(n: Column, d: Column) -> Column:
     return F.when(d > 0, F.round(n / d, 4)).otherwise(0.0)
 
 
+def exact_mean(c: Column, places: int = 4) -> Column:
+    """Mean, halves up, from an exact decimal sum: it doesn't depend on the order of the rows."""
+    return F.round(F.sum(c.cast("decimal(20,8)")) / F.count(c), places).cast("double")
+
+
 def given(c: str) -> Column:
     return F.coalesce(F.col(c), F.lit("")) != ""
 
@@ -70,7 +75,7 @@ def summary(facts: DataFrame, by: list[str]) -> DataFrame:
     a = facts.groupBy(*by).agg(
         F.count("*").alias("fixture_count"), F.count_if(scored).alias("scored_count"), F.count_if(set_scored).alias("set_scored_count"), F.count_if(art_scored).alias("art_scored_count"),
         hit("top1_hit", scored).alias("h1"), hit("top5_hit", scored).alias("h5"), hit("set_hit", set_scored).alias("hs"), hit("art_hit", art_scored).alias("ha"),
-        F.sum(conf).alias("c"), F.sum(F.when(scored, conf)).alias("cs"), F.round(F.avg(run), 4).alias("average_runtime_seconds"), F.round(F.avg("candidate_count"), 1).alias("average_candidate_count"),
+        F.sum(conf).alias("c"), F.sum(F.when(scored, conf)).alias("cs"), exact_mean(run).alias("average_runtime_seconds"), F.round(F.avg("candidate_count"), 1).alias("average_candidate_count"),
         F.round(F.median(run), 4).alias("median_runtime_seconds"), F.round(F.coalesce(F.stddev_pop(run), F.lit(0.0)), 4).alias("runtime_stddev_seconds"),
         F.round(F.percentile(run, 0.95), 4).alias("runtime_p95_seconds"), F.max(run).alias("max_runtime_seconds"),
     )
@@ -88,7 +93,7 @@ def calibration_bins(facts: DataFrame, by: list[str]) -> DataFrame:
     c = F.col("confidence")
     low = F.when(c < 0.2, 0.0).when(c < 0.4, 0.2).when(c < 0.6, 0.4).when(c < 0.8, 0.6).otherwise(0.8)
     high = F.when(c < 0.2, 0.2).when(c < 0.4, 0.4).when(c < 0.6, 0.6).when(c < 0.8, 0.8).otherwise(1.0)
-    g = scored.groupBy(*by, low.alias("lower_bound"), high.alias("upper_bound")).agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 4).alias("average_confidence"), F.round(F.avg(F.coalesce("top1_hit", F.lit(False)).cast("double")), 4).alias("empirical_accuracy"))
+    g = scored.groupBy(*by, low.alias("lower_bound"), high.alias("upper_bound")).agg(F.count("*").alias("n"), exact_mean(F.col("confidence")).alias("average_confidence"), exact_mean(F.coalesce("top1_hit", F.lit(False)).cast("int")).alias("empirical_accuracy"))
     return g.withColumn("calibration_gap", F.round(F.abs(F.col("average_confidence") - F.col("empirical_accuracy")), 4))
 
 
@@ -100,7 +105,7 @@ def calibration_error(bins: DataFrame, by: list[str]) -> DataFrame:
 def average_map(df: DataFrame, by: list[str], column: str) -> DataFrame:
     """Mean of each key of a map column over the rows that have it."""
     e = df.select(*by, F.explode(column).alias("stage", "seconds")).where(F.col("seconds").isNotNull() & ~F.isnan("seconds"))
-    return e.groupBy(*by, "stage").agg(F.count("*").alias("n"), F.round(F.avg("seconds"), 4).alias("mean_seconds"))
+    return e.groupBy(*by, "stage").agg(F.count("*").alias("n"), exact_mean(F.col("seconds")).alias("mean_seconds"))
 
 
 def metric_deltas(baseline: DataFrame, current: DataFrame, by: list[str]) -> DataFrame:

@@ -40,7 +40,8 @@ def noted(weights: dict[str, float], notes: Column) -> Column:
 
 
 def clamp(c: Column) -> Column:
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.round(c, 4)))
+    """Within 0 and 1, to 4 places; null stays null (greatest and least alone would skip it)."""
+    return F.when(c.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.round(c, 4))))
 
 
 def _tops(candidates: DataFrame) -> DataFrame:

@@ -37,11 +37,6 @@ _HIT = lambda c, p: f"count(*) FILTER ({p} AND {c})"
 _RATIO = lambda n, dd: f"CASE WHEN {dd} > 0 THEN round({n} / {dd}, 4) ELSE 0.0 END"
 
 
-def mean4(c):
-    """Mean to 4 places, halves up, from an exact decimal sum: independent of the order of the rows."""
-    return F.round(F.sum(c.cast("decimal(20,8)")) / F.count(c), 4).cast("double")
-
-
 _MEAN4 = lambda c: f"(2 * (sum(({c})::DECIMAL(20,8)) * 100000000)::HUGEINT + count({c}) * 10000) // (2 * count({c}) * 10000) / 10000.0"
 
 
@@ -51,7 +46,7 @@ def _summary_sql(src: str, by: str) -> str:
  {_RATIO(_HIT('top1_hit', _SC), f'count(*) FILTER ({_SC})')} AS top1_accuracy, {_RATIO(_HIT('top5_hit', _SC), f'count(*) FILTER ({_SC})')} AS top5_accuracy,
  {_RATIO(_HIT('set_hit', _SET), f'count(*) FILTER ({_SET})')} AS set_accuracy, {_RATIO(_HIT('art_hit', _ART), f'count(*) FILTER ({_ART})')} AS art_accuracy,
  round(sum(coalesce(confidence, 0.0)) / count(*), 4) AS average_confidence, {_RATIO(f'sum(coalesce(confidence, 0.0)) FILTER ({_SC})', f'count(*) FILTER ({_SC})')} AS average_scored_confidence,
- round(avg({_RUN}), 4) AS average_runtime_seconds, round(avg(candidate_count), 1) AS average_candidate_count, round(median({_RUN}), 4) AS median_runtime_seconds,
+ {_MEAN4(_RUN)} AS average_runtime_seconds, round(avg(candidate_count), 1) AS average_candidate_count, round(median({_RUN}), 4) AS median_runtime_seconds,
  round(coalesce(stddev_pop({_RUN}), 0.0), 4) AS runtime_stddev_seconds, round(quantile_cont({_RUN}, 0.95), 4) AS runtime_p95_seconds, max({_RUN}) AS max_runtime_seconds FROM {src} {f'GROUP BY {by}' if by else ''}"""
 
 
@@ -82,7 +77,7 @@ def ref_a10_value_counts(spark, d):
 _STAGE = f"(SELECT mode, evaluated_at, unnest(map_entries(stage_timings)) AS e FROM {_F})"
 
 
-@query(f"SELECT mode, e.key AS stage, count(*) AS n, round(avg(e.value), 4) AS mean_seconds FROM {_STAGE} WHERE e.value IS NOT NULL AND NOT isnan(e.value) GROUP BY ALL")
+@query(f"SELECT mode, e.key AS stage, count(*) AS n, {_MEAN4("e.value")} AS mean_seconds FROM {_STAGE} WHERE e.value IS NOT NULL AND NOT isnan(e.value) GROUP BY ALL")
 def ref_a11_average_stage_timings(spark, d):
     return E.average_map(facts(spark, d), ["mode"], "stage_timings")
 
@@ -94,8 +89,8 @@ def ref_a12_mean_candidates(spark, d):
 
 _LOW = "CASE WHEN confidence < 0.2 THEN 0.0 WHEN confidence < 0.4 THEN 0.2 WHEN confidence < 0.6 THEN 0.4 WHEN confidence < 0.8 THEN 0.6 ELSE 0.8 END"
 _HIGH = "CASE WHEN confidence < 0.2 THEN 0.2 WHEN confidence < 0.4 THEN 0.4 WHEN confidence < 0.6 THEN 0.6 WHEN confidence < 0.8 THEN 0.8 ELSE 1.0 END"
-_BINS = f"""SELECT mode, ({_LOW})::DOUBLE AS lower_bound, ({_HIGH})::DOUBLE AS upper_bound, count(*) AS n, round(avg(confidence), 4) AS average_confidence, round(avg(coalesce(top1_hit, false)::INT), 4) AS empirical_accuracy,
- round(abs(round(avg(confidence), 4) - round(avg(coalesce(top1_hit, false)::INT), 4)), 4) AS calibration_gap FROM {_F} WHERE {_SC} AND confidence BETWEEN 0 AND 1 GROUP BY 1, 2, 3"""
+_BINS = f"""SELECT mode, ({_LOW})::DOUBLE AS lower_bound, ({_HIGH})::DOUBLE AS upper_bound, count(*) AS n, {_MEAN4("confidence")} AS average_confidence, {_MEAN4("coalesce(top1_hit, false)::INT")} AS empirical_accuracy,
+ round(abs({_MEAN4("confidence")} - {_MEAN4("coalesce(top1_hit, false)::INT")}), 4) AS calibration_gap FROM {_F} WHERE {_SC} AND confidence BETWEEN 0 AND 1 GROUP BY 1, 2, 3"""
 
 
 @query(_BINS)
@@ -124,7 +119,7 @@ def ref_a16_metric_deltas(spark, d):
     return E.metric_deltas(E.summary(old, ["mode"]), E.summary(new, ["mode"]), ["mode"])
 
 
-_ST = lambda op: f"(SELECT mode, e.key AS stage, round(avg(e.value), 4) AS m FROM {_STAGE} WHERE e.value IS NOT NULL AND NOT isnan(e.value) AND evaluated_at {op} TIMESTAMP '{CUT}' GROUP BY ALL)"
+_ST = lambda op: f"(SELECT mode, e.key AS stage, {_MEAN4("e.value")} AS m FROM {_STAGE} WHERE e.value IS NOT NULL AND NOT isnan(e.value) AND evaluated_at {op} TIMESTAMP '{CUT}' GROUP BY ALL)"
 
 
 @query(f"SELECT coalesce(a.mode, b.mode) AS mode, coalesce(a.stage, b.stage) AS stage, coalesce(a.m, 0.0) AS baseline_seconds, coalesce(b.m, 0.0) AS current_seconds, round(coalesce(b.m, 0.0) - coalesce(a.m, 0.0), 4) AS delta FROM {_ST('<')} a FULL JOIN {_ST('>=')} b ON a.mode = b.mode AND a.stage = b.stage")
@@ -138,7 +133,7 @@ def ref_j17_stage_comparison(spark, d):
 def ref_a17_j19_family_rows(spark, d):
     hit = F.coalesce("top1_hit", F.lit(False))
     g = facts(spark, d).groupBy("mode", F.coalesce("active_roi", F.lit("unknown")).alias("family"))
-    a = g.agg(F.count("*").alias("n"), F.count_if(hit).alias("correct"), F.count_if(~hit).alias("incorrect"), mean4(E.measured("runtime_seconds")).alias("average_runtime"))
+    a = g.agg(F.count("*").alias("n"), F.count_if(hit).alias("correct"), F.count_if(~hit).alias("incorrect"), E.exact_mean(E.measured("runtime_seconds")).alias("average_runtime"))
     return a.withColumn("accuracy", F.round(F.col("correct") / F.col("n"), 4))
 
 
@@ -146,7 +141,7 @@ def ref_a17_j19_family_rows(spark, d):
 def ref_a18_metric_summary(spark, d):
     r = E.measured("runtime_seconds")
     p = lambda q: F.round(F.percentile(r, q), 7)
-    return facts(spark, d).groupBy("error_class").agg(F.min(r).alias("lo"), p(0.1).alias("p10"), mean4(r).alias("mean"), p(0.5).alias("median"), p(0.9).alias("p90"), F.max(r).alias("hi"))
+    return facts(spark, d).groupBy("error_class").agg(F.min(r).alias("lo"), p(0.1).alias("p10"), E.exact_mean(r).alias("mean"), p(0.5).alias("median"), p(0.9).alias("p90"), F.max(r).alias("hi"))
 
 
 @query(f"SELECT expected_set_code, count(*) FILTER (mode = 'greenfield') AS greenfield, count(*) FILTER (mode = 'confirmation') AS confirmation, count(*) FILTER (mode = 'reevaluation') AS reevaluation FROM {_F} GROUP BY 1")

@@ -107,8 +107,8 @@ def ref_d10_promote_expected(spark, d):
 @query(f"""WITH o AS (SELECT obs_id, name AS en, score AS es, set_code AS ec, collector_number AS eno, notes AS enotes FROM {_E} WHERE rn = e),
 j AS (SELECT r.obs_id, any_value(r.e) AS e, any_value(es) AS own, any_value(enotes) AS notes, coalesce(max(r.score) FILTER (r.rn <> r.e), 0.0) AS other,
  coalesce(bool_or(r.rn <> r.e AND r.name = en AND (r.set_code IS DISTINCT FROM ec OR r.collector_number IS DISTINCT FROM eno) AND es - r.score <= 0.05), false) AS rival FROM {_E} r LEFT JOIN o USING (obs_id) GROUP BY 1)
-SELECT obs_id, coalesce(e = 1, false) AS matches, coalesce(greatest(0.0, least(1.0, round(own + least(0.12, greatest(0.0, round(own - other, 4)) * 0.3) + ({_noted(S.CONFIRMATION_NOTES, 'notes')})
- - CASE WHEN e > 1 THEN least(0.2, abs(round(own - other, 4)) * 0.5) + 0.2 WHEN rival THEN 0.08 ELSE 0 END, 4))), 0.0) AS confidence FROM (SELECT obs_id, e, CASE WHEN e IS NOT NULL THEN own END AS own, notes, other, rival FROM j)""")
+SELECT obs_id, coalesce(e = 1, false) AS matches, coalesce(CASE WHEN own IS NOT NULL THEN greatest(0.0, least(1.0, round(own + least(0.12, greatest(0.0, round(own - other, 4)) * 0.3) + ({_noted(S.CONFIRMATION_NOTES, 'notes')})
+ - CASE WHEN e > 1 THEN least(0.2, abs(round(own - other, 4)) * 0.5) + 0.2 WHEN rival THEN 0.08 ELSE 0 END, 4))) END, 0.0) AS confidence FROM (SELECT obs_id, e, CASE WHEN e IS NOT NULL THEN own END AS own, notes, other, rival FROM j)""")
 def ref_d11_confirmation(spark, d):
     return S.confirmation(candidates(spark, d))
 

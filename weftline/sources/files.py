@@ -8,6 +8,7 @@ import uuid
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 # Suffixes of picture files.
 SUFFIXES = (".png", ".jpg", ".jpeg", ".bmp", ".gif", ".webp", ".tif", ".tiff")
@@ -56,13 +57,16 @@ def _header(data: bytes | None) -> tuple[str | None, int | None, int | None]:
     return None, None, None
 
 
-@F.pandas_udf("format string, width int, height int")
-def picture_header(content: pd.Series) -> pd.DataFrame:
-    """Format and size from a file's bytes; null where they can't be read."""
+def _headers(content: pd.Series) -> pd.DataFrame:
     out = pd.DataFrame([_header(c) for c in content], columns=["format", "width", "height"])
     return out.astype({"width": "Int32", "height": "Int32"})
 
 
+_HEADER = StructType([StructField("format", StringType()), StructField("width", IntegerType()), StructField("height", IntegerType())])
+#: Format and size from a file's bytes; null where they can't be read.
+picture_header = F.pandas_udf(_headers, _HEADER)
+
+
 #: Fields of a sidecar; others are ignored.
 SIDECAR = "expected_name string, expected_language string, expected_games array<string>, expected_set_code string, expected_collector_number string, layout_hint string, split_family string, ocr_text_by_roi map<string,string>, image_sha256 string, saved_detection struct<card_bbox:array<int>,card_quad:array<array<int>>>"
 
