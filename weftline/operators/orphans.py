@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.session import tasks
+from weftline.session import cut, tasks
 
 def _never():
     """End of a span that hasn't ended."""
@@ -25,30 +25,30 @@ def target_states(targets: DataFrame, salts: int = 16) -> DataFrame:
     """(kind, key, first_at, spans): when a key's targets were there.
 
     ``targets`` has kind, key, appeared (timestamp) and deleted (timestamp or null), one row for
-    each delivered target row. ``spans`` are the disjoint periods [start, end) in which at least
-    one target row was present. Spans are merged per salt first, so that the rows of a frequent
-    key don't meet in one task. Rows with a null key or no time of appearance are no targets.
+    each delivered target row. ``spans`` are periods [start, end) in which at least one target row was
+    present: from the first that wasn't deleted on, and before it those of deleted rows. Only deleted
+    rows are sorted, and merged per salt first, so that the rows of a frequent key don't meet in one
+    task. Rows with a null key or no time of appearance are no targets.
     """
-    t = targets.where(F.col("key").isNotNull() & F.col("appeared").isNotNull())
-    t = t.select("kind", "key", "appeared", F.coalesce("deleted", _never()).alias("gone"))
-    t = t.groupBy("kind", "key", "appeared", "gone").agg(F.lit(1).alias("one")).drop("one")
-    salted = t.withColumn("salt", F.pmod(F.xxhash64("appeared", "gone"), F.lit(salts)))
-    part = _merged(salted, ["kind", "key", "salt"])
-    whole = _merged(part, ["kind", "key"])
-    return whole.groupBy("kind", "key").agg(
-        F.min("seen_at").alias("first_at"),
-        F.sort_array(F.collect_list(F.when(F.col("gone") > F.col("appeared"), F.struct("appeared", "gone")))).alias("spans"),
-    )
+    t = targets.where(F.col("key").isNotNull() & F.col("appeared").isNotNull()).select("kind", "key", "appeared", "deleted")
+    whole = t.groupBy("kind", "key").agg(F.min("appeared").alias("first_at"), F.min(F.when(F.col("deleted").isNull(), F.col("appeared"))).alias("open_from"))
+    gone = t.where(F.col("deleted") > F.col("appeared")).select("kind", "key", "appeared", F.col("deleted").alias("gone")).distinct()
+    part = _merged(gone.withColumn("salt", F.pmod(F.xxhash64("appeared", "gone"), F.lit(salts))), ["kind", "key", "salt"])
+    ended = _merged(part, ["kind", "key"]).groupBy("kind", "key").agg(F.sort_array(F.collect_list(F.struct("appeared", "gone"))).alias("ended"))
+    span = "array<struct<appeared:timestamp_ntz,gone:timestamp_ntz>>" if dict(t.dtypes)["appeared"] == "timestamp_ntz" else "array<struct<appeared:timestamp,gone:timestamp>>"
+    none = F.array().cast(span)
+    before = F.filter(F.coalesce(F.col("ended").cast(span), none), lambda s: F.col("open_from").isNull() | (s["appeared"] < F.col("open_from")))
+    since = F.when(F.col("open_from").isNotNull(), F.array(F.struct(F.col("open_from").alias("appeared"), _never().alias("gone"))).cast(span)).otherwise(none)
+    return whole.join(ended, ["kind", "key"], "left").select("kind", "key", "first_at", F.concat(before, since).alias("spans"))
 
 
 def _merged(df: DataFrame, by: list[str]) -> DataFrame:
-    """Overlapping spans as one; ``seen_at`` keeps the earliest appearance, of empty spans too."""
+    """Overlapping spans as one."""
     w = Window.partitionBy(*by).orderBy("appeared", "gone")
-    seen = F.col("seen_at") if "seen_at" in df.columns else F.col("appeared")
     before = F.max("gone").over(w.rowsBetween(Window.unboundedPreceding, -1))
     new = F.when(before.isNull() | (F.col("appeared") > before), 1).otherwise(0)
-    run = df.withColumn("seen_at", seen).withColumn("new", new).withColumn("run", F.sum("new").over(w))
-    return run.groupBy(*by, "run").agg(F.min("appeared").alias("appeared"), F.max("gone").alias("gone"), F.min("seen_at").alias("seen_at")).drop("run", *(["salt"] if "salt" in by else []))
+    run = df.withColumn("new", new).withColumn("run", F.sum("new").over(w))
+    return run.groupBy(*by, "run").agg(F.min("appeared").alias("appeared"), F.max("gone").alias("gone")).drop("run", *(["salt"] if "salt" in by else []))
 
 
 def cause_at(at):
@@ -69,7 +69,7 @@ def find_orphans(refs: DataFrame, targets: DataFrame, heavy_per_task: int = 4) -
     """
     n_tasks = tasks(refs.sparkSession)
     rows = refs.where(F.col("key").isNotNull() & F.col("row_key").isNotNull()).groupBy("ref_table", "row_key", "kind", "key").agg(F.min("at").alias("at"))
-    rows = rows.withColumn("period", F.date_format("at", "yyyy-MM"))
+    rows = cut(rows.withColumn("period", F.date_format("at", "yyyy-MM")))
     verdicts = orphan_verdicts(rows, targets, heavy_per_task, n_tasks)
     by = ["ref_table", "kind", "key", "period"]
     heavy = verdicts.where("heavy").drop("heavy")
@@ -90,14 +90,13 @@ def _null_safe(rows: DataFrame, verdicts: DataFrame, by: list[str]) -> DataFrame
 def orphan_verdicts(rows: DataFrame, targets: DataFrame, heavy_per_task: int, n_tasks: int) -> DataFrame:
     """Verdict on every key and period that may hold orphans: one cause, or mixed with the key's spans."""
     per = rows.groupBy("ref_table", "kind", "key", "period").agg(F.count("*").alias("n"), F.min("at").alias("lo"), F.max("at").alias("hi"))
-    states = target_states(targets)
     loads = per.groupBy("kind", "key").agg(F.sum("n").alias("n"))
-    total = loads.agg(F.sum("n").alias("n")).first()["n"] or 0
+    total = rows.count()
     limit = max(1.0, total / (n_tasks * heavy_per_task))
     heavy_rows = [(r.kind, r.key) for r in loads.where(F.col("n") > limit).select("kind", "key").collect()] if total else []
     keys = F.broadcast(rows.sparkSession.createDataFrame(heavy_rows, "kind string, key string"))
-    checked = per.join(keys, ["kind", "key"], "left_semi").join(F.broadcast(states.join(keys, ["kind", "key"], "left_semi")), ["kind", "key"], "left").withColumn("heavy", F.lit(True))
-    rest = per.join(keys, ["kind", "key"], "left_anti").join(states, ["kind", "key"], "left").withColumn("heavy", F.lit(False))
+    checked = per.join(keys, ["kind", "key"], "left_semi").join(F.broadcast(target_states(targets.join(keys, ["kind", "key"], "left_semi"))), ["kind", "key"], "left").withColumn("heavy", F.lit(True))
+    rest = per.join(keys, ["kind", "key"], "left_anti").join(target_states(targets), ["kind", "key"], "left").withColumn("heavy", F.lit(False))
     both = checked.unionByName(rest)
     # No edge of a span between the first and the last reference: all of them have one cause.
     edge = F.exists("spans", lambda s: ((s["appeared"] > F.col("lo")) & (s["appeared"] <= F.col("hi"))) | ((s["gone"] > F.col("lo")) & (s["gone"] <= F.col("hi"))))
