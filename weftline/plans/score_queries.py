@@ -146,11 +146,10 @@ def ref_v6_hash_bits(spark, d):
 
 @query(f"""WITH h AS ({_HASHES}) SELECT a.vec_id, round(1 - len(list_filter(range(1, 57), lambda i: a.db[i] <> b.db[i])) / 56, 4) AS d_similarity, round(1 - len(list_filter(range(1, 65), lambda i: a.ab[i] <> b.ab[i])) / 64, 4) AS a_similarity FROM h a JOIN h b ON b.vec_id = a.vec_id + 1""")
 def ref_v1_hash_similarity(spark, d):
-    p = _pairs(spark, d)
-    hd = lambda c: V.difference_hash(F.col(c), 8, 8)
-    ha = lambda c: V.average_hash(F.col(c), 64)
-    h = p.select("vec_id", hd("embedding").alias("d1"), hd("other").alias("d2"), ha("embedding").alias("a1"), ha("other").alias("a2"))
-    return h.select("vec_id", V.hash_similarity(F.col("d1"), F.col("d2"), 14).alias("d_similarity"), V.hash_similarity(F.col("a1"), F.col("a2"), 16).alias("a_similarity"))
+    """Each vector's hashes once, then the neighbours' compared."""
+    h = table(spark, d, "embeddings").select("vec_id", V.difference_hash(F.col("embedding"), 8, 8).alias("d1"), V.average_hash(F.col("embedding"), 64).alias("a1"))
+    j = h.join(h.select((F.col("vec_id") - 1).alias("vec_id"), F.col("d1").alias("d2"), F.col("a1").alias("a2")), "vec_id")
+    return j.select("vec_id", V.hash_similarity(F.col("d1"), F.col("d2"), 14).alias("d_similarity"), V.hash_similarity(F.col("a1"), F.col("a2"), 16).alias("a_similarity"))
 
 
 _SIM = "(SELECT l_orderkey AS obs_id, l_discount * 10 AS a, l_tax * 10 AS b, l_quantity / 50 AS c, l_discount AS x, l_tax AS y, l_linenumber AS n FROM lineitem)"
