@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.session import tasks
+from weftline.session import cut, tasks
 
 SALT = "__salt"
 
@@ -58,7 +58,7 @@ def plan_load(df: DataFrame, key: str, n_tasks: int | None = None, per_task: int
     """
     spark = df.sparkSession
     n_tasks = n_tasks or tasks(spark)
-    counts = df.groupBy(F.col(key).cast("string").alias("k")).agg(F.count("*").alias("n"))
+    counts = cut(df.groupBy(F.col(key).cast("string").alias("k")).agg(F.count("*").alias("n")))  # one pass, one row a key
     total = counts.agg(F.sum("n").alias("n")).first()["n"] or 0
     fair = total / n_tasks
     target = max(1.0, fair / per_task)
