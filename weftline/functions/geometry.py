@@ -83,6 +83,30 @@ REGIONS = {
 NOT_GROWN = ("art_match", "set_symbol")
 
 
+def parse_factors(values: list[float]) -> tuple[float, float] | None:
+    """Growth along the long and the short side from one or two positive numbers; nothing gives None."""
+    if not values:
+        return None
+    if len(values) > 2 or any(v <= 0 for v in values):
+        raise ValueError("one or two factors above zero are needed")
+    return values[0], values[-1]
+
+
+def merge_regions(preset, *overrides):
+    """Regions (region, x, y, w, h) with those of each override in place of earlier ones, by name."""
+    out = preset
+    for o in overrides:
+        new = o.select("region", *(F.col(c).alias(f"o_{c}") for c in "xywh"))
+        out = out.join(new, "region", "full").select("region", *(F.coalesce(f"o_{c}", c).alias(c) for c in "xywh"))
+    return out
+
+
+def signature(regions):
+    """One hash of all regions, whatever their order: a cache of another signature is stale."""
+    rows = F.sort_array(F.collect_list(F.concat_ws("|", "region", *(F.format_string("%.4f", c) for c in "xywh"))))
+    return regions.agg(F.sha2(F.array_join(rows, ";"), 256).alias("signature"))
+
+
 def region_box(x: Column, y: Column, w: Column, h: Column, width: Column, height: Column, long_factor: Column, short_factor: Column) -> Column:
     """A relative region in pixels of a frame, grown from its centre along its long and short side.
 

@@ -73,3 +73,13 @@ def average_hash(grid: Column, size: int) -> Column:
     """Bits of the values that are at least the mean."""
     mean = F.aggregate(grid, F.lit(0.0), lambda s, x: s + x.cast("double")) / size
     return bits_hex(F.transform(grid, lambda x: x.cast("double") >= mean), size)
+
+
+def mask_quality(foreground: Column, box_share: Column, centre_distance: Column) -> Column:
+    """How usable a symbol's mask is: share of foreground near .18, of its box near .35, centred.
+
+    ``centre_distance`` is the distance of the box's centre from the mask's, over width plus height.
+    """
+    near = lambda c, at: 1 - F.least(F.abs(c - at) / at, F.lit(1.0))
+    whole = near(foreground, 0.18) * 0.45 + near(box_share, 0.35) * 0.35 + (1 - F.least(centre_distance, F.lit(1.0))) * 0.20
+    return F.when(whole.isNotNull(), F.round(whole, 6))

@@ -194,3 +194,38 @@ def normalized_forms(identities: DataFrame, aliases: DataFrame) -> DataFrame:
     """(key, form) from (key, name) and (key, alias)."""
     a = identities.select("key", normalize_text(F.col("name")).alias("form"))
     return a.unionByName(aliases.select("key", normalize_text(F.col("alias")).alias("form"))).where("form <> ''").distinct()
+
+
+def expand_printings(matches: DataFrame, variants: DataFrame, least: float = 0.84) -> DataFrame:
+    """Matches (obs_id, key, score, rank) whose best is at least ``least`` replaced by the printings of its key.
+
+    ``variants`` has key and its printing's columns. Each printing gets the match's score; other
+    observations keep their matches, with null printings. The best key's printings may be many: callers
+    that only need one take :func:`weftline.operators.catalog.first_per_key` first.
+    """
+    best = matches.where((F.col("rank") == 1) & (F.col("score") >= least))
+    grown = best.join(variants, "key").withColumn("expanded", F.lit(True))
+    rest = matches.join(grown.select("obs_id").distinct(), "obs_id", "left_anti").withColumn("expanded", F.lit(False))
+    return grown.unionByName(rest, allowMissingColumns=True)
+
+
+def lower_texts(oracle_text, flavor_text):
+    """Texts that a card's lower part may show: rules, flavour, both; blank ones left out."""
+    o, f = F.nullif(F.trim(oracle_text), F.lit("")), F.nullif(F.trim(flavor_text), F.lit(""))
+    both = F.when(o.isNotNull() & f.isNotNull(), F.concat(o, F.lit(" "), f))
+    return F.array_compact(F.array(o, f, both))
+
+
+def reconcile(candidates: DataFrame, sources: list[tuple[DataFrame, list[str]]], columns: list[str]) -> DataFrame:
+    """Candidates (cand_id, ...) with the columns of the first source that has a row of equal keys.
+
+    Each source is (rows, keys) and has ``ord``; of its equal rows the one of least ``ord`` is taken.
+    Candidates that no source has keep nulls and priority null.
+    """
+    found = None
+    for k, (rows, keys) in enumerate(sources):
+        first = rows.groupBy(*keys).agg(F.min_by(F.struct(*columns), "ord").alias("r"))
+        hit = candidates.join(first, keys).select("cand_id", F.lit(k).alias("priority"), "r")
+        found = hit if found is None else found.unionByName(hit)
+    best = found.groupBy("cand_id").agg(F.min("priority").alias("priority"), F.min_by("r", "priority").alias("r"))
+    return candidates.join(best, "cand_id", "left").select(*candidates.columns, "priority", *(F.col(f"r.{c}").alias(f"found_{c}") for c in columns))
