@@ -73,5 +73,15 @@ def test_retention_and_mismatches(spark):
     rows = [("a", "1", 1, T, T), ("b", "1", 1, T, day(1)), ("c", "1", 1, T, day(2))]
     assert sorted(r.expected_card_id for r in P.keep_newest(spark.createDataFrame(rows, STORE), 2).collect()) == ["b", "c"]
     rows = [("lea:1", "2ed:1", 4, T, T), ("lea:1", "3ed:1", 2, T, T), ("mh2:1", "unrecognized", 3, T, T), ("tmp:1", "tmp:1", 9, T, T), ("z", "y", 1, T, T)]
-    got = {r.expected_card_id: r.mismatches for r in P.grouped_mismatches(spark.createDataFrame(rows, STORE), 2, 2).collect()}
-    assert got == {"lea:1": ["2ed:1=4", "3ed:1=2"], "mh2:1": ["unrecognized=3"]}
+    got = sorted((-r.top, r.expected_card_id, -r.seen_count, r.actual_card_id) for r in P.grouped_mismatches(spark.createDataFrame(rows, STORE), 2, 2).collect())
+    assert got == [(-4, "lea:1", -4, "2ed:1"), (-4, "lea:1", -2, "3ed:1"), (-3, "mh2:1", -3, "unrecognized")]
+
+
+def test_percentiles_by_either_way(spark):
+    df = spark.createDataFrame([(g, float(i * i % 101)) for i in range(300) for g in ("a", None)] + [("none", None)], "g string, v double")
+    q = {"p50": 0.5, "p90": 0.9}
+    a = E.group_percentiles(df, ["g"], F.col("v"), q).collect()
+    b = E.group_percentiles(df, ["g"], F.col("v"), q, in_memory=10).collect()
+    flat = lambda rows: [x for r in sorted(rows, key=str) for x in (r.p50, r.p90)]
+    assert flat(a) == pytest.approx(flat(b)) and len(a) == 2
+    assert E.beside(df.select("g").distinct(), spark.createDataFrame(a, "g string, p50 double, p90 double"), ["g"]).where("p50 is null").count() == 1

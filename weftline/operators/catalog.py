@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.functions.keys import clean_optional, fold_key
@@ -186,6 +186,17 @@ def exact_lookup(queries: DataFrame, names: DataFrame, aliases: DataFrame) -> Da
     return by_name.unionByName(by_alias).groupBy("q_id", "query", "key").agg(F.min("source").alias("source"))
 
 
+def exact_summary(queries: DataFrame, names: DataFrame, aliases: DataFrame) -> DataFrame:
+    """(q_id, n_keys, first_key, source) of every query with a hit.
+
+    Keys are counted per entry before the join: a name that many queries ask for and many keys have
+    isn't multiplied.
+    """
+    entries = names.select("normalized", "key", F.lit(0).alias("source")).unionByName(aliases.select("normalized", "key", F.lit(1).alias("source")))
+    per = entries.groupBy("normalized", "key").agg(F.min("source").alias("source")).groupBy("normalized").agg(F.count("*").alias("n_keys"), F.min("key").alias("first_key"), F.min("source").alias("source"))
+    return queries.join(per, queries["query"] == per["normalized"]).select("q_id", "n_keys", "first_key", "source")
+
+
 def unique_or_filtered(requests: DataFrame, records: DataFrame) -> DataFrame:
     """A record for each request (q_id, name, set_code, collector_number): by name alone only if it is unique.
 
@@ -215,6 +226,8 @@ def blocked_pairs(queries: DataFrame, names: DataFrame) -> DataFrame:
     return q.join(n, "gram").groupBy("q_id", "key").agg(F.count("*").alias("shared"))
 
 
-def first_per_key(df: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
-    w = Window.partitionBy(*by).orderBy(*order)
-    return df.withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn")
+def newest_per_key(df: DataFrame, by: list[str], order: str) -> DataFrame:
+    """Of each key the row of greatest ``order``; an aggregate, so a frequent key is combined map-side."""
+    rest = [c for c in df.columns if c not in by]
+    best = df.groupBy(*by).agg(F.max_by(F.struct(*rest), order).alias("__r"))
+    return best.select(*by, *(F.col(f"__r.{c}").alias(c) for c in rest))

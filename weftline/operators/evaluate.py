@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftline.operators.multiselect import percentiles
+
 #: Metrics that are compared between two summaries, by column.
 METRICS = ("top1_accuracy", "top5_accuracy", "set_accuracy", "art_accuracy", "average_confidence", "average_scored_confidence", "average_runtime_seconds", "median_runtime_seconds", "runtime_stddev_seconds", "runtime_p95_seconds", "max_runtime_seconds")
 
@@ -19,6 +21,29 @@ def exact_mean(c: Column, places: int = 4) -> Column:
     return F.round(F.sum(c.cast("decimal(20,8)")) / F.count(c), places).cast("double")
 
 
+def group_percentiles(df: DataFrame, by: list[str], value: Column, quantiles: dict[str, float], in_memory: int = 2_000_000) -> DataFrame:
+    """Exact interpolated percentiles of each group: (by, one column a quantile).
+
+    An aggregate keeps a group's different values in one task; where a group has more than
+    ``in_memory`` rows the distributed multi-select takes its place. Both give the same values. Groups
+    without values are left out.
+    """
+    rows = df.select(*by, value.alias("__v")).where("__v is not null")
+    most = rows.groupBy(*by).count().agg(F.max("count").alias("n")).first()["n"] or 0
+    if most <= in_memory:
+        return rows.groupBy(*by).agg(*(F.percentile("__v", q).alias(n) for n, q in quantiles.items()))
+    return percentiles(rows, by, "__v", quantiles).drop("n")
+
+
+def beside(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
+    """Left join on ``by`` in which nulls are values."""
+    r = right.withColumnsRenamed({c: f"__{c}" for c in by})
+    on = left[by[0]].eqNullSafe(r[f"__{by[0]}"])
+    for c in by[1:]:
+        on = on & left[c].eqNullSafe(r[f"__{c}"])
+    return left.join(r, on, "left").drop(*(f"__{c}" for c in by))
+
+
 def given(c: str) -> Column:
     return F.coalesce(F.col(c), F.lit("")) != ""
 
@@ -65,7 +90,7 @@ def error_class(in_top5: Column) -> Column:
 
 
 def summary(facts: DataFrame, by: list[str]) -> DataFrame:
-    """All metrics of evaluation rows per group, in one aggregate."""
+    """All metrics of evaluation rows per group: one aggregate, percentiles beside it."""
     paper = is_paper_row()
     scored, set_scored = paper & given("expected_name"), paper & given("expected_set_code")
     art_scored = set_scored & given("expected_collector_number")
@@ -76,9 +101,10 @@ def summary(facts: DataFrame, by: list[str]) -> DataFrame:
         F.count("*").alias("fixture_count"), F.count_if(scored).alias("scored_count"), F.count_if(set_scored).alias("set_scored_count"), F.count_if(art_scored).alias("art_scored_count"),
         hit("top1_hit", scored).alias("h1"), hit("top5_hit", scored).alias("h5"), hit("set_hit", set_scored).alias("hs"), hit("art_hit", art_scored).alias("ha"),
         F.sum(conf).alias("c"), F.sum(F.when(scored, conf)).alias("cs"), exact_mean(run).alias("average_runtime_seconds"), F.round(F.avg("candidate_count"), 1).alias("average_candidate_count"),
-        F.round(F.median(run), 4).alias("median_runtime_seconds"), F.round(F.coalesce(F.stddev_pop(run), F.lit(0.0)), 4).alias("runtime_stddev_seconds"),
-        F.round(F.percentile(run, 0.95), 4).alias("runtime_p95_seconds"), F.max(run).alias("max_runtime_seconds"),
+        F.round(F.coalesce(F.stddev_pop(run), F.lit(0.0)), 4).alias("runtime_stddev_seconds"), F.max(run).alias("max_runtime_seconds"),
     )
+    q = group_percentiles(facts, by, run, {"median_runtime_seconds": 0.5, "runtime_p95_seconds": 0.95})
+    a = beside(a, q.select(*by, *(F.round(c, 4).alias(c) for c in ("median_runtime_seconds", "runtime_p95_seconds"))), by)
     return a.select(
         *by, "fixture_count", "scored_count", "set_scored_count", "art_scored_count", safe_ratio(F.col("h1"), F.col("scored_count")).alias("top1_accuracy"), safe_ratio(F.col("h5"), F.col("scored_count")).alias("top5_accuracy"),
         safe_ratio(F.col("hs"), F.col("set_scored_count")).alias("set_accuracy"), safe_ratio(F.col("ha"), F.col("art_scored_count")).alias("art_accuracy"),

@@ -18,10 +18,22 @@ def merge_pairs(store: DataFrame, events: DataFrame) -> DataFrame:
 
 
 def prior_counts(events: DataFrame, store: DataFrame | None = None) -> DataFrame:
-    """Events with the number of times their pair had been seen before."""
+    """Events with the number of times their pair had been seen before.
+
+    Ranks are counted in two levels: within a pair's day, and by the days before. So a pair that a
+    third of all events belong to is spread over its days.
+    """
     key = ["expected_card_id", "actual_card_id"]
-    w = Window.partitionBy(*key).orderBy("seen_at", "seq")
-    out = events.withColumn("prior", F.row_number().over(w) - 1)
+    dated = events.withColumn("__day", F.to_date("seen_at"))
+    days = dated.groupBy(*key, "__day").agg(F.count("*").alias("__n"))
+    before = Window.partitionBy(*key).orderBy(F.col("__day").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    days = days.select(*(F.col(c).alias(f"__{c}") for c in key), F.col("__day").alias("__d"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    within = Window.partitionBy(*key, "__day").orderBy("seen_at", "seq")
+    same = F.col("__day").eqNullSafe(F.col("__d"))
+    for c in key:
+        same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    ranked = dated.withColumn("__r", F.row_number().over(within) - 1).join(days, same)
+    out = ranked.withColumn("prior", F.col("__before") + F.col("__r")).select(*events.columns, "prior")
     if store is not None:
         out = out.join(store.select(*key, F.col("seen_count").alias("held")), key, "left").withColumn("prior", F.col("prior") + F.coalesce("held", F.lit(0))).drop("held")
     return out
@@ -33,12 +45,12 @@ def keep_newest(store: DataFrame, most: int) -> DataFrame:
 
 
 def grouped_mismatches(store: DataFrame, most: int = 12, least: int = 2) -> DataFrame:
-    """The ``most`` expected cards with the strongest confusions: (expected_card_id, top, total, mismatches).
+    """Mismatches of the ``most`` expected cards with the strongest confusions, a row each.
 
-    Groups by greatest count, then total, then id; the mismatches of each by count, then id.
+    (expected_card_id, top, total, actual_card_id, seen_count); cards by greatest count, then total,
+    then id. A card may have any number of mismatches, so they aren't gathered in one row.
     """
     wrong = store.where((F.col("expected_card_id") != F.col("actual_card_id")) & (F.col("seen_count") >= least))
     top = wrong.groupBy("expected_card_id").agg(F.max("seen_count").alias("top"), F.sum("seen_count").alias("total")).orderBy(F.desc("top"), F.desc("total"), "expected_card_id").limit(most)
-    items = wrong.join(F.broadcast(top), "expected_card_id")  # at most `most` groups
-    listed = F.sort_array(F.collect_list(F.struct((-F.col("seen_count")).alias("k"), "actual_card_id")))
-    return items.groupBy("expected_card_id", "top", "total").agg(F.transform(listed, lambda x: F.concat(x["actual_card_id"], F.lit("="), (-x["k"]).cast("string"))).alias("mismatches"))
+    items = wrong.join(F.broadcast(top), "expected_card_id")  # at most `most` rows are broadcast
+    return items.select("expected_card_id", "top", "total", "actual_card_id", "seen_count")

@@ -201,7 +201,7 @@ def expand_printings(matches: DataFrame, variants: DataFrame, least: float = 0.8
 
     ``variants`` has key and its printing's columns. Each printing gets the match's score; other
     observations keep their matches, with null printings. The best key's printings may be many: callers
-    that only need one take :func:`weftline.operators.catalog.first_per_key` first.
+    that only need one take :func:`weftline.operators.catalog.newest_per_key` first.
     """
     best = matches.where((F.col("rank") == 1) & (F.col("score") >= least))
     grown = best.join(variants, "key").withColumn("expanded", F.lit(True))

@@ -150,8 +150,8 @@ _HITS = f"""SELECT q_id, query, key, min(source) AS source FROM (SELECT q.q_id,
 @query(f"SELECT q_id, count(*) AS n_identities, min(key) AS first_key, min(source) AS best_source FROM ({_HITS}) GROUP BY 1")
 def ref_j5_u1_exact_lookup(spark, d):
     names, aliases = _entries(spark, d)
-    hits = C.exact_lookup(_queries(spark, d), names, aliases)
-    return hits.groupBy("q_id").agg(F.count("*").alias("n_identities"), F.min("key").alias("first_key"), F.min("source").alias("best_source"))
+    hits = C.exact_summary(_queries(spark, d), names, aliases)
+    return hits.select("q_id", F.col("n_keys").alias("n_identities"), "first_key", F.col("source").alias("best_source"))
 
 
 @query(f"""SELECT s.snapshot_no, s.scryfall_id, count(DISTINCT v.id) AS n FROM (SELECT DISTINCT snapshot_no, scryfall_id FROM catalog_snapshots WHERE scryfall_id IS NOT NULL) s JOIN {_VAR} v ON lower(v.scryfall_id) = lower(s.scryfall_id) GROUP BY ALL""")

@@ -63,7 +63,10 @@ def ref_a15_summary_by_backend(spark, d):
 @query(f"SELECT mode, count(*) AS n, round(median({_RUN}), 4) AS median_seconds, round(coalesce(stddev_pop({_RUN}), 0.0), 4) AS stddev_seconds, round(quantile_cont({_RUN}, 0.95), 4) AS p95_seconds FROM {_F} GROUP BY 1")
 def ref_a7_a8_a9_median_stddev_percentile(spark, d):
     r = E.measured("runtime_seconds")
-    return facts(spark, d).groupBy("mode").agg(F.count("*").alias("n"), F.round(F.median(r), 4).alias("median_seconds"), F.round(F.coalesce(F.stddev_pop(r), F.lit(0.0)), 4).alias("stddev_seconds"), F.round(F.percentile(r, 0.95), 4).alias("p95_seconds"))
+    f = facts(spark, d)
+    a = f.groupBy("mode").agg(F.count("*").alias("n"), F.round(F.coalesce(F.stddev_pop(r), F.lit(0.0)), 4).alias("stddev_seconds"))
+    q = E.group_percentiles(f, ["mode"], r, {"median_seconds": 0.5, "p95_seconds": 0.95})
+    return E.beside(a, q, ["mode"]).select("mode", "n", F.round("median_seconds", 4).alias("median_seconds"), "stddev_seconds", F.round("p95_seconds", 4).alias("p95_seconds"))
 
 
 @query(f"SELECT 'roi' AS kind, active_roi AS value, count(*) AS n FROM {_F} WHERE active_roi IS NOT NULL GROUP BY ALL UNION ALL SELECT 'backend', coalesce(effective_backend, 'unknown'), count(*) FROM {_F} GROUP BY ALL UNION ALL SELECT 'error', error_class, count(*) FROM {_F} GROUP BY ALL")
@@ -140,8 +143,10 @@ def ref_a17_j19_family_rows(spark, d):
 @query(f"""SELECT error_class, min({_RUN}) AS lo, round(quantile_cont({_RUN}, 0.1), 7) AS p10, {_MEAN4(_RUN)} AS mean, round(median({_RUN}), 7) AS median, round(quantile_cont({_RUN}, 0.9), 7) AS p90, max({_RUN}) AS hi FROM {_F} GROUP BY 1""")
 def ref_a18_metric_summary(spark, d):
     r = E.measured("runtime_seconds")
-    p = lambda q: F.round(F.percentile(r, q), 7)
-    return facts(spark, d).groupBy("error_class").agg(F.min(r).alias("lo"), p(0.1).alias("p10"), E.exact_mean(r).alias("mean"), p(0.5).alias("median"), p(0.9).alias("p90"), F.max(r).alias("hi"))
+    f = facts(spark, d)
+    a = f.groupBy("error_class").agg(F.min(r).alias("lo"), E.exact_mean(r).alias("mean"), F.max(r).alias("hi"))
+    q = E.group_percentiles(f, ["error_class"], r, {"p10": 0.1, "median": 0.5, "p90": 0.9})
+    return E.beside(a, q, ["error_class"]).select("error_class", "lo", F.round("p10", 7).alias("p10"), "mean", F.round("median", 7).alias("median"), F.round("p90", 7).alias("p90"), "hi")
 
 
 @query(f"SELECT expected_set_code, count(*) FILTER (mode = 'greenfield') AS greenfield, count(*) FILTER (mode = 'confirmation') AS confirmation, count(*) FILTER (mode = 'reevaluation') AS reevaluation FROM {_F} GROUP BY 1")
@@ -181,10 +186,13 @@ _S = "(SELECT * REPLACE (coalesce(nullif(replace(lower(trim(mode)), '-', '_'), '
 _EL = "CASE WHEN elapsed_seconds >= 0 AND NOT isnan(elapsed_seconds) THEN elapsed_seconds END"
 
 
-@query(f"SELECT mode, count(*) AS n, round(avg(coalesce(name_hit, false)::INT), 4) AS accuracy, round(avg({_EL}), 4) AS mean, round(median({_EL}), 4) AS median, round(quantile_cont({_EL}, 0.95), 4) AS p95, max({_EL}) AS max FROM {_S} GROUP BY 1")
+@query(f"SELECT mode, count(*) AS n, {_MEAN4('coalesce(name_hit, false)::INT')} AS accuracy, {_MEAN4(_EL)} AS mean, round(median({_EL}), 7) AS median, round(quantile_cont({_EL}, 0.95), 7) AS p95, max({_EL}) AS max FROM {_S} GROUP BY 1")
 def ref_a22_stress_summary(spark, d):
     r = E.measured("elapsed_seconds")
-    return _scans(spark, d).groupBy("mode").agg(F.count("*").alias("n"), F.round(F.avg(F.coalesce("name_hit", F.lit(False)).cast("double")), 4).alias("accuracy"), F.round(F.avg(r), 4).alias("mean"), F.round(F.median(r), 4).alias("median"), F.round(F.percentile(r, 0.95), 4).alias("p95"), F.max(r).alias("max"))
+    s = _scans(spark, d)
+    a = s.groupBy("mode").agg(F.count("*").alias("n"), E.exact_mean(F.coalesce("name_hit", F.lit(False)).cast("int")).alias("accuracy"), E.exact_mean(r).alias("mean"), F.max(r).alias("max"))
+    q = E.group_percentiles(s, ["mode"], r, {"median": 0.5, "p95": 0.95})
+    return E.beside(a, q, ["mode"]).select("mode", "n", "accuracy", "mean", F.round("median", 7).alias("median"), F.round("p95", 7).alias("p95"), "max")
 
 
 @query(f"SELECT scan_id, round(greatest(0.0, e.runtime_seconds - s.elapsed_seconds), 4) AS overhead, e.runtime_seconds - s.elapsed_seconds > greatest(1.0, 2 * s.elapsed_seconds) AS warn FROM {_S} s JOIN {_F} e ON e.eval_id = s.scan_id WHERE e.runtime_seconds >= 0 AND NOT isnan(e.runtime_seconds) AND s.elapsed_seconds >= 0 AND NOT isnan(s.elapsed_seconds)")
@@ -205,7 +213,7 @@ _P = "(SELECT expected_card_id, actual_card_id, max(seen_count) AS seen_count, m
 
 
 @query(f"""WITH w AS (SELECT * FROM {_P} WHERE expected_card_id <> actual_card_id AND seen_count >= 2), g AS (SELECT expected_card_id, max(seen_count) AS top, sum(seen_count)::BIGINT AS total FROM w GROUP BY 1 ORDER BY 2 DESC, 3 DESC, 1 LIMIT 12)
-SELECT g.expected_card_id, top, total, list(actual_card_id || '=' || seen_count ORDER BY seen_count DESC, actual_card_id) AS mismatches FROM w JOIN g USING (expected_card_id) GROUP BY ALL""")
+SELECT g.expected_card_id, top, total, actual_card_id, seen_count FROM w JOIN g USING (expected_card_id)""")
 def ref_a20_grouped_mismatches(spark, d):
     return P.grouped_mismatches(_store(spark, d))
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions.text import normalize_text
 from weftline.operators import scoring as S
-from weftline.operators.catalog import first_per_key
+from weftline.operators.catalog import newest_per_key
 from weftline.plans.catalog_queries import _VIEW, view
 from weftline.plans.evaluation_queries import _F, facts
 from weftline.plans.registry import Registry
@@ -141,7 +141,7 @@ def ref_i9_engine_comparison(spark, d):
 @query(f"""SELECT session, name, set_code, collector_number, seq FROM (SELECT *, row_number() OVER (PARTITION BY session, name ORDER BY seq DESC) AS r FROM {_POOL}) WHERE r = 1""")
 def ref_j11_first_record_per_name(spark, d):
     f = facts(spark, d).where("predicted_name is not null").select(F.col("mode").alias("session"), F.col("predicted_name").alias("name"), F.col("predicted_set_code").alias("set_code"), F.col("predicted_collector_number").alias("collector_number"), F.col("eval_id").alias("seq"))
-    return first_per_key(f, ["session", "name"], [F.desc("seq")])
+    return newest_per_key(f, ["session", "name"], "seq")
 
 
 @query("""SELECT event_type, date_trunc('hour', ts) AS hour, count(*) AS n, round(sum(round(value, 4)), 2) AS total FROM events GROUP BY ALL""")
