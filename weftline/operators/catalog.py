@@ -99,8 +99,13 @@ def build_catalog(source: DataFrame) -> dict[str, DataFrame]:
 
 
 def first_wins(df: DataFrame, key: str, order: str, columns: list[str]) -> DataFrame:
-    """Of each key the row of least ``order``; an aggregate, so a frequent key is combined map-side."""
-    best = df.groupBy(key).agg(F.min_by(F.struct(*columns), F.struct(order, *(F.col(c).cast("string") for c in columns if c != order))).alias("r"))
+    """Of each key the row of least ``order``; an aggregate, so a frequent key is combined map-side.
+
+    Of rows with equal order that of the least hash is taken, so the result doesn't depend on the
+    partitioning. Only ``columns`` are read and shuffled.
+    """
+    hashed = [c for c, t in df.dtypes if c in columns and "map<" not in t]
+    best = df.groupBy(key).agg(F.min_by(F.struct(*columns), F.struct(order, F.xxhash64(*hashed))).alias("r"))
     return best.select(key, *(F.col(f"r.{c}").alias(c) for c in columns))
 
 

@@ -18,13 +18,13 @@ _KEY = lambda c: f"nullif(lower(trim({c}, E' \\t\\n\\r')), '')"
 
 def identities(spark, d):
     """One row an identity id, the earliest delivery."""
-    cols = ["id", "name", "normalized_name", "layout", "mana_cost", "type_line", "oracle_text", "colors", "color_identity"]
+    cols = ["id", "name", "normalized_name", "layout", "type_line", "oracle_text", "colors"]
     return C.first_wins(table(spark, d, "oracle_cards").where("oracle_id is not null"), "oracle_id", "ingested_at", cols)
 
 
-def variants(spark, d):
-    """One row a printing id, the earliest delivery."""
-    cols = ["scryfall_id", "oracle_id", "printed_name", "set_code", "collector_number", "language", "rarity", "artist", "released_at", "image_uri", "games"]
+def variants(spark, d, *more):
+    """One row a printing id, the earliest delivery; ``more`` are columns beyond the usual ones."""
+    cols = ["scryfall_id", "oracle_id", "set_code", "collector_number", "released_at", "image_uri", *more]
     return C.first_wins(table(spark, d, "printed_cards"), "id", "ingested_at", cols)
 
 
@@ -33,9 +33,9 @@ _VAR = "(SELECT * FROM printed_cards QUALIFY row_number() OVER (PARTITION BY id
 _VIEW = f"(SELECT v.*, i.name, i.normalized_name, i.type_line, i.layout, i.oracle_id AS identity_id FROM {_VAR} v JOIN {_IDENT} i ON {_KEY('v.oracle_id')} = {_KEY('i.oracle_id')})"
 
 
-def view(spark, d):
+def view(spark, d, *more):
     i = identities(spark, d).select(F.col("oracle_id").alias("identity_id"), fold_key(F.col("oracle_id")).alias("oracle_key"), "name", "normalized_name", "type_line", "layout")
-    return variants(spark, d).withColumn("oracle_key", fold_key(F.col("oracle_id"))).join(i, "oracle_key")
+    return variants(spark, d, *more).withColumn("oracle_key", fold_key(F.col("oracle_id"))).join(i, "oracle_key")
 
 
 @query(f"SELECT oracle_id, name, normalized_name, type_line FROM {_IDENT}")
@@ -51,7 +51,7 @@ def ref_j1_j2_cards_view(spark, d):
 @query(f"""WITH a AS (SELECT card_id, list_sort(list(DISTINCT alias)) AS aliases FROM aliases WHERE alias IS NOT NULL GROUP BY card_id)
 SELECT v.id, v.printed_name, coalesce(a.aliases, []) AS aliases FROM {_VAR} v LEFT JOIN a ON a.card_id = v.id""")
 def ref_j3_a1_fold_aliases(spark, d):
-    return C.fold_aliases(variants(spark, d).select("id", "printed_name"), table(spark, d, "aliases"), "id", "card_id").select("id", "printed_name", "aliases")
+    return C.fold_aliases(variants(spark, d, "printed_name").select("id", "printed_name"), table(spark, d, "aliases"), "id", "card_id").select("id", "printed_name", "aliases")
 
 
 @query(f"SELECT a.id AS alias_id, v.scryfall_id FROM (SELECT DISTINCT id, card_id FROM aliases) a JOIN {_VAR} v ON v.id = a.card_id")
@@ -85,7 +85,7 @@ def ref_p3_derived_key(spark, d):
 
 @query(f"SELECT language, count(*) AS n FROM {_VAR} WHERE language = 'en' AND CASE WHEN list_contains([lower(g) FOR g IN games], 'paper') THEN true WHEN len(games) > 0 THEN false ELSE true END GROUP BY 1")
 def ref_f1_f2_language_and_paper(spark, d):
-    return variants(spark, d).where((F.col("language") == "en") & C.is_paper(F.col("games"), F.lit(None).cast("boolean"))).groupBy("language").agg(F.count("*").alias("n"))
+    return variants(spark, d, "language", "games").where((F.col("language") == "en") & C.is_paper(F.col("games"), F.lit(None).cast("boolean"))).groupBy("language").agg(F.count("*").alias("n"))
 
 
 @query(f"SELECT id, name, set_code, collector_number, released_at FROM {_VIEW} WHERE normalized_name = 'emberkin wisp' AND lower(set_code) = 'm9q5'")
@@ -107,7 +107,7 @@ def ref_f6_count_images(spark, d):
 @query(f"""SELECT scryfall_id, set_code, collector_number, min(id) AS id FROM {_VAR} WHERE length(trim(image_uri)) > 0 AND (len(games) = 0 OR games IS NULL OR list_contains([lower(g) FOR g IN games], 'paper')) GROUP BY ALL""")
 def ref_f7_distinct_images(spark, d):
     paper = (F.size("games") == 0) | F.col("games").isNull() | F.array_contains(F.transform("games", lambda g: F.lower(g)), "paper")
-    return variants(spark, d).where((F.length(F.trim("image_uri")) > 0) & paper).groupBy("scryfall_id", "set_code", "collector_number").agg(F.min("id").alias("id"))
+    return variants(spark, d, "games").where((F.length(F.trim("image_uri")) > 0) & paper).groupBy("scryfall_id", "set_code", "collector_number").agg(F.min("id").alias("id"))
 
 
 @query(f"SELECT layout, count(*) AS n, min(released_at) AS first_release FROM {_VIEW} WHERE contains(name, ' // ') GROUP BY 1")
@@ -217,7 +217,7 @@ def ref_u6_missing_in_snapshots(spark, d):
 
 @query(f"SELECT id, list_sort(list_filter(list_distinct([printed_name]), lambda x: x IS NOT NULL AND x <> name)) AS aliases FROM {_VIEW} WHERE printed_name IS NOT NULL")
 def ref_p6_u2_alias_difference(spark, d):
-    return view(spark, d).where("printed_name is not null").select("id", F.array_sort(F.array_except(F.array("printed_name"), F.array("name"))).alias("aliases"))
+    return view(spark, d, "printed_name").where("printed_name is not null").select("id", F.array_sort(F.array_except(F.array("printed_name"), F.array("name"))).alias("aliases"))
 
 
 @query(f"SELECT identity_id, normalized_name, id FROM (SELECT *, row_number() OVER (PARTITION BY normalized_name ORDER BY released_at DESC NULLS LAST, id) AS r FROM {_VIEW} WHERE normalized_name <> '') WHERE r = 1")
@@ -232,7 +232,7 @@ def ref_w7_default_printing(spark, d):
 @query(f"""SELECT printed_group, sum(CASE WHEN cached THEN 1 ELSE 0 END) AS n_cached, count(*) AS n_eligible FROM (SELECT v.rarity AS printed_group, EXISTS (SELECT 1 FROM catalog_snapshots s WHERE s.scryfall_id = v.scryfall_id) AS cached FROM {_VAR} v WHERE length(trim(v.image_uri)) > 0) GROUP BY 1""")
 def ref_a23_a25_prehash_totals(spark, d):
     cached = table(spark, d, "catalog_snapshots").where("scryfall_id is not null").select("scryfall_id").distinct().withColumn("c", F.lit(1))
-    j = variants(spark, d).where(F.length(F.trim("image_uri")) > 0).join(cached, "scryfall_id", "left")
+    j = variants(spark, d, "rarity").where(F.length(F.trim("image_uri")) > 0).join(cached, "scryfall_id", "left")
     return j.groupBy(F.col("rarity").alias("printed_group")).agg(F.sum(F.coalesce("c", F.lit(0))).alias("n_cached"), F.count("*").alias("n_eligible"))
 
 
