@@ -229,7 +229,7 @@ def ref_w7_default_printing(spark, d):
     return best.select("b.identity_id", "normalized_name", "b.id")
 
 
-@query(f"""SELECT printed_group, sum(CASE WHEN cached THEN 1 ELSE 0 END) AS n_cached, count(*) AS n_eligible FROM (SELECT v.rarity AS printed_group, EXISTS (SELECT 1 FROM catalog_snapshots s WHERE s.scryfall_id = v.scryfall_id) AS cached FROM {_VAR} v WHERE length(trim(v.image_uri)) > 0) GROUP BY 1""")
+@query(f"""SELECT printed_group, sum(CASE WHEN cached THEN 1 ELSE 0 END)::BIGINT AS n_cached, count(*) AS n_eligible FROM (SELECT v.rarity AS printed_group, EXISTS (SELECT 1 FROM catalog_snapshots s WHERE s.scryfall_id = v.scryfall_id) AS cached FROM {_VAR} v WHERE length(trim(v.image_uri)) > 0) GROUP BY 1""")
 def ref_a23_a25_prehash_totals(spark, d):
     cached = table(spark, d, "catalog_snapshots").where("scryfall_id is not null").select("scryfall_id").distinct().withColumn("c", F.lit(1))
     j = variants(spark, d, "rarity").where(F.length(F.trim("image_uri")) > 0).join(cached, "scryfall_id", "left")
