@@ -22,14 +22,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-FIELDS = ("words", "common", "lower", "upper", "title", "number", "odd", "damaged", "pipe", "dot", "chars", "symbols", "hard", "comma", "semicolon", "sum")
+FIELDS = ("words", "common", "link", "lower", "upper", "title", "number", "odd", "damaged", "pipe", "dot", "chars", "symbols", "hard", "comma", "semicolon", "sum")
 _BITS = 40
 _SHIFT = {f: i * _BITS for i, f in enumerate(FIELDS)}
 _MASK = (1 << _BITS) - 1
 
 #: Rules of the forms; shares are of the words of a line or block.
 RULES = {
-    "prose_common": 0.1,  # common words that running text has at least, less
+    "prose_common": 0.08,  # common words that running text has at least, less
     "prose_slack": 0.5,  # so many words
     "bullet_common": 0.12,  # the same for an entry with a bullet that is a sentence
     "odd_share": 0.4,  # words that are no words, from which a line is junk
@@ -47,6 +47,8 @@ _DAMAGE = re.compile("Ã|Â|â€|ï¿½|�")
 _BULLET = re.compile(r"^(?:[-*•–—+▪◦‣·]|\(?\d{1,4}[.)x:]?|\d{1,3}x|\[.?\]?|[a-z][.)]|#\d+)$")
 _HARD = re.compile(r"[\\~^{}<>=@$%|!]")
 _END = (".", "!", "?", "…", "。", "！", "？", ":", ";")
+# Common words that join the parts of names, so an entry of a list may have them.
+_LINKS = frozenset(("of", "de", "von"))
 _CLOSERS = "\"'”’»)]*_"
 _WORD = re.compile(r"^[^\W\d_]+(?:['’ʼ-][^\W\d_]+)*$")
 _NUMBER = re.compile(r"^[#(]?[+-]?\d[\d.,:%x/-]*\)?$")
@@ -72,6 +74,8 @@ class WordCounts(dict):
         on = ["words"]
         if low in self.common:
             on.append("common")
+            if low in _LINKS:
+                on.append("link")
         if _DAMAGE.search(w):
             on.append("damaged")
         if w == "|" or _ROW.match(w):
@@ -161,8 +165,10 @@ def of_line(x: Line) -> Block:
     seps = max(get(v, "comma"), get(v, "semicolon"), x.tabs)
     b = Block(lines=1, first=(n, get(v, "sum")), last=(n, get(v, "sum")))
     plain_words = lower + upper + title
-    texty = lower >= 0.5 * n or upper >= 0.6 * n or n >= 8 and lower + upper >= 0.4 * n and common >= RULES["bullet_common"] * n
-    named = n <= 5 and title >= 2  # "Ember of Kro, worn"
+    strong = common - get(v, "link")
+    running = n >= 4 and strong >= 1 and strong >= RULES["bullet_common"] * n  # nouns may be capitalised
+    texty = running or lower >= 0.5 * n or upper >= 0.6 * n
+    named = n <= 5 and title >= 2 and not running  # "Ember of Kro, worn"
     pipes = get(v, "pipe")
     hard = get(v, "hard") - pipes
     if pipes and (pipes >= 2 or n == pipes) and hard <= RULES["hard_share"] * get(v, "chars") + 1 and not get(v, "dot"):
@@ -181,7 +187,7 @@ def of_line(x: Line) -> Block:
         b.single, b.row_lines = n, 1
     elif get(v, "odd") + get(v, "dot") > RULES["odd_share"] * n and not (x.bullet and plain_words):
         b.junk = n
-    elif x.bullet and not (texty and n >= 5 and common >= RULES["bullet_common"] * n):
+    elif x.bullet and not (running and n >= 5):
         if n > 2 * RULES["entry_words"] and common < RULES["prose_common"] * n:
             b.junk = n
         else:
