@@ -10,8 +10,6 @@ exchange by bucket nothing is shuffled again: neither to number the keys nor to
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame

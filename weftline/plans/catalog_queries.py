@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from weftline.functions.keys import clean_optional, fold_key
-from weftline.functions.text import normalize_text, slugify, trigrams
+from weftline.functions.keys import fold_key
+from weftline.functions.text import normalize_text, trigrams
 from weftline.operators import catalog as C
 from weftline.plans.registry import Registry
 from weftline.plans.text_queries import norm_sql
