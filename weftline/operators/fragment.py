@@ -71,27 +71,27 @@ def plan_load(df: DataFrame, key: str, n_tasks: int | None = None, per_task: int
 
 
 def _salts(spark, wanted: list[tuple[str, int, int]], n_tasks: int) -> list[tuple[str, list[int]]]:
-    """A distinct salt for each shard whose hash with the key leads to the shard's task."""
+    """A distinct salt for each shard whose hash with the key leads to the shard's task.
+
+    Salts are tried where the data are; only one for each shard comes back.
+    """
     if not wanted:
         return []
-    by_key: dict[str, list[int]] = {}
+    need: dict[tuple[str, int], int] = {}
     for key, _, task in wanted:
-        by_key.setdefault(key, []).append(task)
-    tries = spark.createDataFrame([(k,) for k in by_key], "k string").select("k", F.explode(F.sequence(F.lit(1), F.lit(8 * n_tasks))).alias("s"))
-    at = tries.select("k", "s", F.pmod(F.hash("k", "s"), F.lit(n_tasks)).alias("p"))
-    free: dict[str, dict[int, list[int]]] = {}
-    for r in at.orderBy("k", F.desc("s")).collect():
-        free.setdefault(r.k, {}).setdefault(r.p, []).append(r.s)
+        need[key, task] = need.get((key, task), 0) + 1
+    places = spark.createDataFrame([(k, p, n) for (k, p), n in need.items()], "k string, p int, need int")
+    keys = places.select("k").distinct().select("k", F.explode(F.sequence(F.lit(1), F.lit(8 * n_tasks))).alias("s"))
+    at = keys.select("k", "s", F.pmod(F.hash("k", "s"), F.lit(n_tasks)).alias("p"))
+    found = at.join(F.broadcast(places), ["k", "p"]).groupBy("k", "p", "need").agg(F.sort_array(F.collect_list("s")).alias("s"))
+    salts: dict[str, list[int]] = {}
+    for r in found.orderBy("k", "p").select("k", F.slice("s", F.lit(1), F.col("need")).alias("s")).collect():
+        salts.setdefault(r.k, []).extend(r.s)
     out = []
-    for key, places in by_key.items():
-        salts, spare = [], 8 * n_tasks
-        for t in places:
-            if free[key].get(t):
-                salts.append(free[key][t].pop())
-            else:  # no salt leads there: any salt still splits the key
-                spare += 1
-                salts.append(spare)
-        out.append((key, salts))
+    for key in dict.fromkeys(k for k, _, _ in wanted):
+        mine = salts.get(key, [])
+        short = sum(n for (k, _), n in need.items() if k == key) - len(mine)
+        out.append((key, mine + list(range(8 * n_tasks + 1, 8 * n_tasks + 1 + short))))  # no salt leads there: any splits the key
     return out
 
 
