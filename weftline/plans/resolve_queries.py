@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from weftline.operators import resolve as R
-from weftline.plans.catalog_queries import identities
+from weftline.plans.catalog_queries import identities, view
 from weftline.plans.registry import Registry
 from weftline.session import cut, table
 
@@ -19,8 +19,14 @@ def _observations(spark, d):
 
 
 def _names(spark, d):
-    """(key, form) with the normalized name as key: identities of one name are one entry."""
-    return identities(spark, d).where("normalized_name <> ''").select(F.col("normalized_name").alias("key"), F.col("normalized_name").alias("form")).distinct()
+    """(key, form) with the normalized name as key: identities of one name are one entry.
+
+    Forms are the name itself and the aliases of its printings.
+    """
+    names = identities(spark, d).where("normalized_name <> ''").select(F.col("normalized_name").alias("key"), F.col("normalized_name").alias("form"))
+    prints = view(spark, d).where("normalized_name <> ''").select(F.col("id").alias("card_id"), F.col("normalized_name").alias("key"))
+    aliases = table(spark, d, "aliases").where("normalized_alias <> ''").select("card_id", F.col("normalized_alias").alias("form")).distinct()
+    return names.unionByName(aliases.join(prints, "card_id").select("key", "form")).distinct()
 
 
 def _records(spark, d):
@@ -30,7 +36,7 @@ def _records(spark, d):
 
 @query()
 def ref_j9_t4_fuzzy_names(spark, d):
-    """The five nearest names of every recognised title that is no name itself."""
+    """The five nearest names of every recognised title that is no name or alias itself."""
     names = _names(spark, d)
     asked = R.title_queries(_observations(spark, d)).join(names.select(F.col("form").alias("query")), "query", "left_anti")
     return R.fuzzy_names(asked, names).select("query", "key", F.round("score", 6).alias("score"), "rank")
