@@ -123,7 +123,7 @@ def ref_k6_split_order(spark, d):
 @query(f"SELECT id, set_code, collector_number, released_at FROM {_VIEW} WHERE normalized_name = 'mudgrave servant' ORDER BY released_at DESC NULLS LAST, set_code ASC NULLS FIRST, collector_number ASC NULLS FIRST, id LIMIT 50")
 def ref_i3_k2_printings_for_name(spark, d):
     order = [F.col("released_at").desc_nulls_last(), F.col("set_code").asc_nulls_first(), F.col("collector_number").asc_nulls_first(), "id"]
-    return view(spark, d).where(C.predicates(name="Mudgrave Servant")).orderBy(*order).limit(50).select("id", "set_code", "collector_number", "released_at")
+    return view(spark, d).where(C.predicates(name="Mudgrave Servant")).orderBy(*order).select("id", "set_code", "collector_number", "released_at")
 
 
 def _queries(spark, d):
