@@ -3,6 +3,8 @@
 import datetime
 
 from weftline.plans.catalog_queries import QUERIES as CATALOG
+from weftline.plans.evaluation_queries import QUERIES as EVALUATION
+from weftline.plans.more_queries import QUERIES as MORE
 
 AT = datetime.datetime(2024, 1, 1)
 
@@ -20,3 +22,18 @@ def test_all_printings_of_a_name(spark, tmp_path):
     d = catalogue(spark, tmp_path, "Mudgrave Servant", "mudgrave servant", 60)
     got = [r.collector_number for r in CATALOG["ref_i3_k2_printings_for_name"](spark, d).collect()]
     assert got == sorted(map(str, range(60)))
+
+
+def test_split_and_newest_orders_are_whole(spark, tmp_path):
+    d = catalogue(spark, tmp_path, "Fire // Ice", "fire ice", 260)
+    want = sorted(range(260), key=str)
+    assert [r.id for r in CATALOG["ref_k6_split_order"](spark, d).collect()] == want
+    assert [r.id for r in MORE["ref_k5_newest_first"](spark, d).collect()] == want
+
+
+def test_newest_ten_thousand_pairs_are_kept(spark, tmp_path):
+    at = datetime.datetime(2024, 1, 1)
+    rows = [(f"e{i}", f"a{i}", 1, at, at + datetime.timedelta(seconds=i)) for i in range(10_050)]
+    spark.createDataFrame(rows, "expected_card_id string, actual_card_id string, seen_count long, first_seen_utc timestamp, last_seen_utc timestamp").write.parquet(f"{tmp_path}/simulated_card_pairs.parquet")
+    got = {r.expected_card_id for r in EVALUATION["ref_w14_keep_newest_pairs"](spark, str(tmp_path)).collect()}
+    assert got == {f"e{i}" for i in range(50, 10_050)}

@@ -220,7 +220,7 @@ def ref_a20_grouped_mismatches(spark, d):
 
 @query(f"SELECT expected_card_id, actual_card_id, seen_count FROM {_P} ORDER BY last_seen_utc DESC, first_seen_utc DESC, expected_card_id DESC, actual_card_id DESC LIMIT 1000")
 def ref_w14_keep_newest_pairs(spark, d):
-    return P.keep_newest(_store(spark, d), 1000).select("expected_card_id", "actual_card_id", "seen_count")
+    return P.keep_newest(_store(spark, d), 10_000).select("expected_card_id", "actual_card_id", "seen_count")
 
 
 def _events(spark, d):

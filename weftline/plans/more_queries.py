@@ -22,7 +22,7 @@ query = Registry()
 def ref_k5_newest_first(spark, d):
     low = lambda c: F.lower(F.coalesce(c, F.lit("")))
     v = view(spark, d).where(F.length(F.trim("image_uri")) > 0)
-    return v.orderBy(F.desc(F.coalesce("released_at", F.lit(""))), F.lower("name"), low("set_code"), low("collector_number"), "id").limit(200).select("id", "name", "released_at")
+    return v.orderBy(F.desc(F.coalesce("released_at", F.lit(""))), F.lower("name"), low("set_code"), low("collector_number"), "id").select("id", "name", "released_at")
 
 
 @query(f"SELECT obs_id, ord, row_number() OVER (PARTITION BY obs_id ORDER BY score DESC, name, coalesce(set_code, ''), coalesce(collector_number, ''), ord) AS rank FROM {_C}")
