@@ -17,7 +17,7 @@ from __future__ import annotations
 import bisect
 import re
 import unicodedata
-from collections.abc import Iterator, Sequence
+from collections.abc import Container, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -274,33 +274,45 @@ def distance(a: str, b: str, most: int) -> int:
 _NO_TITLE = re.compile(r"^\W*(?:illus\b|\d+[a-z]?\s*/\s*\d+|(?:\{[^}]*\})+\s*:)", re.I)
 
 
+_DASH = re.compile(r"[—–-]|//")
 _STRAY = re.compile(r"^(?:\d+x?|.)$")
 
 
-def title_candidates(lines: Sequence[str] | None, known: frozenset[str], starts: list[str]) -> list[str]:
+def title_candidates(lines: Sequence[str] | None, known: frozenset[str], starts: list[str], entries: Container[str] = ()) -> list[str]:
     """Normalized forms of the lines that may be a title, alone and with the line that follows.
 
     Lines of ``known`` (normalized type lines), beginnings of one of the sorted ``starts`` (rules
-    text), artists, numbers and costs are no titles.
+    text), artists, numbers and costs are no titles. Type lines without a dash may still be half of
+    a title; other joins with a type or rules line count if they are themselves one of ``entries``.
     """
     usable: list[str | None] = []
+    halves: list[str | None] = []  # lines that may be half of a title
+    loose: list[bool] = []  # whether a half may stand in a join that is no entry
     for line in () if lines is None else lines:
         if not line or _NO_TITLE.match(line):
             usable.append(None)
+            halves.append(None)
+            loose.append(False)
             continue
         f = fold(line)
         i = bisect.bisect_left(starts, f)
         rules = len(f) >= 4 and i < len(starts) and starts[i].startswith(f) or line.rstrip().endswith(".") and i and f.startswith(starts[i - 1])
-        usable.append(None if f in known or rules or not any(c.isalpha() for c in f) else line)
+        letters = any(c.isalpha() for c in f)
+        usable.append(None if f in known or rules or not letters else line)
+        halves.append(line if letters else None)
+        loose.append(usable[-1] is not None or f in known and not _DASH.search(line))
     out: dict[str, None] = {}
-    for k, line in enumerate(usable):
+    for k, line in enumerate(halves):
         if line is None:
             continue
-        texts = [line]
-        if k + 1 < len(usable) and usable[k + 1] is not None:
-            texts += [f"{line} {usable[k + 1]}", f"{line}{usable[k + 1]}"]
-        for t in texts:
+        texts = [] if usable[k] is None else [(line, True)]
+        if k + 1 < len(halves) and halves[k + 1] is not None:
+            free = loose[k] and loose[k + 1]
+            texts += [(f"{line} {halves[k + 1]}", free), (f"{line}{halves[k + 1]}", free)]
+        for t, free in texts:
             for f in (fold(t), normalize(t)):
+                if not free and f not in entries:
+                    continue
                 words = f.split()
                 out[f] = None
                 # Stray digits and single signs at the ends belong to no title.
@@ -337,7 +349,7 @@ def map_values(values: DataFrame, key: str, lines: str, entries: DataFrame, know
             for b in batches:
                 for a in range(0, len(b), 2000):
                     piece = b.iloc[a : a + 2000]
-                    got = lex.closest([title_candidates(x, types, rules) for x in piece["l"]])
+                    got = lex.closest([title_candidates(x, types, rules, lex.exact) for x in piece["l"]])
                     yield pd.DataFrame({
                         "k": piece["k"].to_numpy(),
                         "canonical": [lex.canonical[lex.exact[g[2]]] if g else "" for g in got],
