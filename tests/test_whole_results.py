@@ -4,6 +4,7 @@ import datetime
 
 from weftline.plans.catalog_queries import QUERIES as CATALOG
 from weftline.plans.evaluation_queries import QUERIES as EVALUATION
+from weftline.plans.evaluation_queries import facts
 from weftline.plans.more_queries import QUERIES as MORE
 
 AT = datetime.datetime(2024, 1, 1)
@@ -37,3 +38,10 @@ def test_newest_ten_thousand_pairs_are_kept(spark, tmp_path):
     spark.createDataFrame(rows, "expected_card_id string, actual_card_id string, seen_count long, first_seen_utc timestamp, last_seen_utc timestamp").write.parquet(f"{tmp_path}/simulated_card_pairs.parquet")
     got = {r.expected_card_id for r in EVALUATION["ref_w14_keep_newest_pairs"](spark, str(tmp_path)).collect()}
     assert got == {f"e{i}" for i in range(50, 10_050)}
+
+
+def test_two_level_counts_have_every_mode(spark, data):
+    q = EVALUATION["ref_a19_two_level_counts"](spark, data)
+    n = facts(spark, data).count()
+    assert {r["mode"] for r in q.collect()} >= {"greenfield", "small_pool", "unknown"}
+    assert q.agg({"n": "sum"}).first()[0] == n
