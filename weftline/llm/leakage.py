@@ -1,4 +1,4 @@
-"""Test passages that leaked into a corpus, found by spaced-seed hashing.
+"""Test passages that leaked into a corpus, found by seed hashing.
 
 A seed is a mask over word positions; positions that it ignores may differ. The hashes of the test
 items' words under each mask are joined with those of every corpus position. An item's hits within a
@@ -6,11 +6,11 @@ stretch of a text are counted, and where there are enough, the overlap around th
 substitutions, insertions and deletions allowed. Runs of ``run`` equal words are found by the mask
 that ignores nothing.
 
-Which overlaps the masks can't miss: an item of n words of which 80 % stand in order in a stretch is
-broken into runs by its edits. With B breaks, the mask of three adjacent words has at least
-0.8 n - 2 (B + 1) hits; ``share_hit`` asks for 0.15 n of them, so everything with up to 0.32 n - 1
-breaks is verified (edits that keep the length are found beyond that by the masks with gaps). Items of
-fewer than ``short`` words use masks of two words and one hit.
+Which overlaps the seeds can't miss: of an item of n words, k = 80 % stand in order in a stretch of
+s = 1.3 n words. Of the k - 1 pairs of successive kept words each of the n - k words left out and of
+the s - k further words parts at most one, so 3 k - 1 - n - s pairs (at least one from 20 words on)
+stand side by side in both. Every stretch with that many is verified. Items of fewer than ``short``
+words use masks of two words, with and without a gap, and one hit.
 
 The test items are a stated query set: they are taken in blocks of at most ``block_words`` words,
 whose index (about 100 bytes a word and mask) goes to the executors; each block meets all texts.
@@ -30,7 +30,6 @@ from pyspark.sql import functions as F
 
 from weftline.llm.confusables import PROTOTYPE, invisible
 
-MASKS = ((0, 1, 2), (0, 1, 3), (0, 2, 3))
 SHORT_MASKS = ((0, 1), (0, 2))
 _WORD = re.compile(r"[^\W_]+")
 _TAG = re.compile(r"</?[A-Za-z][^<>\n]{0,80}>")
@@ -94,14 +93,14 @@ class SeedIndex:
     members: dict
 
     @classmethod
-    def build(cls, items: list[tuple[object, str]], run: int, share: float, longer: float, share_hit: float, short: int) -> SeedIndex:
+    def build(cls, items: list[tuple[object, str]], run: int, share: float, longer: float, short: int) -> SeedIndex:
         split = [(i, w) for i, t in items if (w := words(t))]
         vocabulary: dict[str, int] = {}
         ids = [np.array([vocabulary.setdefault(x, len(vocabulary)) for x in w], np.int64) for _, w in split]
-        masks = (*MASKS, *SHORT_MASKS, (0,), tuple(range(run)))
+        masks = (*SHORT_MASKS, (0,), tuple(range(run)))
         h, o = [], []
         for k, w in enumerate(ids):
-            use = MASKS if len(w) >= short else SHORT_MASKS if len(w) >= 2 else ((0,),)
+            use = SHORT_MASKS[:1] if len(w) >= short else SHORT_MASKS if len(w) >= 2 else ((0,),)
             for m in (*use, masks[-1]):
                 x = np.unique(_hash(w, m, masks.index(m)))
                 h.append(x)
@@ -114,8 +113,11 @@ class SeedIndex:
         bits = np.zeros(1 << 22, np.bool_)  # 4 MB: most corpus positions end here
         bits[(unique >> np.uint64(42)).astype(np.int64)] = True
         n = np.array([len(w) for w in ids], np.int64)
-        need = np.where(n >= short, np.maximum(1, np.floor(share_hit * n)), 1).astype(np.int64)
-        return cls([i for i, _ in split], vocabulary, ids, unique, np.append(first, len(hashes)), owner, bits, masks, need, np.ceil(share * n - 1e-9).astype(np.int64), np.floor(longer * n + 1e-9).astype(np.int64), run, {})
+        kept, stretch = np.ceil(share * n - 1e-9).astype(np.int64), np.floor(longer * n + 1e-9).astype(np.int64)
+        # Of the kept - 1 pairs of successive kept words, each word of the item left out and each
+        # further word of the stretch parts at most one; the others are seeds.
+        need = np.where(n >= short, np.maximum(1, 3 * kept - 1 - n - stretch), 1)
+        return cls([i for i, _ in split], vocabulary, ids, unique, np.append(first, len(hashes)), owner, bits, masks, need, kept, stretch, run, {})
 
     def member(self, i: int) -> np.ndarray:
         """Of each word id whether item ``i`` has it; a bounded number of items is kept."""
@@ -219,7 +221,7 @@ def _leaks(batch: list[list[str]], index: SeedIndex) -> set[tuple[int, int]]:
 
 def find_leaks(
     docs: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str,
-    run: int = 12, share: float = 0.8, longer: float = 1.3, share_hit: float = 0.15, short: int = 20, block_words: int = 500_000,
+    run: int = 12, share: float = 0.8, longer: float = 1.3, short: int = 20, block_words: int = 500_000,
 ) -> DataFrame:
     """(key, item_key) of every text that holds ``run`` successive words of an item, or ``share`` of
     all its words in order within a stretch of ``longer`` times its length.
@@ -232,7 +234,7 @@ def find_leaks(
     kinds = f"k {docs.schema[key].dataType.simpleString()}, i {items.schema[item_key].dataType.simpleString()}"
     corpus = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t"))
     for block in _blocks(items, item_key, item_text, block_words):
-        index = spark.sparkContext.broadcast(SeedIndex.build(block, run, share, longer, share_hit, short))
+        index = spark.sparkContext.broadcast(SeedIndex.build(block, run, share, longer, short))
 
         def search(batches: Iterator[pd.DataFrame], index=index) -> Iterator[pd.DataFrame]:
             ix = index.value
