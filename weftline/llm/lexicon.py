@@ -3,9 +3,10 @@
 The entries (names and alias paths) form a trie, and their reversals a second one. A query's automaton
 is the bit-parallel one: for each number of errors a word whose bit i says that the first i characters
 of the query match the path so far. The frontier of all (query, node) pairs of a batch is advanced one
-level at a time with array operations. Of k errors either the first half of a query has at most k // 2
-or the second has fewer than that, so the trie is searched with the first half held to k // 2 errors
-and the reversed trie with the second half held to (k - 1) // 2; neither can miss an entry.
+level at a time with array operations; queries that are longer than the bits of a word take several.
+Of k errors either at most k // 2 come before the middle of a query, or at most (k - 1) // 2 come at the
+middle or after it. So the trie is searched with what lies before the middle held to k // 2 errors, and
+the reversed trie with all up to and with the middle held to (k - 1) // 2: one of both finds each entry.
 
 An entry is within reach if its distance is at most ``share`` of its own length, so the distance allowed
 depends on the entry. Rounds with growing distance stop as soon as a value has an entry: whatever is
@@ -15,8 +16,11 @@ found with at most k errors is the closest there is.
 from __future__ import annotations
 
 import bisect
+import itertools
 import re
 import unicodedata
+import uuid
+import zlib
 from collections.abc import Container, Iterator, Sequence
 from dataclasses import dataclass
 
@@ -28,11 +32,6 @@ from pyspark.sql import functions as F
 from weftline.llm.confusables import PROTOTYPE, invisible
 from weftline.session import tasks
 
-_ALPHABET = "0123456789abcdefghijklmnopqrstuvwxyz "
-_CODE = {c: i for i, c in enumerate(_ALPHABET)}
-_OTHER = len(_ALPHABET)
-#: Queries and entries up to this length fit the bits of a word; longer ones use whole numbers.
-WORD = 62
 _APOSTROPHES = dict.fromkeys(map(ord, "'’`´"))
 _RUN = re.compile("[^0-9a-z]+")
 
@@ -49,18 +48,33 @@ def fold(text: str) -> str:
     return normalize(text)
 
 
-def _codes(texts: list[str]) -> np.ndarray:
+def _codes(texts: list[str], code: dict[str, int]) -> np.ndarray:
     width = max(map(len, texts), default=0)
-    out = np.full((len(texts), width), 255, np.uint8)
+    out = np.full((len(texts), width), -1, np.int32)
     for i, t in enumerate(texts):
-        out[i, : len(t)] = [_CODE.get(c, _OTHER) for c in t]
+        out[i, : len(t)] = [code[c] for c in t]
     return out
 
 
+def _lowest(bits: np.ndarray, words: int) -> np.ndarray:
+    """Of each number the words that have so many of the lowest bits set: (words, numbers)."""
+    n = np.clip(bits[None, :] - 64 * np.arange(words)[:, None], 0, 64)
+    return np.where(n == 64, ~np.uint64(0), (np.uint64(1) << (n % 64).astype(np.uint64)) - np.uint64(1))
+
+
+def _up(x: np.ndarray) -> np.ndarray:
+    """All bits one place higher, from word to word."""
+    y = x << np.uint64(1)
+    if len(x) > 1:
+        y[1:] |= x[:-1] >> np.uint64(63)
+    return y
+
+
 @dataclass
 class Trie:
     """Nodes level by level: children of a node are neighbours. ``entry`` is -1 within an entry."""
 
+    code: dict[str, int]
     first: np.ndarray
     count: np.ndarray
     char: np.ndarray
@@ -72,10 +86,11 @@ class Trie:
     @classmethod
     def build(cls, entries: list[str]) -> Trie:
         """``entries`` are distinct and not empty."""
-        codes = _codes(entries)
+        code = {c: i for i, c in enumerate(sorted(set().union(*entries)))}
+        codes = _codes(entries, code)
         lengths = np.array([len(e) for e in entries], np.int32)
         node = np.zeros(len(entries), np.int64)
-        firsts, counts, chars, ends, low, high = [], [], [np.array([0], np.uint8)], [np.array([-1])], [], []
+        firsts, counts, chars, ends, low, high = [], [], [np.array([0], np.int32)], [np.array([-1])], [], []
         start, width = 0, 1
         alive = np.arange(len(entries))
         for d in range(codes.shape[1] + 1):
@@ -89,13 +104,13 @@ class Trie:
                 firsts.append(np.full(width, start + width))
                 counts.append(np.zeros(width, np.int64))
                 break
-            key = (node[alive] - start) * 256 + codes[alive, d]
+            key = (node[alive] - start) * len(code) + codes[alive, d]
             made, which = np.unique(key, return_inverse=True)
-            parent = made // 256
+            parent = made // len(code)
             n = np.bincount(parent, minlength=width)
             firsts.append(start + width + np.concatenate([[0], np.cumsum(n)[:-1]]))
             counts.append(n)
-            chars.append((made % 256).astype(np.uint8))
+            chars.append((made % len(code)).astype(np.int32))
             start, width = start + width, len(made)
             node[alive] = start + which
             end = np.full(width, -1)
@@ -103,29 +118,31 @@ class Trie:
             end[node[whole] - start] = whole
             ends.append(end)
         cat = np.concatenate
-        return cls(cat(firsts).astype(np.int32), cat(counts).astype(np.int32), cat(chars), cat(ends).astype(np.int32), cat(low).astype(np.int32), cat(high).astype(np.int32), lengths)
+        return cls(code, cat(firsts).astype(np.int32), cat(counts).astype(np.int32), cat(chars), cat(ends).astype(np.int32), cat(low).astype(np.int32), cat(high).astype(np.int32), lengths)
 
     def search(self, queries: list[str], most: np.ndarray, held: np.ndarray, share: float, split: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(query, entry, distance) of entries within ``most`` errors and ``share`` of their length.
 
-        The first half (as ``split`` counts it) of each query is held to ``held`` errors.
+        What comes before the middle of each query is held to ``held`` errors; if ``split`` is
+        "second", what comes at the middle as well.
         """
         m = np.array([len(q) for q in queries], np.int64)
         top = int(most.max(initial=0))
         one = np.uint64(1)
-        masks = np.zeros((len(queries), 64), np.uint64)
+        size = int(m.max(initial=0)) // 64 + 1
+        masks = np.zeros((size, len(queries), len(self.code) + 1), np.uint64)
         for i, q in enumerate(queries):
             for j, c in enumerate(q):
-                if c in _CODE:
-                    masks[i, _CODE[c]] |= one << np.uint64(j + 1)
-        full = (one << (m + 1).astype(np.uint64)) - one
-        mid = (m // 2 if split == "first" else m - m // 2).astype(np.uint64)
-        late = full & ~((one << (mid + one)) - one)
+                k = self.code.get(c)
+                if k is not None:
+                    masks[(j + 1) >> 6, i, k] |= one << np.uint64((j + 1) & 63)
+        full = _lowest(m + 1, size)
+        late = full & ~_lowest(m // 2 if split == "first" else m - m // 2 + 1, size)
         allowed = [np.where(e > most, np.uint64(0), np.where(e <= held, full, late)) for e in range(top + 1)]
         q = np.arange(len(queries))
         at = np.zeros(len(queries), np.int64)
-        state = [((one << np.uint64(e + 1)) - one) & allowed[e] for e in range(top + 1)]
-        accept = one << m.astype(np.uint64)
+        state = [_lowest(np.full(len(queries), e + 1), size) & allowed[e] for e in range(top + 1)]
+        last, bit = m // 64, one << (m % 64).astype(np.uint64)
         hits = []
         while len(q):
             n = self.count[at]
@@ -137,25 +154,28 @@ class Trie:
             ok = (self.longest[child] >= m[q] - most[q]) & (self.shortest[child] <= m[q] + most[q])
             origin = np.repeat(np.arange(len(at)), n)[ok]
             q, child = q[ok], child[ok]
-            mask = masks[q, self.char[child]]
+            mask = masks[:, q, self.char[child]]
             new, before, made = [], None, None
             for e in range(top + 1):
-                r = state[e][origin]
-                x = (r << one) & mask
+                r = state[e][:, origin]
+                x = _up(r) & mask
                 if e:
-                    x |= before | (before << one) | (made << one)
-                x &= allowed[e][q]
+                    x |= before | _up(before | made)
+                x &= allowed[e][:, q]
                 new.append(x)
                 before, made = r, x
             live = new[0] != 0
             for x in new[1:]:
                 live |= x != 0
+            live = live.any(axis=0)
             entry = self.entry[child]
+            whole = np.flatnonzero(entry >= 0)
             for e in range(top + 1):
-                got = np.flatnonzero((entry >= 0) & ((new[e] & accept[q]) != 0))
+                got = whole[(new[e][last[q[whole]], whole] & bit[q[whole]]) != 0]
                 if len(got):
                     hits.append((q[got], entry[got], np.full(len(got), e)))
-            q, at, state = q[live], child[live], [x[live] for x in new]
+                    whole = np.setdiff1d(whole, got, assume_unique=True)
+            q, at, state = q[live], child[live], [x[:, live] for x in new]
         if not hits:
             z = np.empty(0, np.int64)
             return z, z, z
@@ -173,8 +193,7 @@ class Lexicon:
     exact: dict[str, int]
     forward: Trie | None
     backward: Trie | None
-    short: np.ndarray
-    long: list[int]
+    longest: int
     share: float
 
     @classmethod
@@ -185,10 +204,8 @@ class Lexicon:
             if e and (e not in best or (c != e, c) < (best[e] != e, best[e])):
                 best[e] = c
         entries = sorted(best)
-        short = np.array([i for i, e in enumerate(entries) if len(e) <= WORD], np.int64)
-        used = [entries[i] for i in short]
-        tries = (Trie.build(used), Trie.build([e[::-1] for e in used])) if used else (None, None)
-        return cls(entries, [best[e] for e in entries], {e: i for i, e in enumerate(entries)}, *tries, short, [i for i, e in enumerate(entries) if len(e) > WORD], share)
+        tries = (Trie.build(entries), Trie.build([e[::-1] for e in entries])) if entries else (None, None)
+        return cls(entries, [best[e] for e in entries], {e: i for i, e in enumerate(entries)}, *tries, max(map(len, entries), default=0), share)
 
     def reach(self, n: int) -> int:
         """Most errors an entry may have that a query of ``n`` characters can be within."""
@@ -197,7 +214,8 @@ class Lexicon:
     def within(self, queries: list[str], most: int, frontier: int = 48) -> list[list[tuple[int, int]]]:
         """Of each query all (distance, entry) within ``most`` errors and the entry's own limit."""
         out: list[dict[int, int]] = [{} for _ in queries]
-        word = [i for i, q in enumerate(queries) if 0 < len(q) <= WORD]
+        near = self.longest + int(self.longest * self.share + 1e-9)  # no entry is near a longer query
+        word = [i for i, q in enumerate(queries) if 0 < len(q) <= near]
         word.sort(key=lambda i: len(queries[i]))
         for a in range(0, len(word) if self.forward else 0, frontier):
             part = word[a : a + frontier]
@@ -208,24 +226,11 @@ class Lexicon:
                 if not len(use):
                     continue
                 hq, he, hd = trie.search([texts[i] for i in use], k[use], held[use], self.share, split)
-                for i, e, d in zip(use[hq].tolist(), self.short[he].tolist(), hd.tolist()):
+                for i, e, d in zip(use[hq].tolist(), he.tolist(), hd.tolist()):
                     seen = out[part[i]]
                     seen[e] = min(d, seen.get(e, d))
-        far = [i for i, q in enumerate(queries) if len(q) > WORD]
-        for i in far:
-            for e in range(len(self.entries)) if self.long or len(queries[i]) <= WORD / (1 - self.share) else ():
-                self._long(queries[i], e, most, out[i])
-        for i, q in enumerate(queries) if self.long else ():
-            if len(q) <= WORD:
-                for e in self.long:
-                    self._long(q, e, most, out[i])
         return [sorted((d, e) for e, d in x.items()) for x in out]
 
-    def _long(self, q: str, e: int, most: int, into: dict[int, int]) -> None:
-        limit = min(most, int(self.share * len(self.entries[e]) + 1e-9))
-        if abs(len(q) - len(self.entries[e])) <= limit and (d := distance(q, self.entries[e], limit)) <= limit:
-            into[e] = d
-
     def closest(self, groups: list[list[str]]) -> list[tuple[int, int, str] | None]:
         """Of each group of queries the closest entry as (distance, -length, entry), or None.
 
@@ -252,112 +257,289 @@ class Lexicon:
         return found
 
 
-def distance(a: str, b: str, most: int) -> int:
-    """Levenshtein distance by the bit-parallel recurrence on whole numbers; ``most + 1`` if above."""
-    state = [(1 << (e + 1)) - 1 for e in range(most + 1)]
-    at: dict[str, int] = {}
-    for j, c in enumerate(a):
-        at[c] = at.get(c, 0) | 1 << (j + 1)
-    full = (1 << (len(a) + 1)) - 1
-    for c in b:
-        m, new, before, made = at.get(c, 0), [], 0, 0
-        for e, r in enumerate(state):
-            x = (r << 1) & m
-            if e:
-                x |= before | before << 1 | made << 1
-            new.append(x & full)
-            before, made = r, new[-1]
-        state = new
-    return next((e for e, r in enumerate(state) if r >> len(a) & 1), most + 1)
-
-
 _NO_TITLE = re.compile(r"^\W*(?:illus\b|\d+[a-z]?\s*/\s*\d+|(?:\{[^}]*\})+\s*:)", re.I)
 
 
 _DASH = re.compile(r"[—–-]|//")
+_RUN_OF_LETTERS = re.compile(r"[^\W\d_]{3}")
 _STRAY = re.compile(r"^(?:\d+x?|.)$")
 
 
-def title_candidates(lines: Sequence[str] | None, known: frozenset[str], starts: list[str], entries: Container[str] = ()) -> list[str]:
-    """Normalized forms of the lines that may be a title, alone and with the line that follows.
+# Flags of a line: nothing that could be a title, a type line, a line of rules text.
+_NOTHING, _TYPE, _RULE = 1, 2, 4
 
-    Lines of ``known`` (normalized type lines), beginnings of one of the sorted ``starts`` (rules
-    text), artists, numbers and costs are no titles. Type lines without a dash may still be half of
-    a title; other joins with a type or rules line count if they are themselves one of ``entries``.
+
+@dataclass
+class NoTitles:
+    """A part of the lines that are no titles: type lines, and rules text of which lines may be a beginning."""
+
+    known: frozenset[str]
+    starts: list[str]
+
+    def flags(self, lines: Sequence[str | None]) -> list[int]:
+        """Flags of each line. Those of several parts are added with ``|``."""
+        out = []
+        for line in lines:
+            if not line or _NO_TITLE.match(line):
+                out.append(_NOTHING)
+                continue
+            f = fold(line)
+            i = bisect.bisect_left(self.starts, f)
+            rule = len(f) >= 4 and i < len(self.starts) and self.starts[i].startswith(f) or line.rstrip().endswith(".") and self._goes_on(f)
+            out.append((_TYPE if f in self.known else 0) | (_RULE if rule else 0))
+        return out
+
+    def _goes_on(self, f: str) -> bool:
+        """Whether a line of rules text stands at the beginning of ``f``."""
+        end = len(f)
+        while end >= 4:
+            i = bisect.bisect_right(self.starts, f[:end]) - 1
+            if i < 0:
+                return False
+            s = self.starts[i]
+            same = next((n for n, (x, y) in enumerate(zip(s, f)) if x != y), min(len(s), len(f)))
+            if same == len(s):
+                return same >= 4
+            end = min(end - 1, same)
+        return False
+
+
+def _titles(lines: Sequence[str | None], flags: Sequence[int]) -> dict[str, bool]:
+    """Normalized forms that may be a title; False if they count only where they are themselves an entry.
+
+    A form of one or two characters counts where the line has a run of three letters (of a script that
+    normalizing drops), or where it is all there is: a single letter among signs or other lines is noise.
     """
-    usable: list[str | None] = []
-    halves: list[str | None] = []  # lines that may be half of a title
-    loose: list[bool] = []  # whether a half may stand in a join that is no entry
-    for line in () if lines is None else lines:
-        if not line or _NO_TITLE.match(line):
-            usable.append(None)
-            halves.append(None)
-            loose.append(False)
-            continue
-        f = fold(line)
-        i = bisect.bisect_left(starts, f)
-        rules = len(f) >= 4 and i < len(starts) and starts[i].startswith(f) or line.rstrip().endswith(".") and i and f.startswith(starts[i - 1])
-        letters = any(c.isalpha() for c in f)
-        usable.append(None if f in known or rules or not letters else line)
-        halves.append(line if letters else None)
-        loose.append(usable[-1] is not None or f in known and not _DASH.search(line))
-    out: dict[str, None] = {}
-    for k, line in enumerate(halves):
-        if line is None:
+    letters = [not x & _NOTHING and any(c.isalpha() for c in fold(t)) for t, x in zip(lines, flags)]
+    usable = [ok and not x & (_TYPE | _RULE) for ok, x in zip(letters, flags)]
+    loose = [u or bool(x & _TYPE) and not _DASH.search(t or "") for u, x, t in zip(usable, flags, lines)]
+    out: dict[str, bool] = {}
+    alone = sum(letters) == 1
+    for k, line in enumerate(lines):
+        if not letters[k]:
             continue
-        texts = [] if usable[k] is None else [(line, True)]
-        if k + 1 < len(halves) and halves[k + 1] is not None:
+        brief = _RUN_OF_LETTERS.search(line) or alone and line.strip().isalpha()
+        texts = [(line, True)] if usable[k] else []
+        if k + 1 < len(lines) and letters[k + 1]:
             free = loose[k] and loose[k + 1]
-            texts += [(f"{line} {halves[k + 1]}", free), (f"{line}{halves[k + 1]}", free)]
+            texts += [(f"{line} {lines[k + 1]}", free), (f"{line}{lines[k + 1]}", free)]
         for t, free in texts:
-            for f in (fold(t), normalize(t)):
-                if not free and f not in entries:
-                    continue
+            for f in dict.fromkeys((fold(t), normalize(t))):
                 words = f.split()
-                out[f] = None
+                forms = [f]
                 # Stray digits and single signs at the ends belong to no title.
                 while len(words) > 1 and _STRAY.match(words[0]):
                     words = words[1:]
                 while len(words) > 1 and _STRAY.match(words[-1]):
                     words = words[:-1]
-                out[" ".join(words)] = None
-    return [f for f in out if len(f) >= 3]
+                if free:
+                    forms.append(" ".join(words))
+                for x in forms:
+                    if len(x) >= 3 or x and brief:
+                        out[x] = out.get(x, False) or free
+    return out
+
+
+def title_candidates(lines: Sequence[str] | None, known: frozenset[str], starts: list[str], entries: Container[str] = ()) -> list[str]:
+    """Normalized forms of the lines that may be a title, alone and with the line that follows.
+
+    Lines of ``known`` (normalized type lines), beginnings of one of the sorted ``starts`` (rules
+    text), artists, numbers and costs are no titles. Type lines without a dash may still be half of
+    a title; other joins with a type or rules line count if they are themselves one of ``entries``.
+    """
+    lines = [] if lines is None else list(lines)
+    return [f for f, free in _titles(lines, NoTitles(known, starts).flags(lines)).items() if free or f in entries]
 
 
-def map_values(values: DataFrame, key: str, lines: str, entries: DataFrame, known: list[str], starts: list[str], share: float = 0.25, shard_entries: int = 250_000) -> DataFrame:
+@dataclass
+class Route:
+    """Shards of a list by length of the entries, and the shards a text of a length has to see."""
+
+    place: list[tuple[int, int, int]]  # length of an entry, first shard, shards of that length
+    first: np.ndarray
+    last: np.ndarray
+
+    @classmethod
+    def plan(cls, lengths: list[tuple[int, int]], share: float, shard_entries: int) -> Route:
+        """``lengths`` has (length, entries) in order."""
+        place, low, high, room = [], [], [], 0
+        for size, n in lengths:
+            if n > shard_entries:  # one length alone takes several
+                parts = -(-n // shard_entries)
+                place.append((size, len(low), parts))
+                low += [size] * parts
+                high += [size] * parts
+                room = 0
+                continue
+            if n > room:
+                low.append(size)
+                high.append(size)
+                room = shard_entries
+            place.append((size, len(low) - 1, 1))
+            high[-1] = size
+            room -= n
+        longest = lengths[-1][0] if lengths else 0
+        reach = np.floor(share * np.arange(longest + 1) + 1e-9).astype(np.int64)
+        up, down = np.arange(longest + 1) + reach, np.arange(longest + 1) - reach  # both grow with the length
+        m = np.arange(int(up[-1]) + 1)
+        least, most = np.searchsorted(up, m, "left"), np.searchsorted(down, m, "right") - 1
+        return cls(place, np.searchsorted(high, least, "left"), np.searchsorted(low, most, "right"))
+
+    def shards(self, n: int) -> range:
+        return range(int(self.first[n]), int(self.last[n])) if n < len(self.first) else range(0)
+
+
+#: Most characters of lines that are no titles that go to the executors at once.
+LINES_AT_ONCE = 32_000_000
+_built: dict[tuple, Lexicon] = {}
+
+
+def _parts(lines: DataFrame | Sequence[str]) -> Iterator[list[str]]:
+    """The lines in parts of about LINES_AT_ONCE characters, at least one part."""
+    if not isinstance(lines, DataFrame):
+        yield list(lines)
+        return
+    name = lines.columns[0]
+    held = lines.where(F.col(name).isNotNull()).select(name).distinct()
+    n = max(1, -(-(held.agg(F.sum(F.length(name))).first()[0] or 0) // LINES_AT_ONCE))
+    for i in range(n):
+        yield [r[0] for r in held.where(F.pmod(F.xxhash64(name), F.lit(n)) == i).toLocalIterator()]
+
+
+def _spread(rows: DataFrame) -> DataFrame:
+    """Rows in at least as many partitions as there are tasks; an input with enough splits isn't moved."""
+    n = tasks(rows.sparkSession)
+    return rows if rows.rdd.getNumPartitions() >= n else rows.repartition(n)
+
+
+def _list(entries: DataFrame) -> DataFrame:
+    """Each entry with its canonical value: of several its own, else the least."""
+    own = F.struct((F.col("canonical") != F.col("entry")).alias("other"), "canonical")
+    return entries.where((F.length("entry") > 0) & F.col("canonical").isNotNull()).groupBy("entry").agg(F.min(own).alias("c")).select("entry", "c.canonical")
+
+
+def _search(rows: DataFrame, prepare, answer, entries: DataFrame, kind: str, out: str, share: float, shard_entries: int) -> DataFrame:
+    """Meet every row's texts with the list.
+
+    ``prepare`` turns a batch of ``rows`` into (keys, texts with whether they may differ from an entry)
+    and ``answer`` a lexicon, keys and texts into the rows of ``out``. A list of one shard goes to the
+    executors as a whole. Of a larger one each shard is built where its texts are: texts go to the shards
+    of entries that are as long as they may be, in groups of a bounded number of rows.
+    """
+    spark = rows.sparkSession
+    given = _list(entries)
+    lengths = [(r.n, r["count"]) for r in given.groupBy(F.length("entry").alias("n")).count().orderBy("n").collect()]  # a row a length
+    if sum(n for _, n in lengths) <= shard_entries:
+        whole = spark.sparkContext.broadcast(Lexicon.build([(r.entry, r.canonical) for r in given.collect()], share))
+
+        def look_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                for a in range(0, len(b), 2000):
+                    yield answer(whole.value, *prepare(b.iloc[a : a + 2000]))
+
+        return rows.mapInPandas(look_up, out)
+
+    route = Route.plan(lengths, share, shard_entries)
+    n = rows.count()
+    salts = max(-(-n // 50_000), -(-2 * tasks(spark) // len(route.place)))
+    token = uuid.uuid4().hex
+
+    def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            made = []
+            for k, texts in zip(*prepare(b)):
+                by: dict[int, list[str]] = {}
+                for t, free in texts.items():
+                    for s in route.shards(len(t)):
+                        by.setdefault(s, []).append(t if free else f"={t}")
+                made += [(k, s, zlib.crc32(repr((k, ts)).encode()) % salts, ts) for s, ts in by.items()]
+            yield pd.DataFrame(made, columns=["k", "shard", "salt", "texts"])
+
+    def meet(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        held = (token, key[0])
+        if held not in _built:
+            _built.clear()  # one shard at a time in a process
+            _built[held] = Lexicon.build(list(zip(right["entry"], right["canonical"])), share)
+        texts = [{t[1:] if t[0] == "=" else t: t[0] != "=" for t in ts} for ts in left["texts"]]
+        parts = [answer(_built[held], left["k"].iloc[a : a + 2000], texts[a : a + 2000]) for a in range(0, len(left), 2000)]
+        return pd.concat(parts) if parts else answer(_built[held], left["k"], [])
+
+    sent = rows.mapInPandas(send, f"k {kind}, shard int, salt int, texts array<string>")
+    place = F.broadcast(spark.createDataFrame(route.place, "n int, first int, parts int"))  # a row a length
+    shard = (F.col("first") + F.pmod(F.xxhash64("entry"), F.col("parts").cast("bigint"))).cast("int")
+    sharded = given.withColumn("n", F.length("entry")).join(place, "n").select(shard.alias("shard"), "entry", "canonical", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    return sent.groupBy("shard", "salt").cogroup(sharded.groupBy("shard", "salt")).applyInPandas(meet, out)
+
+
+def map_values(
+    values: DataFrame, key: str, lines: str, entries: DataFrame, known: DataFrame | Sequence[str], starts: DataFrame | Sequence[str], share: float = 0.25, shard_entries: int = 100_000,
+) -> DataFrame:
     """(key, canonical, distance) of every row with at least one line; '' and null if none is near.
 
     ``entries`` has entry and canonical. ``lines`` is an array of strings; null lines are skipped,
-    rows whose array is null or empty give no row. The list is taken in shards of about
-    ``shard_entries`` entries, each a trie of its own that is sent to the executors; every value meets
-    every shard, and the closest entry of all shards holds.
+    rows whose array is null or empty give no row, rows with a null key one for all of them. ``known``
+    and ``starts`` are the type lines and the rules text, lists or tables of one column; a table of any
+    size is taken in parts. Of equally close entries the longest holds, then the least.
     """
-    spark = values.sparkSession
     kind = values.schema[key].dataType.simpleString()
-    given = entries.where(F.length("entry") > 0).select("entry", "canonical").distinct()
-    total = given.count()
-    shards = max(1, -(-total // shard_entries))
-    rows = values.where(F.size(lines) > 0).select(F.col(key).alias("k"), F.col(lines).alias("l")).repartition(max(tasks(spark), 1))
-    types, rules = frozenset(known), sorted(set(starts))
-    out = None
-    for s in range(shards):
-        part = given.where(F.pmod(F.xxhash64("entry"), F.lit(shards)) == s)
-        lexicon = spark.sparkContext.broadcast(Lexicon.build([(r.entry, r.canonical) for r in part.toLocalIterator()], share))
-
-        def look_up(batches: Iterator[pd.DataFrame], lexicon=lexicon) -> Iterator[pd.DataFrame]:
-            lex = lexicon.value
+    given = values.where(F.size(lines) > 0)
+    rows = _spread(given.select(F.col(key).alias("k"), F.col(lines).alias("l"), F.array().cast("array<int>").alias("f")))
+    parts = itertools.zip_longest(_parts(known), _parts(starts), fillvalue=())
+    sc = values.sparkSession.sparkContext
+    held = [sc.broadcast(_no_titles(types, rules)) for types, rules in parts]
+
+    def flagged(part, l, f) -> list[int]:
+        new = part.value.flags([] if l is None else l)
+        return [x | y for x, y in zip(f, new)] if len(f) else new
+
+    for part in held[:-1]:
+
+        def stage(batches: Iterator[pd.DataFrame], part=part) -> Iterator[pd.DataFrame]:
             for b in batches:
-                for a in range(0, len(b), 2000):
-                    piece = b.iloc[a : a + 2000]
-                    got = lex.closest([title_candidates(x, types, rules, lex.exact) for x in piece["l"]])
-                    yield pd.DataFrame({
-                        "k": piece["k"].to_numpy(),
-                        "canonical": [lex.canonical[lex.exact[g[2]]] if g else "" for g in got],
-                        "distance": pd.array([g[0] if g else None for g in got], "Int32"),
-                        "length": pd.array([-g[1] if g else None for g in got], "Int32"),
-                    })
-
-        found = rows.mapInPandas(look_up, f"k {kind}, canonical string, distance int, length int")
-        out = found if out is None else out.unionByName(found)
+                b["f"] = [flagged(part, x, f) for x, f in zip(b["l"], b["f"])]
+                yield b
+
+        rows = rows.mapInPandas(stage, f"k {kind}, l array<string>, f array<int>")
+    last = held[-1]
+
+    def prepare(b: pd.DataFrame):
+        return b["k"], [_titles(x, flagged(last, x, f)) for x, f in zip(b["l"], b["f"])]
+
+    def answer(lex: Lexicon, keys: pd.Series, texts: list[dict[str, bool]]) -> pd.DataFrame:
+        got = lex.closest([[t for t, free in ts.items() if free or t in lex.exact] for ts in texts])
+        return pd.DataFrame({
+            "k": keys.to_numpy(),
+            "canonical": [lex.canonical[lex.exact[g[2]]] if g else "" for g in got],
+            "distance": pd.array([g[0] if g else None for g in got], "Int32"),
+            "length": pd.array([-g[1] if g else None for g in got], "Int32"),
+        })
+
+    schema = f"k {kind}, canonical string, distance int, length int"
+    out = _search(rows, prepare, answer, entries, kind, schema, share, shard_entries)
+    nothing = given.select(F.col(key).alias("k"), F.lit("").alias("canonical"), F.lit(None).cast("int").alias("distance"), F.lit(None).cast("int").alias("length"))
     best = F.min(F.struct(F.col("distance").isNull().alias("none"), "distance", (-F.col("length")).alias("short"), "canonical")).alias("b")
-    return out.groupBy("k").agg(best).select(F.col("k").alias(key), "b.canonical", "b.distance")
+    return out.unionByName(nothing).groupBy("k").agg(best).select(F.col("k").alias(key), "b.canonical", "b.distance")
+
+
+def _no_titles(types: Sequence[str], rules: Sequence[str]) -> NoTitles:
+    known = {fold(t) for t in types} | {fold(p) for t in types for p in t.replace("//", "—").split("—")}
+    return NoTitles(frozenset(known - {""}), sorted({fold(t) for t in rules} - {""}))
+
+
+def all_within(values: DataFrame, text: str, entries: DataFrame, share: float = 0.25, shard_entries: int = 100_000) -> DataFrame:
+    """(text, entry, canonical, distance): every entry within reach of every distinct value, as it stands.
+
+    Values that are null, empty or out of reach of all entries give no row.
+    """
+    kind = "string"
+    rows = values.where(F.length(text) > 0).select(F.col(text).alias("k")).distinct().repartition(tasks(values.sparkSession))
+
+    def prepare(b: pd.DataFrame):
+        return b["k"], [{t: True} for t in b["k"]]
+
+    def answer(lex: Lexicon, keys: pd.Series, texts: list[dict[str, bool]]) -> pd.DataFrame:
+        qs = [t for ts in texts for t in ts]
+        rows = [(q, lex.entries[e], lex.canonical[e], d) for q, near in zip(qs, lex.within(qs, lex.longest)) for d, e in near]
+        return pd.DataFrame(rows, columns=["text", "entry", "canonical", "distance"])
+
+    return _search(rows, prepare, answer, entries, kind, "text string, entry string, canonical string, distance int", share, shard_entries)

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.functions.keys import fold_key
-from weftline.llm.lexicon import fold, map_values
+from weftline.functions.text import normalize_text
+from weftline.llm.lexicon import all_within, map_values
+from weftline.plans.text_queries import norm_sql
 from weftline.session import table
 
 
@@ -21,21 +23,33 @@ def card_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.unionByName(paths).distinct()
 
 
-def _no_titles(spark: SparkSession, sf_dir: str) -> tuple[list[str], list[str]]:
-    """Normalized type lines and lines of rules text of the list, which has a fixed size."""
+def _no_titles(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Type lines and lines of rules text of the list."""
     cards = table(spark, sf_dir, "oracle_cards")
-    types = [r.t for r in cards.select(F.col("type_line").alias("t")).where("t is not null").distinct().collect()]
-    rules = [r.t for r in cards.select(F.explode(F.split("oracle_text", "\n")).alias("t")).where("t is not null").distinct().collect()]
-    known = {fold(t) for t in types} | {fold(p) for t in types for p in t.replace("//", "—").split("—")}
-    return sorted(known - {""}), sorted({fold(t) for t in rules} - {""})
+    return cards.select("type_line"), cards.select(F.explode(F.split("oracle_text", "\n")).alias("line"))
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The card each recognition result shows, '' if its lines name none of the list."""
-    known, rules = _no_titles(spark, sf_dir)
-    results = table(spark, sf_dir, "recognition_results").select("obs_id", "ocr_lines").distinct()
-    found = map_values(results, "obs_id", "ocr_lines", card_entries(spark, sf_dir), known, rules)
-    return found.select("obs_id", F.col("canonical").alias("normalized_name")).distinct()
+    types, rules = _no_titles(spark, sf_dir)
+    results = table(spark, sf_dir, "recognition_results").where("obs_id is not null").select("obs_id", "ocr_lines")
+    found = map_values(results, "obs_id", "ocr_lines", card_entries(spark, sf_dir), types, rules)
+    return found.select("obs_id", F.col("canonical").alias("normalized_name"))
+
+
+def p2_within(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All entries of the list, names and aliases, within reach of each recognised line."""
+    lines = table(spark, sf_dir, "recognition_results").select(F.explode("ocr_lines").alias("line"))
+    return all_within(lines.select(normalize_text(F.col("line")).alias("text")), "text", card_entries(spark, sf_dir)).select("text", "entry", "distance")
+
+
+P2_WITHIN_SQL = f"""
+WITH k AS (SELECT id AS card_id, nullif(lower(trim(oracle_id, E' \\t\\n\\r')), '') AS k FROM printed_cards),
+e AS (SELECT normalized_name AS entry FROM oracle_cards WHERE normalized_name <> ''
+ UNION SELECT a.normalized_alias FROM aliases a JOIN k USING (card_id) JOIN (SELECT DISTINCT lower(trim(oracle_id, E' \\t\\n\\r')) AS k FROM oracle_cards WHERE normalized_name <> '') o ON o.k = k.k WHERE a.normalized_alias <> ''),
+t AS (SELECT DISTINCT {norm_sql('l')} AS text FROM (SELECT unnest(ocr_lines) AS l FROM recognition_results) WHERE {norm_sql('l')} <> '')
+SELECT text, entry, levenshtein(text, entry)::INT AS distance FROM t JOIN e ON abs(length(text) - length(entry)) <= length(entry) // 4 WHERE levenshtein(text, entry) <= length(entry) // 4
+"""
 
 
 def p2_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,5 +58,5 @@ def p2_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "recognition_results").select("obs_id", F.concat_ws(" | ", "ocr_lines").alias("lines")).distinct().join(none, "obs_id", "left_semi")
 
 
-QUERIES = {"p2_found": p2_found, "p2_unmatched": p2_unmatched}
-SQL: dict = {}
+QUERIES = {"p2_found": p2_found, "p2_unmatched": p2_unmatched, "p2_within": p2_within}
+SQL = {"p2_within": P2_WITHIN_SQL}
