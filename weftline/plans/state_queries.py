@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-
 from pyspark.sql import functions as F
 
 from weftline.functions.text import normalize_text
@@ -16,24 +12,18 @@ from weftline.plans.evaluation_queries import _F, facts
 from weftline.plans.registry import Registry
 from weftline.plans.score_queries import _C, candidates
 from weftline.plans.text_queries import norm_sql
-from weftline.session import table
+from weftline.session import shared_folder, table
 from weftline.streaming.state import count_pairs, event_stream, latest_store, pool_snapshot
 
 query = Registry()
 
 
-def _shared_folder(spark) -> str:
-    """A new folder that all executors see; a local one only where none is configured."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="weftline-")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
 @query("SELECT user_id::VARCHAR AS expected_card_id, event_type AS actual_card_id, count(*) AS seen_count, min(ts) AS first_seen_utc FROM events GROUP BY ALL")
 def ref_r4_stream_pair_counts(spark, d):
     """The pair store after streaming all events through it."""
     e = event_stream(spark, f"{d}/events.parquet")
     pairs = e.select(F.col("user_id").cast("string").alias("expected_card_id"), F.col("event_type").alias("actual_card_id"), F.col("ts").cast("timestamp").alias("seen_at"), F.unix_micros(F.col("ts").cast("timestamp")).alias("seq"))
-    at = _shared_folder(spark)
+    at = shared_folder(spark, "stream")
     count_pairs(pairs, f"{at}/store", f"{at}/offsets")
     return latest_store(spark, f"{at}/store").select("expected_card_id", "actual_card_id", "seen_count", "first_seen_utc")
 

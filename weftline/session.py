@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,16 +24,38 @@ def local_session(cores: str = "*", partitions: int = 8, **conf: str) -> SparkSe
     return b.getOrCreate()
 
 
+def shared_root(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``, which all executors share.
+
+    Only a local session may do without; it gets a temporary folder. On a cluster a folder of one
+    machine would lose what the others need, so there it fails.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    return tempfile.mkdtemp(prefix="weftline-")
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared one."""
+    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and return it without its lineage.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; a temporary one is
-    set only where none is configured (local tests). Files there outlive any executor.
+    Files there outlive any executor.
     """
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="weftline-"))
+        sc.setCheckpointDir(shared_root(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
