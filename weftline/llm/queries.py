@@ -6,7 +6,7 @@ import importlib
 
 QUERIES: dict = {}
 SQL: dict = {}
-for _m in ("packing_queries", "confusable_queries", "leak_queries", "quality_queries", "lexicon_queries"):
+for _m in ("percentile_queries", "packing_queries", "confusable_queries", "leak_queries", "quality_queries", "lexicon_queries"):
     _mod = importlib.import_module(f"weftline.llm.{_m}")
     QUERIES.update(_mod.QUERIES)
     SQL.update(_mod.SQL)
