@@ -1,5 +1,7 @@
 import datetime as dt
+import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -77,11 +79,17 @@ def test_retention_and_mismatches(spark):
     assert got == [(-4, "lea:1", -4, "2ed:1"), (-4, "lea:1", -2, "3ed:1"), (-3, "mh2:1", -3, "unrecognized")]
 
 
-def test_percentiles_by_either_way(spark):
-    df = spark.createDataFrame([(g, float(i * i % 101)) for i in range(300) for g in ("a", None)] + [("none", None)], "g string, v double")
-    q = {"p50": 0.5, "p90": 0.9}
-    a = E.group_percentiles(df, ["g"], F.col("v"), q).collect()
-    b = E.group_percentiles(df, ["g"], F.col("v"), q, in_memory=10).collect()
-    flat = lambda rows: [x for r in sorted(rows, key=str) for x in (r.p50, r.p90)]
-    assert flat(a) == pytest.approx(flat(b)) and len(a) == 2
-    assert E.beside(df.select("g").distinct(), spark.createDataFrame(a, "g string, p50 double, p90 double"), ["g"]).where("p50 is null").count() == 1
+def test_group_percentiles_without_a_task_a_group(spark):
+    rnd = random.Random(3)
+    rows = [("hot", rnd.gauss(0, 3)) for _ in range(3000)] + [(None, float(i)) for i in range(7)] + [("ties", 5.0)] * 40 + [("ties", -5.0)] * 3 + [("zero", 0.0), ("zero", -0.0), ("one", 1e-300), ("bad", None), ("bad", float("nan"))]
+    rows += [("ends", float("inf")), ("ends", -float("inf")), ("ends", 1.0)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(5)
+    got = {r.k: r for r in E.group_percentiles(df, ["k"], F.col("v"), {"p0": 0.0, "p10": 0.1, "p50": 0.5, "p100": 1.0}).collect()}
+    assert set(got) == {"hot", None, "ties", "zero", "one", "ends"}
+    for k in ("hot", None, "ties", "zero", "one"):
+        v = [x for g, x in rows if g == k]
+        for c, q in (("p0", 0.0), ("p10", 0.1), ("p50", 0.5), ("p100", 1.0)):
+            assert abs(got[k][c] - np.quantile(v, q)) < 1e-9, (k, c)
+    assert (got["ends"].p50, got["ends"].p100) == (1.0, float("inf"))
+    assert E.group_percentiles(df.limit(0), ["k"], F.col("v"), {"p": 0.5}).count() == 0
+    assert abs(E.group_percentiles(df.where("k = 'hot'"), [], F.col("v"), {"p": 0.5}).first().p - np.median([x for k, x in rows if k == "hot"])) < 1e-9

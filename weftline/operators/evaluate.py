@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.operators.multiselect import percentiles
-
 #: Metrics that are compared between two summaries, by column.
 METRICS = ("top1_accuracy", "top5_accuracy", "set_accuracy", "art_accuracy", "average_confidence", "average_scored_confidence", "average_runtime_seconds", "median_runtime_seconds", "runtime_stddev_seconds", "runtime_p95_seconds", "max_runtime_seconds")
 
@@ -21,18 +19,48 @@ def exact_mean(c: Column, places: int = 4) -> Column:
     return F.round(F.sum(c.cast("decimal(20,8)")) / F.count(c), places).cast("double")
 
 
-def group_percentiles(df: DataFrame, by: list[str], value: Column, quantiles: dict[str, float], in_memory: int = 2_000_000) -> DataFrame:
+#: Width of a bin of values, as a share of the value.
+BIN = 0.0005
+
+
+def _bin(v: Column) -> Column:
+    """Number of the bin a value is in; bins are in the order of their values, 0 has its own."""
+    size = F.floor(F.log(F.abs(F.when(v != 0, v))) / BIN).cast("bigint") + 2_000_000  # above 0 for any double
+    return F.when(v == 0, F.lit(0).cast("bigint")).when(v > 0, size).otherwise(-size)
+
+
+def group_percentiles(df: DataFrame, by: list[str], value: Column, quantiles: dict[str, float]) -> DataFrame:
     """Exact interpolated percentiles of each group: (by, one column a quantile).
 
-    An aggregate keeps a group's different values in one task; where a group has more than
-    ``in_memory`` rows the distributed multi-select takes its place. Both give the same values. Groups
-    without values are left out.
+    Equal values are counted first, then the bins of each group; the running counts of the bins say
+    which bins hold the wanted ranks, and only the values of these are sorted, a bin a task. So no
+    task gets the values of a group, however many it has. Null and NaN values are left out, infinite
+    ones count; groups without values are left out, null groups are groups.
     """
-    rows = df.select(*by, value.alias("__v")).where("__v is not null")
-    most = rows.groupBy(*by).count().agg(F.max("count").alias("n")).first()["n"] or 0
-    if most <= in_memory:
-        return rows.groupBy(*by).agg(*(F.percentile("__v", q).alias(n) for n, q in quantiles.items()))
-    return percentiles(rows, by, "__v", quantiles).drop("n")
+    v = value.cast("double")
+    rows = df.select(F.struct(F.lit(0), *by).alias("g"), v.alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
+    rows = rows.withColumn("v", F.col("v") + F.lit(0.0)).withColumn("bin", F.when(F.abs("v") == float("inf"), F.when(F.col("v") > 0, F.lit(2**60)).otherwise(F.lit(-(2**60)))).otherwise(_bin(F.col("v"))))
+    values = rows.groupBy("g", "bin", "v").agg(F.count("*").alias("n"))
+    bins = values.groupBy("g", "bin").agg(F.sum("n").alias("n"))
+    upto = Window.partitionBy("g").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    bins = bins.select("g", "bin", "n", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("before"), F.sum("n").over(Window.partitionBy("g")).alias("all"))
+    spots = []
+    for i, q in enumerate(quantiles.values()):
+        spot = F.lit(q) * (F.col("all") - 1)
+        spots += [F.struct(F.lit(2 * i).alias("k"), F.floor(spot).alias("r")), F.struct(F.lit(2 * i + 1).alias("k"), F.ceil(spot).alias("r"))]
+    here = F.filter(F.array(*spots), lambda s: (s["r"] >= F.col("before")) & (s["r"] < F.col("before") + F.col("n")))
+    wanted = bins.select("g", "bin", "before", "all", here.alias("spots")).where(F.size("spots") > 0)
+    within = Window.partitionBy("g", "bin").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = values.join(wanted, ["g", "bin"]).withColumn("at", F.col("before") + F.coalesce(F.sum("n").over(within), F.lit(0)))
+    got = ranked.select("g", "v", "all", "at", "n", F.explode("spots").alias("s")).where((F.col("s.r") >= F.col("at")) & (F.col("s.r") < F.col("at") + F.col("n")))
+    pick = lambda k: F.max(F.when(F.col("s.k") == k, F.col("v")))
+    per = got.groupBy("g").agg(F.max("all").alias("all"), *(pick(2 * i).alias(f"lo{i}") for i in range(len(quantiles))), *(pick(2 * i + 1).alias(f"hi{i}") for i in range(len(quantiles))))
+    out = []
+    for i, (name, q) in enumerate(quantiles.items()):
+        spot = F.lit(q) * (F.col("all") - 1)
+        part = spot - F.floor(spot)
+        out.append(F.when(part == 0, F.col(f"lo{i}")).otherwise(F.col(f"lo{i}") + (F.col(f"hi{i}") - F.col(f"lo{i}")) * part).alias(name))
+    return per.select(*(F.col("g")[c].alias(c) for c in by), *out)
 
 
 def beside(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
