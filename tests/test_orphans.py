@@ -1,6 +1,9 @@
 import datetime as dt
 import random
 
+from pyspark.sql import functions as F
+
+from weftline.operators import orphans
 from weftline.operators.orphans import find_orphans, orphan_counts, target_states
 
 T = dt.datetime
@@ -64,7 +67,27 @@ def test_empty_tables(spark):
     assert find_orphans(r, t).count() == 0
 
 
-def test_spans_are_merged(spark):
-    _, t = frames(spark, [], [("x", "k", T(2024, 1, d), T(2024, 1, d + 5), "") for d in (1, 3, 20)] + [("x", "k", None, None, "")])
-    s = target_states(t).first()
-    assert s.first_at == T(2024, 1, 1) and [(p.appeared.day, p.gone.day) for p in s.spans] == [(1, 8), (20, 25)]
+def test_overlapping_rows_change_once(spark):
+    _, t = frames(spark, [], [("x", "k", T(2024, 1, d), T(2024, 1, d + 5), "") for d in (1, 3, 20)] + [("x", "k", None, None, ""), ("x", "k", T(2024, 3, 1), T(2024, 2, 1), "")])
+    states, changes = target_states(t)
+    s, c = states.first(), changes.collect()
+    assert s.first_at == T(2024, 1, 1) and s.open_from is None and [tuple(e) for e in s.ends] == [("2024-01", False)]
+    assert [(x.t.day, x.there) for r in c for x in r.changes] == [(1, True), (8, False), (20, True), (25, False)]
+
+
+def test_hot_key_of_one_month_and_many_changes(spark, monkeypatch):
+    """Half of the references have one key and month; its target comes and goes all the time."""
+    rnd = random.Random(8)
+    at = lambda h: T(2024, 1, 1) + dt.timedelta(hours=h)
+    refs = [("a", str(i), "x", "hot" if i % 2 else f"k{i % 40}", at(rnd.randrange(700)), "") for i in range(2000)]
+    targets = [("x", "hot", at(2 * h), at(2 * h + 1), "") for h in range(350)] + [("x", f"k{i}", at(i * 9), None if i % 3 else at(i * 9 + 100), "") for i in range(35)]
+    r, t = frames(spark, refs, targets)
+    want = plain(refs, targets)
+    assert {tuple(x) for x in find_orphans(r, t).collect()} == want
+    monkeypatch.setattr(orphans, "MOST_BROADCAST", 3)
+    out = find_orphans(r, t)
+    assert {tuple(x) for x in out.collect()} == want
+    # The rows of the heavy key don't enter the join of the others.
+    rows = r.groupBy("ref_table", "row_key", "kind", "key").agg(F.min("at").alias("at")).withColumn("period", F.date_format("at", "yyyy-MM"))
+    keys, heavy, light = orphans.orphan_verdicts(rows, t, 4, 4)
+    assert [k.key for k in keys.collect()] == ["hot"] and {x.key for x in heavy.collect()} == {"hot"} and "hot" not in {x.key for x in light.collect()}

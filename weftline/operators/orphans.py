@@ -1,62 +1,61 @@
 """Orphan references: references whose target is missing, arrives later or is deleted before.
 
 The references are pre-aggregated per key and period first, so a key that a third of all rows
-point to is a few rows a period from then on. Keys with many references are checked against a
-broadcast of *their* targets only (there can be no more than ``tasks * 4`` such keys); all other
-keys meet their targets in a shuffle join. Both outcomes are united. A period in which every
-reference of a key has the same cause is decided without touching its rows; only periods in which
+point to is a few rows a period from then on. Keys with many references (there can be no more than
+``tasks * 4``) are checked by a broadcast of *their* verdicts only; all other keys meet their targets
+in a shuffle join that the rows of heavy keys don't enter. Both outcomes are united. A period in which
+every reference of a key has the same cause is decided without touching its rows; only periods in which
 a target appears or disappears are decided row by row.
+
+Whether a target is there is a running count: a target row adds one when it appears and takes one off
+when it is deleted. The count is carried on in two levels, from day to day and within a day, so no task
+gets all target rows of a key.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.session import cut, tasks
 
-def _never():
-    """End of a span that hasn't ended."""
-    return F.to_timestamp_ntz(F.lit("9999-12-31 00:00:00"))
-
+#: Most verdicts and changes of heavy keys that are broadcast; beyond it their rows are salted.
+MOST_BROADCAST = 200_000
 
 
-def target_states(targets: DataFrame, salts: int = 16) -> DataFrame:
-    """(kind, key, first_at, spans): when a key's targets were there.
+def target_states(targets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """When a key's targets were there: a row a key, and a row a key and month with changes.
 
     ``targets`` has kind, key, appeared (timestamp) and deleted (timestamp or null), one row for
-    each delivered target row. ``spans`` are periods [start, end) in which at least one target row was
-    present: from the first that wasn't deleted on, and before it those of deleted rows. Only deleted
-    rows are sorted, and merged per salt first, so that the rows of a frequent key don't meet in one
-    task. Rows with a null key or no time of appearance are no targets.
+    each delivered target row. The first table has kind, key, first_at, open_from (from when on a row
+    that is never deleted is there) and ends, the months in which the presence of deleted rows changed,
+    each with whether one was there at its end. The second has kind, key, period and changes, the times
+    of these changes in order, each with whether one was there from then on. Rows with a null key or no
+    time of appearance are no targets.
     """
     t = targets.where(F.col("key").isNotNull() & F.col("appeared").isNotNull()).select("kind", "key", "appeared", "deleted")
     whole = t.groupBy("kind", "key").agg(F.min("appeared").alias("first_at"), F.min(F.when(F.col("deleted").isNull(), F.col("appeared"))).alias("open_from"))
-    gone = t.where(F.col("deleted") > F.col("appeared")).select("kind", "key", "appeared", F.col("deleted").alias("gone")).distinct()
-    part = _merged(gone.withColumn("salt", F.pmod(F.xxhash64("appeared", "gone"), F.lit(salts))), ["kind", "key", "salt"])
-    ended = _merged(part, ["kind", "key"]).groupBy("kind", "key").agg(F.sort_array(F.collect_list(F.struct("appeared", "gone"))).alias("ended"))
-    span = "array<struct<appeared:timestamp_ntz,gone:timestamp_ntz>>" if dict(t.dtypes)["appeared"] == "timestamp_ntz" else "array<struct<appeared:timestamp,gone:timestamp>>"
-    none = F.array().cast(span)
-    before = F.filter(F.coalesce(F.col("ended").cast(span), none), lambda s: F.col("open_from").isNull() | (s["appeared"] < F.col("open_from")))
-    since = F.when(F.col("open_from").isNotNull(), F.array(F.struct(F.col("open_from").alias("appeared"), _never().alias("gone"))).cast(span)).otherwise(none)
-    return whole.join(ended, ["kind", "key"], "left").select("kind", "key", "first_at", F.concat(before, since).alias("spans"))
-
-
-def _merged(df: DataFrame, by: list[str]) -> DataFrame:
-    """Overlapping spans as one."""
-    w = Window.partitionBy(*by).orderBy("appeared", "gone")
-    before = F.max("gone").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    new = F.when(before.isNull() | (F.col("appeared") > before), 1).otherwise(0)
-    run = df.withColumn("new", new).withColumn("run", F.sum("new").over(w))
-    return run.groupBy(*by, "run").agg(F.min("appeared").alias("appeared"), F.max("gone").alias("gone")).drop("run", *(["salt"] if "salt" in by else []))
-
-
-def cause_at(at):
-    """Cause of a reference at time ``at`` given first_at and spans; null where the target is there.
+    both = F.array(F.struct(F.col("appeared").alias("t"), F.lit(1).alias("d")), F.struct(F.col("deleted").alias("t"), F.lit(-1).alias("d")))
+    events = t.where(F.col("deleted") > F.col("appeared")).select("kind", "key", F.inline(both)).groupBy("kind", "key", "t").agg(F.sum("d").alias("d")).where("d <> 0").withColumn("day", F.to_date("t"))
+    upto = Window.partitionBy("kind", "key").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    days = events.groupBy("kind", "key", "day").agg(F.sum("d").alias("d")).select("kind", "key", "day", F.coalesce(F.sum("d").over(upto), F.lit(0)).alias("before"))
+    within = Window.partitionBy("kind", "key", "day").orderBy("t")
+    run = events.join(days, ["kind", "key", "day"]).withColumn("n", F.col("before") + F.sum("d").over(within))
+    was = F.coalesce(F.lag("n").over(within), F.col("before")) > 0
+    turns = run.withColumn("was", was).where((F.col("n") > 0) != F.col("was"))
+    changes = turns.groupBy("kind", "key", F.date_format("t", "yyyy-MM").alias("period")).agg(F.sort_array(F.collect_list(F.struct("t", (F.col("n") > 0).alias("there")))).alias("changes"))
+    end = F.struct("period", F.element_at("changes", -1)["there"].alias("there"))
+    ends = changes.groupBy("kind", "key").agg(F.sort_array(F.collect_list(end)).alias("ends"))
+    return whole.join(ends, ["kind", "key"], "left"), changes
+
+
+def cause_at(at: Column) -> Column:
+    """Cause of a reference at time ``at`` from a key's state; null where the target is there.
 
     A reference without a time only can be missing.
     """
-    there = F.exists("spans", lambda s: (s["appeared"] <= at) & (s["gone"] > at))
+    past = F.filter("changes", lambda c: c["t"] <= at)
+    there = (F.coalesce(F.col("open_from") <= at, F.lit(False))) | F.when(F.size(past) > 0, F.element_at(past, -1)["there"]).otherwise(F.col("before"))
     return F.when(F.col("first_at").isNull(), "missing").when(at.isNull() | there, None).when(F.col("first_at") > at, "late").otherwise("deleted")
 
 
@@ -69,40 +68,46 @@ def find_orphans(refs: DataFrame, targets: DataFrame, heavy_per_task: int = 4) -
     """
     n_tasks = tasks(refs.sparkSession)
     rows = refs.where(F.col("key").isNotNull() & F.col("row_key").isNotNull()).groupBy("ref_table", "row_key", "kind", "key").agg(F.min("at").alias("at"))
-    rows = cut(rows.withColumn("period", F.date_format("at", "yyyy-MM")))
-    verdicts = orphan_verdicts(rows, targets, heavy_per_task, n_tasks)
+    rows = cut(rows.withColumn("period", F.coalesce(F.date_format("at", "yyyy-MM"), F.lit(""))))
+    keys, heavy, light = orphan_verdicts(rows, targets, heavy_per_task, n_tasks)
     by = ["ref_table", "kind", "key", "period"]
-    heavy = verdicts.where("heavy").drop("heavy")
-    light = verdicts.where("not heavy").drop("heavy")
-    # Heavy verdicts number at most the heavy keys times the periods, so they may be broadcast.
-    hit = _null_safe(rows, F.broadcast(heavy), by).unionByName(_null_safe(rows, light, by))
+    many, few = rows.join(keys, ["kind", "key"], "left_semi"), rows.join(keys, ["kind", "key"], "left_anti")
+    heavy = cut(heavy)
+    if (heavy.agg(F.sum(1 + F.greatest(F.size("changes"), F.lit(0)))).first()[0] or 0) <= MOST_BROADCAST:
+        checked = many.join(F.broadcast(heavy), by)
+    else:
+        spread = many.withColumn("salt", F.pmod(F.xxhash64("row_key"), F.lit(4 * n_tasks)).cast("int"))
+        checked = spread.join(heavy.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(4 * n_tasks - 1)))), [*by, "salt"]).drop("salt")
+    hit = checked.unionByName(few.join(light, by))
     out = hit.withColumn("cause", F.when(F.col("mixed"), cause_at(F.col("at"))).otherwise(F.col("cause")))
-    return out.where("cause is not null").select("ref_table", "row_key", "period", "cause").distinct()
+    return out.where("cause is not null").select("ref_table", "row_key", F.nullif("period", F.lit("")).alias("period"), "cause").distinct()
 
 
-def _null_safe(rows: DataFrame, verdicts: DataFrame, by: list[str]) -> DataFrame:
-    v = verdicts.withColumn("period", F.coalesce("period", F.lit("")))
-    r = rows.withColumn("join_period", F.coalesce("period", F.lit("")))
-    v = v.withColumnRenamed("period", "join_period")
-    return r.join(v, ["ref_table", "kind", "key", "join_period"]).drop("join_period")
+def orphan_verdicts(rows: DataFrame, targets: DataFrame, heavy_per_task: int, n_tasks: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The heavy keys, and verdicts on the keys and periods of heavy and of other keys that may hold orphans.
 
-
-def orphan_verdicts(rows: DataFrame, targets: DataFrame, heavy_per_task: int, n_tasks: int) -> DataFrame:
-    """Verdict on every key and period that may hold orphans: one cause, or mixed with the key's spans."""
+    A verdict is one cause, or mixed with the key's state.
+    """
     per = rows.groupBy("ref_table", "kind", "key", "period").agg(F.count("*").alias("n"), F.min("at").alias("lo"), F.max("at").alias("hi"))
     loads = per.groupBy("kind", "key").agg(F.sum("n").alias("n"))
     total = rows.count()
     limit = max(1.0, total / (n_tasks * heavy_per_task))
-    heavy_rows = [(r.kind, r.key) for r in loads.where(F.col("n") > limit).select("kind", "key").collect()] if total else []
-    keys = F.broadcast(rows.sparkSession.createDataFrame(heavy_rows, "kind string, key string"))
-    checked = per.join(keys, ["kind", "key"], "left_semi").join(F.broadcast(target_states(targets.join(keys, ["kind", "key"], "left_semi"))), ["kind", "key"], "left").withColumn("heavy", F.lit(True))
-    rest = per.join(keys, ["kind", "key"], "left_anti").join(target_states(targets), ["kind", "key"], "left").withColumn("heavy", F.lit(False))
-    both = checked.unionByName(rest)
-    # No edge of a span between the first and the last reference: all of them have one cause.
-    edge = F.exists("spans", lambda s: ((s["appeared"] > F.col("lo")) & (s["appeared"] <= F.col("hi"))) | ((s["gone"] > F.col("lo")) & (s["gone"] <= F.col("hi"))))
-    mixed = F.coalesce(edge | ((F.col("first_at") > F.col("lo")) & (F.col("first_at") <= F.col("hi"))), F.lit(False))
-    out = both.withColumn("mixed", mixed).withColumn("cause", cause_at(F.col("lo")))
-    return out.where("mixed or cause is not null").select("ref_table", "kind", "key", "period", "heavy", "mixed", "cause", "n", "first_at", F.when(F.col("mixed"), F.col("spans")).alias("spans"))
+    heavy_keys = [(r.kind, r.key) for r in loads.where(F.col("n") > limit).select("kind", "key").collect()] if total else []
+    keys = F.broadcast(rows.sparkSession.createDataFrame(heavy_keys, "kind string, key string"))  # at most n_tasks * heavy_per_task
+
+    def verdicts(how: str) -> DataFrame:
+        states, changes = target_states(targets.join(keys, ["kind", "key"], how))
+        j = per.join(keys, ["kind", "key"], how).join(states, ["kind", "key"], "left").join(changes, ["kind", "key", "period"], "left")
+        j = j.withColumn("changes", F.coalesce("changes", F.array().cast(changes.schema["changes"].dataType)))
+        earlier = F.filter("ends", lambda e: e["period"] < F.col("period"))
+        j = j.withColumn("before", F.when(F.size(earlier) > 0, F.element_at(earlier, -1)["there"]).otherwise(F.lit(False)))
+        inside = lambda c: (c > F.col("lo")) & (c <= F.col("hi"))
+        # No change between the first and the last reference: all of them have one cause.
+        mixed = F.exists("changes", lambda c: inside(c["t"])) | F.coalesce(inside(F.col("open_from")), F.lit(False)) | F.coalesce(inside(F.col("first_at")), F.lit(False))
+        out = j.withColumn("mixed", F.coalesce(mixed, F.lit(False))).withColumn("cause", cause_at(F.col("lo")))
+        return out.where("mixed or cause is not null").select("ref_table", "kind", "key", "period", "mixed", "cause", "first_at", "open_from", "before", "changes")
+
+    return keys, verdicts("left_semi"), verdicts("left_anti")
 
 
 def orphan_counts(refs: DataFrame, targets: DataFrame) -> DataFrame:
