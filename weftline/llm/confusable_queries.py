@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.confusables import annotate, look_alike_groups
+from weftline.llm.confusables import annotate, look_alike_groups, look_alike_rows
 from weftline.session import table
 
 NAMES = (("oracle_cards", "name"), ("printed_cards", "printed_name"), ("aliases", "alias"))
@@ -21,7 +21,7 @@ def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows whose name holds a character that isn't the ordinary one for what it shows."""
-    return annotate(_names(spark, sf_dir), "value").where("is_odd").select("ref_table", "row_id").distinct()
+    return look_alike_rows(_names(spark, sf_dir), "value").select("ref_table", "row_id").distinct()
 
 
 def p5_consistent_names(spark: SparkSession, sf_dir: str) -> DataFrame:
