@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.operators.fragment import SALT, fragment_join
+from weftline.operators.fragment import fragment_join
 from weftline.session import cut
 
 # Letters and the Latin letter they look like, after decomposition.
@@ -278,4 +278,4 @@ def look_alike_rows(df: DataFrame, text: str) -> DataFrame:
     cases = other.where("is_odd").select(F.col("form").alias(text))
     # Plain ASCII is never a case, so its rows, among them the frequent names, stay where they are.
     rows = df.where(F.col(text).isNotNull() & ~F.col(text).rlike(r"^[!-_a-~]+( [!-_a-~]+)*$"))
-    return fragment_join(rows, cases, text, "left_semi").drop(SALT)
+    return fragment_join(rows, cases, text, "left_semi").select(*df.columns)
