@@ -1,10 +1,11 @@
 import random
+import tracemalloc
 
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from weftline.llm.leakage import find_leaks, in_order, words
+from weftline.llm.leakage import SeedIndex, _leaks, find_leaks, in_order, words
 
 
 def lcs(a, b):
@@ -84,3 +85,18 @@ def test_empty_tables(spark):
     i = spark.createDataFrame([(1, "a b c d e f g h i j k l m")], "item_id int, text string")
     assert find_leaks(d, "doc_id", "text", i, "item_id", "text").count() == 0
     assert find_leaks(i.withColumnRenamed("item_id", "doc_id"), "doc_id", "text", i.limit(0), "item_id", "text").count() == 0
+
+
+def test_memory_follows_hits_and_not_items():
+    rnd = random.Random(4)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnop") for _ in range(6))
+    texts = [[word() for _ in range(60)] for _ in range(200)]
+    peaks = []
+    for n in (500, 20_000):
+        items = [(i, " ".join(word() for _ in range(15))) for i in range(n - 1)] + [(n, " ".join(texts[7][10:30]))]
+        index = SeedIndex.build(items, 12, 0.8, 1.3, 20)
+        tracemalloc.start()
+        assert _leaks(texts, index) == {(7, n - 1)}
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peaks[1] < 2 * peaks[0] + (1 << 21)

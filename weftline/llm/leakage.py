@@ -13,11 +13,13 @@ stand side by side in both. Every stretch with that many is verified. Items of f
 words use masks of two words, with and without a gap, and one hit.
 
 The test items are a stated query set: they are taken in blocks of at most ``block_words`` words,
-whose index (about 100 bytes a word and mask) goes to the executors; each block meets all texts.
+whose index (about 100 bytes a word) goes to the executors; each block meets all texts. A pass over
+the texts, which are split into words once, takes ``blocks_a_pass`` blocks.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -174,6 +176,11 @@ def verified(item: np.ndarray, text: np.ndarray, kept: int, stretch: int, member
     return any(in_order(item, text[s : s + stretch]) >= kept for s in starts.tolist())
 
 
+def _count_of(cells: np.ndarray, counts: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    at = np.searchsorted(cells, wanted).clip(0, len(cells) - 1)
+    return np.where(cells[at] == wanted, counts[at], 0)
+
+
 def _leaks(batch: list[list[str]], index: SeedIndex) -> set[tuple[int, int]]:
     """(text, item) of the batch's texts that hold an item's passage."""
     get = index.vocabulary.get
@@ -196,16 +203,17 @@ def _leaks(batch: list[list[str]], index: SeedIndex) -> set[tuple[int, int]]:
     # Stretches of twice the widest item, each position in two of them: no passage is cut in both.
     piece = (np.arange(len(ids)) - start[owner]) // widest
     base = np.concatenate([[0], np.cumsum(-(-np.diff(start) // widest) + 1)])
-    n_pieces = int(base[-1])
-    counts = np.zeros(n_pieces * n_items, np.int32)
+    # Only cells with hits are kept, so memory grows with the hits and not with pieces times items.
+    hits = []
     for m in range(len(index.masks) - 1):
         at, item = index.probe(ids, m)
-        if len(at):
-            cell = (base[owner[at]] + piece[at]) * n_items + item
-            counts += np.bincount(cell, minlength=len(counts)).astype(np.int32)
-    counts = counts.reshape(n_pieces, n_items)
-    both = counts[:-1] + counts[1:] if n_pieces > 1 else counts
-    p, i = np.nonzero(both >= index.need)
+        hits.append((base[owner[at]] + piece[at]) * n_items + item)
+    cells, counts = np.unique(np.concatenate(hits), return_counts=True)
+    if not len(cells):
+        return found
+    window = np.union1d(cells, cells[cells >= n_items] - n_items)
+    both = _count_of(cells, counts, window) + _count_of(cells, counts, window + n_items)
+    p, i = np.divmod(window[both >= index.need[window % n_items]], n_items)
     of = np.searchsorted(base, p, "right") - 1
     real = p < base[of + 1] - 1  # the last piece of each text is empty, a space to the next
     for t, p, i in zip(of[real].tolist(), p[real].tolist(), i[real].tolist()):
@@ -221,7 +229,7 @@ def _leaks(batch: list[list[str]], index: SeedIndex) -> set[tuple[int, int]]:
 
 def find_leaks(
     docs: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str,
-    run: int = 12, share: float = 0.8, longer: float = 1.3, short: int = 20, block_words: int = 500_000,
+    run: int = 12, share: float = 0.8, longer: float = 1.3, short: int = 20, block_words: int = 500_000, blocks_a_pass: int = 4,
 ) -> DataFrame:
     """(key, item_key) of every text that holds ``run`` successive words of an item, or ``share`` of
     all its words in order within a stretch of ``longer`` times its length.
@@ -233,24 +241,24 @@ def find_leaks(
     out = None
     kinds = f"k {docs.schema[key].dataType.simpleString()}, i {items.schema[item_key].dataType.simpleString()}"
     corpus = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t"))
-    for block in _blocks(items, item_key, item_text, block_words):
-        index = spark.sparkContext.broadcast(SeedIndex.build(block, run, share, longer, short))
+    blocks = _blocks(items, item_key, item_text, block_words)
+    while part := list(itertools.islice((spark.sparkContext.broadcast(SeedIndex.build(b, run, share, longer, short)) for b in blocks), blocks_a_pass)):
 
-        def search(batches: Iterator[pd.DataFrame], index=index) -> Iterator[pd.DataFrame]:
-            ix = index.value
+        def search(batches: Iterator[pd.DataFrame], part=part) -> Iterator[pd.DataFrame]:
             for b in batches:
                 keys, rows, held, size = b["k"].tolist(), [], [], 0
                 for j, t in enumerate(b["t"]):
                     held.append((keys[j], words(t)))
                     size += len(held[-1][1]) + 16
                     if size > 40_000 or j == len(keys) - 1:
-                        if ix.items:
-                            rows += [(held[t][0], ix.item_ids[i]) for t, i in _leaks([w for _, w in held], ix)]
+                        for ix in (x.value for x in part):
+                            if ix.items:
+                                rows += [(held[t][0], ix.item_ids[i]) for t, i in _leaks([w for _, w in held], ix)]
                         held, size = [], 0
                 yield pd.DataFrame(rows, columns=["k", "i"])
 
-        part = corpus.mapInPandas(search, kinds)
-        out = part if out is None else out.unionByName(part)
+        met = corpus.mapInPandas(search, kinds)
+        out = met if out is None else out.unionByName(met)
     if out is None:
         out = spark.createDataFrame([], kinds)
     return out.distinct().select(F.col("k").alias(key), F.col("i").alias(item_key))
