@@ -32,7 +32,7 @@ def test_forms():
     assert form("".join(PROSE for _ in range(2)) + "\n\n" + "\n".join(f"- Thing{i}" for i in range(4))) == "prose"
 
 
-LINES = st.lists(st.sampled_from([PROSE, "", "- Name of Thing", "1;2;3;x", "Quarry Harrier", "qzxv mmrt pplk wqrt zzkp", "a,b", "The end. ", "\t", "Nach", "x" * 90]), max_size=12)
+LINES = st.lists(st.sampled_from([PROSE, PROSE * 3, "Nach Haus " * 40, "one two three four five six seven eight nine ten " * 6, "", "- Name of Thing", "1;2;3;x", "Quarry Harrier", "qzxv mmrt pplk wqrt zzkp", "a,b", "The end. ", "\t", "Nach", "x" * 90]), max_size=12)
 
 
 @settings(max_examples=150, deadline=None)
@@ -64,8 +64,9 @@ def test_chunked_table_equals_whole(spark):
     rows += [(100, None, "x"), (101, "", "x"), (102, "word " * 30_000, "x"), (103, "y" * 5000, "x"), (104, "dup", "x"), (104, "dup", "x")]
     df = spark.createDataFrame(rows, "doc_id int, text string, n_words string")
     a = sorted(map(tuple, text_counts(df, "doc_id", "text", COMMON, chunk=10**9).collect()))
-    b = sorted(map(tuple, text_counts(df, "doc_id", "text", COMMON, chunk=700, fan=3).collect()))
-    assert a == b and len(a) == len(rows)
+    b = sorted(map(tuple, text_counts(df, "doc_id", "text", COMMON, chunk=700, fan=40, spread=1000).collect()))
+    c = sorted(map(tuple, text_counts(df, "doc_id", "text", COMMON, chunk=500).collect()))
+    assert a == b == c and len(a) == len(rows)
     q = {r.doc_id: r for r in text_quality(df, "doc_id", "text", COMMON).collect()}
     assert q[100].form is None and q[101].mean_word_length is None and q[102].n_words == 30_000
     assert text_quality(df.limit(0), "doc_id", "text", COMMON).count() == 0

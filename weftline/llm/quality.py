@@ -12,6 +12,7 @@ The counts of a word are fields of one integer (see FIELDS) and are added up as
 
 from __future__ import annotations
 
+import functools
 import pickle
 import re
 import unicodedata
@@ -102,11 +103,21 @@ class WordCounts(dict):
         return v
 
 
-def _distinct(words: list[str], window: int = 32) -> int:
-    """Different words of each window, added up. Taken per part of a line that is cut."""
-    if len(words) <= window:
+#: Words that a word is compared with to tell whether it repeats one shortly before it.
+NEAR = 14
+
+
+def _fresh(words: list[str]) -> int:
+    """Words that none of the NEAR words before them equals."""
+    if len(words) <= NEAR + 1:
         return len(set(words))
-    return sum(len(set(words[i : i + window])) for i in range(0, len(words), window))
+    at: dict[str, int] = {}
+    n = 0
+    for i, w in enumerate(words):
+        if at.get(w, -NEAR - 1) < i - NEAR:
+            n += 1
+        at[w] = i
+    return n
 
 
 def _is_mark(c: str) -> bool:
@@ -115,7 +126,11 @@ def _is_mark(c: str) -> bool:
 
 @dataclass
 class Line:
-    """Counts of a line or a part of it: its words, tabs, gaps, first word, last word's end."""
+    """Counts of a line or a part of it: its words, tabs, gaps, first word, last word's end.
+
+    ``distinct`` are the words that don't repeat one of those shortly before; of a part that may be
+    continued, ``first`` and ``last`` are its first and last NEAR words, so that this can be carried on.
+    """
 
     v: int = 0
     tabs: int = 0
@@ -123,10 +138,15 @@ class Line:
     bullet: bool = False
     punct: bool = False
     distinct: int = 0
+    first: tuple = ()
+    last: tuple = ()
 
     def __add__(self, o: Line) -> Line:
         mine, its = get(self.v, "words"), get(o.v, "words")
-        return Line(self.v + o.v, self.tabs + o.tabs, self.gaps + o.gaps, self.bullet if mine else o.bullet, o.punct if its else self.punct, self.distinct + o.distinct)
+        again = sum(w not in o.first[:j] and w in self.last[len(self.last) - NEAR + j if len(self.last) > NEAR - j else 0 :] for j, w in enumerate(o.first)) if self.last else 0
+        first = self.first if len(self.first) >= NEAR else (self.first + o.first)[:NEAR]
+        last = o.last if len(o.last) >= NEAR else (self.last + o.last)[-NEAR:]
+        return Line(self.v + o.v, self.tabs + o.tabs, self.gaps + o.gaps, self.bullet if mine else o.bullet, o.punct if its else self.punct, self.distinct + o.distinct - again, first, last)
 
 
 #: Words of a block by kind of line; ``texty`` with its common words, lines of one separator.
@@ -307,8 +327,11 @@ def _plus(*xs: tuple) -> tuple:
     return tuple(map(sum, zip(*xs)))
 
 
-def part_of(text: str, counts: WordCounts, glued: bool = False) -> Partial:
-    """Partial of a chunk; ``glued``: its first word is the end of one that began before it."""
+def part_of(text: str, counts: WordCounts, glued: bool = False, whole: bool = False) -> Partial:
+    """Partial of a chunk; ``glued``: its first word is the end of one that began before it.
+
+    ``whole``: it is the whole text, so that no state is kept for what may follow.
+    """
     p = Partial()
     rows = text.split("\n")
     p.single = len(rows) == 1
@@ -328,7 +351,9 @@ def part_of(text: str, counts: WordCounts, glued: bool = False) -> Partial:
             v = sum(map(at, words))
             total += v
             end = words[-1]
-            x = Line(v + rest, row.count("\t") if "\t" in row else 0, len(re.findall(r"\S {2,}(?=\S)", row)) if "  " in row else 0, bool(_BULLET.match(words[0])), end.rstrip(_CLOSERS).endswith(_END), _distinct(words))
+            x = Line(v + rest, row.count("\t") if "\t" in row else 0, len(re.findall(r"\S {2,}(?=\S)", row)) if "  " in row else 0, bool(_BULLET.match(words[0])), end.rstrip(_CLOSERS).endswith(_END), _fresh(words))
+            if not whole and k in (0, last):
+                x.first, x.last = tuple(words[:NEAR]), tuple(words[-NEAR:])
         if k == 0:
             p.head = x
         elif k == last:
@@ -361,20 +386,36 @@ def _row(p: Partial) -> tuple:
 _COLUMNS = [c.split()[0] for c in _SCHEMA.split(", ")]
 
 
-def text_counts(df: DataFrame, key: str, text: str, common: list[str], chunk: int = 65_536, fan: int = 16) -> DataFrame:
+def _tree(parts: list[Partial], fan: int = 16) -> Partial:
+    """Successive partials as one, merged ``fan`` at a time until one is left."""
+    while len(parts) > 1:
+        parts = [functools.reduce(Partial.merge, parts[a : a + fan]) for a in range(0, len(parts), fan)]
+    return parts[0] if parts else Partial()
+
+
+#: Characters of a chunk, and of a text whose chunks are counted in different tasks.
+CHUNK, SPREAD = 8_192, 32_768
+_LONGEST = 1 << 31  # no string has more bytes
+
+
+def text_counts(df: DataFrame, key: str, text: str, common: list[str], chunk: int = CHUNK, fan: int = 64, spread: int = SPREAD) -> DataFrame:
     """(key, counts) of every row: words, characters, symbols, lines, common words, words by form.
 
-    A null or empty text has counts 0. Texts longer than ``chunk`` characters are cut into chunks
-    that are counted in different tasks and merged ``fan`` at a time.
+    A null or empty text has counts 0. Texts longer than ``chunk`` characters are cut into chunks,
+    whose partial counts are merged through a tree; the chunks of texts longer than ``spread`` are
+    counted in different tasks and merged ``fan`` at a time, level by level, until one is left. The
+    outcome doesn't depend on either.
     """
     kind = df.schema[key].dataType.simpleString()
     known = df.sparkSession.sparkContext.broadcast(frozenset(w.lower() for w in common if w))
     rows = df.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    spread = max(spread, chunk)
 
     def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts = WordCounts(known.value)
         for b in batches:
-            out = pd.DataFrame([_row(part_of(t, counts)) for t in b["t"]], columns=_COLUMNS)
+            parts = (part_of(t, counts, whole=True) if len(t) <= chunk else _tree([part_of(c, counts, g) for c, g in chunks(t, chunk)]) for t in b["t"])
+            out = pd.DataFrame(map(_row, parts), columns=_COLUMNS)
             out.insert(0, "k", b["k"].to_numpy())
             yield out
 
@@ -392,26 +433,27 @@ def text_counts(df: DataFrame, key: str, text: str, common: list[str], chunk: in
 
     def merge(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("i")
-        p = Partial()
-        for x in part["p"]:
-            p = p.merge(pickle.loads(x))
+        p = _tree([pickle.loads(x) for x in part["p"]])
         return pd.DataFrame({"k": part["k"].iloc[:1], "u": part["u"].iloc[:1], "i": [int(part["i"].iloc[0]) // fan], "p": [pickle.dumps(p)]})
 
-    def finish(part: pd.DataFrame) -> pd.DataFrame:
-        out = pd.DataFrame([_row(pickle.loads(merge(part)["p"].iloc[0]))], columns=_COLUMNS)
-        out.insert(0, "k", part["k"].iloc[:1].to_numpy())
-        return out
+    def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = pd.DataFrame([_row(pickle.loads(x)) for x in b["p"]], columns=_COLUMNS)
+            out.insert(0, "k", b["k"].to_numpy())
+            yield out
 
-    short = rows.where(F.length("t") <= chunk).mapInPandas(whole, f"k {kind}, {_SCHEMA}")
-    long = rows.where(F.length("t") > chunk).withColumn("u", F.monotonically_increasing_id())
+    short = rows.where(F.length("t") <= spread).mapInPandas(whole, f"k {kind}, {_SCHEMA}")
+    long = rows.where(F.length("t") > spread).withColumn("u", F.monotonically_increasing_id())
     mid = f"k {kind}, u bigint, i int, p binary"
     parts = long.mapInPandas(cut_up, f"k {kind}, u bigint, i int, g boolean, c string").repartition("u", "i").mapInPandas(partial, mid)
-    level = parts.groupBy("k", "u", F.floor(F.col("i") / fan)).applyInPandas(merge, mid)
-    merged = level.groupBy("k", "u").applyInPandas(finish, f"k {kind}, {_SCHEMA}")
-    return short.unionByName(merged).withColumnRenamed("k", key)
+    left = -(-_LONGEST // (chunk // 2))  # no text has more chunks
+    while left > 1:
+        parts = parts.groupBy("k", "u", F.floor(F.col("i") / fan)).applyInPandas(merge, mid)
+        left = -(-left // fan)
+    return short.unionByName(parts.mapInPandas(finish, f"k {kind}, {_SCHEMA}")).withColumnRenamed("k", key)
 
 
-def text_quality(df: DataFrame, key: str, text: str, common: list[str], chunk: int = 65_536) -> DataFrame:
+def text_quality(df: DataFrame, key: str, text: str, common: list[str], chunk: int = CHUNK) -> DataFrame:
     """Ratios and the form of every text: prose, list, table, junk, or null without words.
 
     Ratios of a text without words, lines or characters are null.
