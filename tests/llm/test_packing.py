@@ -78,8 +78,8 @@ def test_texts(spark):
     rows = [(i, " ".join(word() for _ in range(rnd.choice([1, 3, 9, 30, 80]))), "x") for i in range(300)]
     rows += [(900, None, "x"), (901, "", "x"), (902, " ".join(word() for _ in range(900)), "x"), (903, "same text", "x"), (903, "same text", "x"), (None, "no key", "x")]
     df = spark.createDataFrame(rows, "doc_id bigint, piece string, container string").withColumnsRenamed({"piece": "text"})
-    out = pack(df, "doc_id", "text", 128, salts=4).collect()
-    enc = encoder(VOCABULARY)
+    out = pack(df, "doc_id", "text", 128, salt_rows=10).collect()
+    enc = encoder(open(VOCABULARY, "rb").read())
     size = {}
     for d, t, _ in rows:
         size.setdefault(d, []).append(len(enc.encode_ordinary(t or "")))

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import base64
 import bisect
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,22 +32,27 @@ PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 _encoders: dict[str, object] = {}
 
 
-def encoder(vocabulary: str):
-    """The tokenizer of a vocabulary file, once a process."""
-    if vocabulary not in _encoders:
+def encoder(vocabulary: bytes):
+    """The tokenizer of a vocabulary file's content, once a process."""
+    name = hashlib.sha256(vocabulary).hexdigest()
+    if name not in _encoders:
         import tiktoken
 
-        with open(vocabulary, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
-        _encoders[vocabulary] = tiktoken.Encoding("container", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return _encoders[vocabulary]
+        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in vocabulary.splitlines() if line.strip())}
+        _encoders[name] = tiktoken.Encoding("container", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return _encoders[name]
 
 
 def count_tokens(df: DataFrame, key: str, text: str, vocabulary: str = VOCABULARY) -> DataFrame:
-    """(key, n_tokens) of every row; a null text has 0 tokens."""
+    """(key, n_tokens) of every row; a null text has 0 tokens.
+
+    The vocabulary file is read on the driver and its content, of a fixed size, goes to the executors.
+    """
+    with open(vocabulary, "rb") as f:
+        held = df.sparkSession.sparkContext.broadcast(f.read())
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = encoder(vocabulary).encode_ordinary
+        enc = encoder(held.value).encode_ordinary
         for b in batches:
             yield pd.DataFrame({"k": b["k"], "n_tokens": [len(enc(t)) if t else 0 for t in b["t"]]})
 
@@ -194,13 +200,14 @@ def slot_table(groups: list[Group], first: int) -> dict[str, np.ndarray]:
     return {"size": table[:, 0], "start": table[:, 1], "container": table[:, 2], "copies": table[:, 3]}
 
 
-def pack(df: DataFrame, key: str, text: str, capacity: int = 2048, vocabulary: str = VOCABULARY, salts: int = 256) -> DataFrame:
+def pack(df: DataFrame, key: str, text: str, capacity: int = 2048, vocabulary: str = VOCABULARY, salt_rows: int = 100_000) -> DataFrame:
     """(key, piece, token_start, n_tokens, container) of every text and piece.
 
     A text of more than ``capacity`` tokens is cut into full pieces, each a container of its own,
     and a last piece that is packed with the rest; any other text is piece 0 as a whole. Null and
     empty texts have one piece of 0 tokens in container 0. Rows with a null or repeated key are
-    texts of their own. An empty table gives no rows.
+    texts of their own. An empty table gives no rows. Pieces of one size are ranked in groups of about
+    ``salt_rows`` at most, however many there are.
     """
     spark = df.sparkSession
     sized = count_tokens(df, key, text, vocabulary).withColumnRenamed(key, "k")
@@ -208,15 +215,17 @@ def pack(df: DataFrame, key: str, text: str, capacity: int = 2048, vocabulary: s
     pieces = sized.select("k", F.col("n_tokens").alias("all"), F.explode(F.sequence(F.lit(0), last)).alias("piece"))
     start = F.col("piece").cast("bigint") * capacity
     pieces = pieces.select("k", "piece", start.alias("token_start"), F.least(F.lit(capacity).cast("bigint"), F.col("all") - start).alias("n_tokens"))
-    pieces = cut(pieces.withColumn("salt", F.pmod(F.xxhash64("k", "piece", F.monotonically_increasing_id()), F.lit(salts))))
-    counts = pieces.groupBy("n_tokens", "salt").agg(F.count("*").alias("n"))
-    by_size = counts.where("n_tokens > 0").groupBy("n_tokens").agg(F.sum("n").alias("n"))
+    pieces = cut(pieces)
+    salts = max(1, -(-pieces.count() // salt_rows))
+    full = pieces.where("n_tokens > 0").withColumn("salt", F.pmod(F.xxhash64("k", "piece", F.monotonically_increasing_id()), F.lit(salts)))
+    counts = full.groupBy("n_tokens", "salt").agg(F.count("*").alias("n"))
+    by_size = counts.groupBy("n_tokens").agg(F.sum("n").alias("n"))
     groups = pack_histogram({r.n_tokens: r.n for r in by_size.collect()}, capacity)  # at most `capacity` rows
     slots = spark.sparkContext.broadcast(slot_table(groups, 0))
     before = Window.partitionBy("n_tokens").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("n_tokens", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
     within = Window.partitionBy("n_tokens", "salt").orderBy("k", "piece")
-    ranked = pieces.withColumn("r", F.row_number().over(within) - 1).join(offsets, ["n_tokens", "salt"])
+    ranked = full.withColumn("r", F.row_number().over(within) - 1).join(offsets, ["n_tokens", "salt"])
     ranked = ranked.select("k", "piece", "token_start", "n_tokens", (F.col("offset") + F.col("r")).alias("rank"))
 
     @F.pandas_udf("bigint")
@@ -230,6 +239,8 @@ def pack(df: DataFrame, key: str, text: str, capacity: int = 2048, vocabulary: s
         wide = int(max(t["start"].max(), r.max(initial=0))) + 1
         at = np.searchsorted(t["size"] * wide + t["start"], n * wide + r, "right") - 1
         at = np.clip(at, lo, np.maximum(hi - 1, lo)).clip(0, len(t["size"]) - 1)
-        return pd.Series(np.where(n > 0, t["container"][at] + (r - t["start"][at]) // t["copies"][at], 0))
+        return pd.Series(t["container"][at] + (r - t["start"][at]) // t["copies"][at])
 
-    return ranked.select(F.col("k").alias(key), "piece", "token_start", "n_tokens", container("n_tokens", "rank").alias("container"))
+    put = ranked.select("k", "piece", "token_start", "n_tokens", container("n_tokens", "rank").alias("container"))
+    empty = pieces.where("n_tokens = 0").select("k", "piece", "token_start", "n_tokens", F.lit(0).cast("bigint").alias("container"))
+    return put.unionByName(empty).withColumnRenamed("k", key)
