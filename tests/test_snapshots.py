@@ -5,7 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from weftline.operators.snapshots import Bitmap, snapshot_changes, snapshot_ordinals
+from weftline.operators.snapshots import Bitmap, kept_ordinals, snapshot_changes, snapshot_ordinals
 
 SETS = st.sets(st.one_of(st.integers(0, 200_000), st.integers(60_000, 70_000)), max_size=300)
 
@@ -68,3 +68,20 @@ def test_one_or_no_snapshot(spark):
     df = spark.createDataFrame([(1, "a", "u", 1)], "s int, k string, u string, v int")
     assert snapshot_changes(df, "s", "k", "v", {"u": F.col("u")}).count() == 0
     assert snapshot_changes(df.limit(0), "s", "k", "v", {"u": F.col("u")}).count() == 0
+
+
+def test_ordinals_are_kept_while_the_table_grows(spark, tmp_path):
+    """Between two runs the table doubles, then grows tenfold: buckets split, and every old key keeps its number."""
+    store, per, held = f"{tmp_path}/ordinals", 5, {}
+    watched = {"u": F.col("u")}
+    for n in (40, 80, 800):
+        rows = [(s, f"k{i}", f"{i}{'x' if s == 2 and i % 7 == 0 else ''}", 1) for s in (1, 2) for i in range(n) if i % 10 != s]
+        df = spark.createDataFrame(rows, "s int, k string, u string, v int")
+        ordinals = kept_ordinals(df, "s", "k", store, per)
+        now = {r.key: (r.bucket, r.ordinal) for r in ordinals.collect()}
+        assert len(set(now.values())) == len(now) == len({k for _, k, _, _ in rows})
+        assert all(now[k][1] == o for k, (_, o) in held.items())
+        held = now
+        with_known = {tuple(r) for r in snapshot_changes(df, "s", "k", "v", watched, ordinals, per).collect()}
+        assert with_known == {tuple(r) for r in snapshot_changes(df, "s", "k", "v", watched).collect()}
+    assert ordinals.select("buckets").distinct().count() == 1 and ordinals.first().buckets > 16

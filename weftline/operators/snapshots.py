@@ -133,9 +133,10 @@ def snapshot_changes(snapshots: DataFrame, snapshot: str, key: str, version: str
     to the values whose difference is a change; null counts as empty. Values are compared by two
     independent 64-bit hashes, so the vectors have a fixed width however long the texts are. Rows
     without a snapshot or a key are left out; a snapshot that is empty or the only one gives no
-    row. ``ordinals`` (bucket, key, ordinal, from :func:`snapshot_ordinals`) keeps earlier numbers.
+    row. ``ordinals`` (buckets, bucket, key, ordinal, from :func:`snapshot_ordinals`) has the numbers of
+    all keys and the number of buckets that they were made with; without it keys are numbered afresh.
     """
-    rows, order, buckets = _bucketed(snapshots, snapshot, key, version, watched, per_bucket)
+    rows, order, buckets = _bucketed(snapshots, snapshot, key, version, watched, per_bucket, ordinals)
     vectors = [c for c in rows.columns if c.startswith("v_")]
     kind, key_kind = snapshots.schema[snapshot].dataType.simpleString(), snapshots.schema[key].dataType.simpleString()
     schema = f"snapshot {kind}, key {key_kind}, change string"
@@ -148,36 +149,71 @@ def snapshot_changes(snapshots: DataFrame, snapshot: str, key: str, version: str
 
     if ordinals is None:
         return rows.groupBy("bucket").applyInPandas(alone, schema)
-    return rows.groupBy("bucket").cogroup(ordinals.groupBy("bucket")).applyInPandas(with_known, schema)
+    return rows.groupBy("bucket").cogroup(ordinals.select("bucket", "key", "ordinal").groupBy("bucket")).applyInPandas(with_known, schema)
 
 
-def snapshot_ordinals(snapshots: DataFrame, snapshot: str, key: str, buckets: int, known: DataFrame | None = None) -> DataFrame:
-    """(bucket, key, ordinal): every key's ordinal, known ones kept and new ones numbered on."""
+def buckets_of(ordinals: DataFrame) -> int:
+    """Number of buckets that stored ordinals were made with; 0 of an empty table."""
+    return ordinals.agg(F.max("buckets")).first()[0] or 0
+
+
+def snapshot_ordinals(snapshots: DataFrame, snapshot: str, key: str, per_bucket: int = 50_000, known: DataFrame | None = None) -> DataFrame:
+    """(buckets, bucket, key, ordinal): every key's ordinal, known ones kept and new ones numbered on.
+
+    The number of buckets is kept as well. Where the rows outgrow the buckets four times, each bucket is
+    split in two until they fit; a key then keeps its ordinal within the half it falls into. Ordinals are
+    unique within a bucket; rows without a snapshot or key are left out.
+    """
     key_kind = snapshots.schema[key].dataType.simpleString()
-    keys = snapshots.where(F.col(key).isNotNull() & F.col(snapshot).isNotNull()).select(F.col(key).alias("key")).distinct()
-    keys = keys.withColumn("bucket", _bucket(F.col("key"), buckets)).withColumn("snapshot", F.lit(0))
+    given = snapshots.where(F.col(key).isNotNull() & F.col(snapshot).isNotNull())
+    rows = given.count()
+    buckets = buckets_of(known) if known is not None else 0
+    buckets = buckets or max(1, -(-rows // per_bucket))
+    while rows > 4 * per_bucket * buckets:
+        buckets *= 2
+    keys = given.select(F.col(key).alias("key")).distinct().withColumn("bucket", _bucket(F.col("key"), buckets)).withColumn("snapshot", F.lit(0))
 
     def number(part: pd.DataFrame, old: pd.DataFrame | None) -> pd.DataFrame:
         out = compare_bucket(part, old, [0], [])[1]
         source = part if len(part) else old
-        return out.assign(bucket=int(source["bucket"].iloc[0]))[["bucket", "key", "ordinal"]]
+        return out.assign(bucket=int(source["bucket"].iloc[0]), buckets=buckets)[["buckets", "bucket", "key", "ordinal"]]
 
-    schema = f"bucket int, key {key_kind}, ordinal bigint"
+    schema = f"buckets int, bucket int, key {key_kind}, ordinal bigint"
     if known is None:
         return keys.groupBy("bucket").applyInPandas(lambda part: number(part, None), schema)
-    return keys.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInPandas(number, schema)
+    old = known.select("key", "ordinal", _bucket(F.col("key"), buckets).alias("bucket"))
+    return keys.groupBy("bucket").cogroup(old.groupBy("bucket")).applyInPandas(number, schema)
+
+
+def kept_ordinals(snapshots: DataFrame, snapshot: str, key: str, store: str, per_bucket: int = 50_000) -> DataFrame:
+    """Ordinals from the folder ``store``, brought up to date there with the keys of ``snapshots``.
+
+    Each run writes a version of its own and older ones are removed, so a reader finds a whole one.
+    """
+    spark = snapshots.sparkSession
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(store)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    at = lambda n: spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{store}/v={n}")
+    names = [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
+    versions = sorted(int(n[2:]) for n in names if n.startswith("v=") and fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{store}/{n}/_SUCCESS")))
+    known = spark.read.parquet(f"{store}/v={versions[-1]}") if versions else None
+    new = versions[-1] + 1 if versions else 0
+    snapshot_ordinals(snapshots, snapshot, key, per_bucket, known).write.mode("overwrite").parquet(f"{store}/v={new}")
+    for old in versions[:-1]:  # the one before stays for readers that have begun
+        fs.delete(at(old), True)
+    return spark.read.parquet(f"{store}/v={new}")
 
 
 def _bucket(key: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
 
 
-def _bucketed(snapshots: DataFrame, snapshot: str, key: str, version: str, watched: dict[str, Column], per_bucket: int):
+def _bucketed(snapshots: DataFrame, snapshot: str, key: str, version: str, watched: dict[str, Column], per_bucket: int, ordinals: DataFrame | None):
     """Rows with bucket, snapshot, key and hash vectors, one a snapshot and key; the snapshots in order."""
     given = snapshots.where(F.col(key).isNotNull() & F.col(snapshot).isNotNull())
     seen = given.groupBy(snapshot).agg(F.count("*").alias("n")).orderBy(snapshot).collect()  # one row a snapshot
     order = [r[0] for r in seen]
-    buckets = max(1, -(-sum(r["n"] for r in seen) // per_bucket))
+    buckets = (buckets_of(ordinals) if ordinals is not None else 0) or max(1, -(-sum(r["n"] for r in seen) // per_bucket))
     hashes = []
     for i, value in enumerate(watched.values()):
         v = F.coalesce(value.cast("string"), F.lit(""))

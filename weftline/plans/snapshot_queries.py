@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.functions.keys import squeeze
-from weftline.operators.snapshots import snapshot_changes
-from weftline.session import table
+from weftline.operators.snapshots import kept_ordinals, snapshot_changes
+from weftline.session import shared_root, table
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changes between exports. The keys' ordinals are read from the shared folder and kept there for the next run."""
     exports = table(spark, sf_dir, "catalog_snapshots")
     watched = {"image_uri": F.col("image_uri"), "oracle_text": squeeze(F.col("oracle_text"))}
-    return snapshot_changes(exports, "snapshot_no", "scryfall_id", "exported_at", watched).select(F.col("snapshot").alias("snapshot_no"), F.col("key").alias("scryfall_id"), "change")
+    store = f"{shared_root(spark)}/ordinals-{hashlib.sha256(sf_dir.encode()).hexdigest()[:16]}"
+    ordinals = kept_ordinals(exports, "snapshot_no", "scryfall_id", store)
+    found = snapshot_changes(exports, "snapshot_no", "scryfall_id", "exported_at", watched, ordinals)
+    return found.select(F.col("snapshot").alias("snapshot_no"), F.col("key").alias("scryfall_id"), "change")
 
 
 _SQL = r"""
