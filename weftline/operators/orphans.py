@@ -97,14 +97,19 @@ def orphan_verdicts(rows: DataFrame, targets: DataFrame, heavy_per_task: int, n_
 
     def verdicts(how: str) -> DataFrame:
         states, changes = target_states(targets.join(keys, ["kind", "key"], how))
-        j = per.join(keys, ["kind", "key"], how).join(states, ["kind", "key"], "left").join(changes, ["kind", "key", "period"], "left")
-        j = j.withColumn("changes", F.coalesce("changes", F.array().cast(changes.schema["changes"].dataType)))
+        j = per.join(keys, ["kind", "key"], how).join(states, ["kind", "key"], "left")
         earlier = F.filter("ends", lambda e: e["period"] < F.col("period"))
         j = j.withColumn("before", F.when(F.size(earlier) > 0, F.element_at(earlier, -1)["there"]).otherwise(F.lit(False)))
-        inside = lambda c: (c > F.col("lo")) & (c <= F.col("hi"))
+        kind = changes.schema["changes"].dataType
+        j = j.withColumn("changes", F.array().cast(kind)).withColumn("cause", cause_at(F.col("lo")))
+        inside = lambda c: F.coalesce((c > F.col("lo")) & (c <= F.col("hi")), F.lit(False))
+        turned = F.coalesce(F.exists("ends", lambda e: e["period"] == F.col("period")), F.lit(False))
+        j = j.where(turned | inside(F.col("open_from")) | inside(F.col("first_at")) | F.col("cause").isNotNull()).drop("changes", "cause")
+        # What is left is little, so the changes of its months are joined only now.
+        j = j.join(changes, ["kind", "key", "period"], "left").withColumn("changes", F.coalesce("changes", F.array().cast(kind)))
         # No change between the first and the last reference: all of them have one cause.
-        mixed = F.exists("changes", lambda c: inside(c["t"])) | F.coalesce(inside(F.col("open_from")), F.lit(False)) | F.coalesce(inside(F.col("first_at")), F.lit(False))
-        out = j.withColumn("mixed", F.coalesce(mixed, F.lit(False))).withColumn("cause", cause_at(F.col("lo")))
+        mixed = F.exists("changes", lambda c: inside(c["t"])) | inside(F.col("open_from")) | inside(F.col("first_at"))
+        out = j.withColumn("mixed", mixed).withColumn("cause", cause_at(F.col("lo")))
         return out.where("mixed or cause is not null").select("ref_table", "kind", "key", "period", "mixed", "cause", "first_at", "open_from", "before", "changes")
 
     return keys, verdicts("left_semi"), verdicts("left_anti")
