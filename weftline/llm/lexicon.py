@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.confusables import PROTOTYPE, invisible
-from weftline.session import tasks
+from weftline.session import cut, tasks
 
 _APOSTROPHES = dict.fromkeys(map(ord, "'’`´"))
 _RUN = re.compile("[^0-9a-z]+")
@@ -427,7 +427,7 @@ def _search(rows: DataFrame, prepare, answer, entries: DataFrame, kind: str, out
     of entries that are as long as they may be, in groups of a bounded number of rows.
     """
     spark = rows.sparkSession
-    given = _list(entries)
+    given = cut(_list(entries))  # read several times below
     lengths = [(r.n, r["count"]) for r in given.groupBy(F.length("entry").alias("n")).count().orderBy("n").collect()]  # a row a length
     if sum(n for _, n in lengths) <= shard_entries:
         whole = spark.sparkContext.broadcast(Lexicon.build([(r.entry, r.canonical) for r in given.collect()], share))
