@@ -12,7 +12,7 @@ def skewed(spark, n=3000):
 
 
 def test_shards_follow_load_and_are_spread():
-    placed = pack_shards([("a", 1000), ("b", 300), ("c", 120)], 4, 0.0, 250)
+    placed = pack_shards([("a", 1000), ("b", 300), ("c", 120)], 4, [0.0] * 4, 250)
     assert Counter(k for k, _, _ in placed) == {"a": 4, "b": 2, "c": 1}
     assert set(t for _, _, t in placed) == {0, 1, 2, 3}
 
@@ -60,3 +60,14 @@ def test_spellings_ties_nulls_and_empty(spark):
 def test_reserved_columns_are_replaced(spark):
     df = skewed(spark, 200).withColumn(SALT, F.lit("mine")).withColumn("__key", F.lit(1))
     assert fragment_join(df, df.select("key").distinct(), "key", "left").count() == 200
+
+
+def test_numeric_keys_land_where_they_are_packed(spark):
+    """The largest partition of a numeric key of 60 % holds little more than its share; null keys are spread."""
+    rows = [(7 if i % 10 < 6 else i, i) for i in range(20_000)] + [(None, i) for i in range(8_000)]
+    df = spark.createDataFrame(rows, "k bigint, v int")
+    plan = plan_load(df, "k", 8)
+    joined = fragment_join(df, spark.createDataFrame([(7, "seven"), (9, "nine")], "k bigint, name string"), "k", "left", plan)
+    assert joined.count() == 28_000 and joined.where("name = 'seven'").count() == sum(k == 7 for k, _ in rows)
+    sizes = fragment(df, plan).repartition(8, "k", SALT).groupBy(F.spark_partition_id()).count().collect()
+    assert len(sizes) == 8 and max(r["count"] for r in sizes) < 1.35 * 28_000 / 8

@@ -32,16 +32,21 @@ class LoadPlan:
     rows: int
     large: int
     key: str
+    tasks: int
 
 
-def pack_shards(loads: list[tuple[str, int]], n_tasks: int, base: float, target: float) -> list[tuple[str, int, int]]:
-    """Shards of every key and the task of each: (key, shard, task), longest first on the emptiest task."""
+def pack_shards(loads: list[tuple], n_tasks: int, base: list[float], target: float) -> list[tuple]:
+    """Shards of every key and the task of each: (key, shard, task), longest first on the emptiest task.
+
+    ``base`` is what the small keys bring to each task.
+    """
     pieces = []
     for key, load in loads:
         n = min(max(1, -(-load // max(1, int(target)))), n_tasks)
         pieces += [(load / n, key, i) for i in range(n)]
-    pieces.sort(key=lambda p: (-p[0], p[1], p[2]))
-    heap = [(base, t) for t in range(n_tasks)]
+    pieces.sort(key=lambda p: (-p[0], str(p[1]), p[2]))
+    heap = [(b, t) for t, b in enumerate(base)]
+    heapq.heapify(heap)
     placed = []
     for load, key, i in pieces:
         at, t = heapq.heappop(heap)
@@ -58,33 +63,42 @@ def plan_load(df: DataFrame, key: str, n_tasks: int | None = None, per_task: int
     """
     spark = df.sparkSession
     n_tasks = n_tasks or tasks(spark)
-    counts = cut(df.groupBy(F.col(key).cast("string").alias("k")).agg(F.count("*").alias("n")))  # one pass, one row a key
+    counts = cut(df.groupBy(F.col(key).alias("k")).agg(F.count("*").alias("n")))  # one pass, one row a key
     total = counts.agg(F.sum("n").alias("n")).first()["n"] or 0
-    fair = total / n_tasks
-    target = max(1.0, fair / per_task)
-    loads = [(r.k, r.n) for r in counts.where(F.col("k").isNotNull() & (F.col("n") > target)).collect()] if total else []
-    base = max(0.0, (total - sum(n for _, n in loads)) / n_tasks)
+    target = max(1.0, total / n_tasks / per_task)
+    large = F.col("n") > target
+    loads = [(r.k, r.n) for r in counts.where(F.col("k").isNotNull() & large).collect()] if total else []
+    # Small keys have the salt 0, so their task is known: a row a task.
+    base = [0.0] * n_tasks
+    for r in counts.where(F.col("k").isNotNull() & ~large).groupBy(_task(n_tasks, "k", F.lit(0)).alias("t")).agg(F.sum("n").alias("n")).collect() if loads else []:
+        base[r.t] = float(r.n)
     wanted = pack_shards(loads, n_tasks, base, target)
-    rows = _salts(spark, wanted, n_tasks)
-    shards = spark.createDataFrame(rows, "__key string, __salts array<int>")
-    return LoadPlan(shards, total, len(loads), key)
+    kind = counts.schema["k"].dataType.simpleString()
+    shards = spark.createDataFrame(_salts(spark, wanted, n_tasks, kind), f"__key {kind}, __salts array<int>")
+    return LoadPlan(shards, total, len(loads), key, n_tasks)
+
+
+def _task(n_tasks: int, *columns) -> Column:
+    """The partition that a hash exchange by these columns leads to."""
+    return F.pmod(F.hash(*columns), F.lit(n_tasks))
 
 
-def _salts(spark, wanted: list[tuple[str, int, int]], n_tasks: int) -> list[tuple[str, list[int]]]:
+def _salts(spark, wanted: list[tuple], n_tasks: int, kind: str) -> list[tuple]:
     """A distinct salt for each shard whose hash with the key leads to the shard's task.
 
-    Salts are tried where the data are; only one for each shard comes back.
+    Keys keep their type, as the hash depends on it. Salts are tried where the data are; only one for
+    each shard comes back.
     """
     if not wanted:
         return []
-    need: dict[tuple[str, int], int] = {}
+    need: dict[tuple, int] = {}
     for key, _, task in wanted:
         need[key, task] = need.get((key, task), 0) + 1
-    places = spark.createDataFrame([(k, p, n) for (k, p), n in need.items()], "k string, p int, need int")
+    places = spark.createDataFrame([(k, p, n) for (k, p), n in need.items()], f"k {kind}, p int, need int")
     keys = places.select("k").distinct().select("k", F.explode(F.sequence(F.lit(1), F.lit(8 * n_tasks))).alias("s"))
-    at = keys.select("k", "s", F.pmod(F.hash("k", "s"), F.lit(n_tasks)).alias("p"))
+    at = keys.select("k", "s", _task(n_tasks, "k", "s").alias("p"))
     found = at.join(F.broadcast(places), ["k", "p"]).groupBy("k", "p", "need").agg(F.sort_array(F.collect_list("s")).alias("s"))
-    salts: dict[str, list[int]] = {}
+    salts: dict = {}
     for r in found.orderBy("k", "p").select("k", F.slice("s", F.lit(1), F.col("need")).alias("s")).collect():
         salts.setdefault(r.k, []).extend(r.s)
     out = []
@@ -103,15 +117,17 @@ def fragment(df: DataFrame, plan: LoadPlan, key: str | None = None) -> DataFrame
     key = key or plan.key
     df = df.drop(SALT, "__salts", "__key")
     hashed = [c for c, t in df.dtypes if "map<" not in t and "variant" not in t]
-    spread = F.pmod(F.xxhash64(*hashed, F.monotonically_increasing_id()), F.size("__salts").cast("bigint")).cast("int")
-    held = df.join(F.broadcast(plan.shards), F.col(key).cast("string") == F.col("__key"), "left")
-    return held.withColumn(SALT, F.when(F.col("__salts").isNull(), F.lit(0)).otherwise(F.get("__salts", spread))).drop("__key", "__salts")
+    row = F.xxhash64(*hashed, F.monotonically_increasing_id())
+    spread = F.pmod(row, F.size("__salts").cast("bigint")).cast("int")
+    held = df.join(F.broadcast(plan.shards), F.col(key) == F.col("__key"), "left")
+    anywhere = F.pmod(row, F.lit(64 * plan.tasks)).cast("int")  # null keys match nothing, so they may go anywhere
+    return held.withColumn(SALT, F.when(F.col(key).isNull(), anywhere).when(F.col("__salts").isNull(), F.lit(0)).otherwise(F.get("__salts", spread))).drop("__key", "__salts")
 
 
 def replicate(df: DataFrame, plan: LoadPlan, key: str) -> DataFrame:
     """Copy each row to the salts of its key, rows of small keys once."""
     df = df.drop(SALT, "__salts", "__key")
-    held = df.join(F.broadcast(plan.shards), F.col(key).cast("string") == F.col("__key"), "left")
+    held = df.join(F.broadcast(plan.shards), F.col(key) == F.col("__key"), "left")
     return held.withColumn(SALT, F.explode(F.coalesce("__salts", F.array(F.lit(0))))).drop("__key", "__salts")
 
 
@@ -119,7 +135,7 @@ def fragment_join(left: DataFrame, right: DataFrame, key: str, how: str = "left"
     """Join ``left`` to ``right`` on ``key`` without a task that holds one key's rows.
 
     ``how`` is ``inner``, ``left``, ``left_semi`` or ``left_anti``: the kinds for which copying
-    the right side is exact. Null keys match nothing. Columns of the right side that clash with
+    the right side is exact. Null keys match nothing and are spread over all tasks. Columns of the right side that clash with
     the left's get the suffix ``_right``. The result keeps ``__salt``.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
@@ -127,7 +143,9 @@ def fragment_join(left: DataFrame, right: DataFrame, key: str, how: str = "left"
     plan = plan or plan_load(left, key)
     clash = {c for c in right.columns if c in left.columns and c != key}
     right = right.withColumnsRenamed({c: f"{c}_right" for c in clash})
-    return fragment(left, plan).join(replicate(right, plan, key), [key, SALT], how)
+    # A fixed number of partitions: the placement holds, as no reader coalesces them.
+    a, b = (x.repartition(plan.tasks, key, SALT) for x in (fragment(left, plan), replicate(right, plan, key)))
+    return a.join(b, [key, SALT], how)
 
 
 def per_key(joined: DataFrame, keys: list[str], partial: dict[str, Column], final: dict[str, Column]) -> DataFrame:
