@@ -69,8 +69,18 @@ def test_match(spark):
 
 def test_candidate_score(spark):
     df = spark.createDataFrame([(0.7, 0.1), (0.1, None), (None, 0.6)], "t double, l double")
-    s, n = candidate_score(1.0, type_score=F.col("t"), lower_score=F.col("l"), kind="exact")
+    s, n = candidate_score(F.lit(1.0), F.lit("exact"), F.lit(None).cast("boolean"), F.lit(False), F.col("t"), F.col("l"))
     got = df.select(s.alias("s"), n.alias("n")).collect()
     assert got[0].n == ["exact", "type_line_match", "lower_text_mismatch"] and got[0].s == pytest.approx(0.74 + 0.07 + 0.013 - 0.05)
     assert got[1].n == ["exact", "type_line_mismatch"] and got[1].s == pytest.approx(0.74 + 0.01 - 0.08)
     assert got[2].n == ["exact", "lower_text_match"] and got[2].s == pytest.approx(0.74 + 0.078)
+
+
+def test_type_line_and_lower_text_decide(spark):
+    names = spark.createDataFrame([("a", "storm crow"), ("b", "storm crew")], "key string, form string")
+    records = spark.createDataFrame([("a", "Storm Crow", None, "Unit — Bird", ["Flight."]), ("b", "Storm Crew", None, "Rite", [])], "key string, name string, layout string, type_line string, lower_texts array<string>")
+    obs = spark.createDataFrame([("o", ["Storm Crw"], None, "Unit — Bird", "Flight."), ("p", ["Storm Crw"], None, "Rite", None), ("q", ["Storm Crw"], None, None, "")], "obs_id string, lines array<string>, layout_hint string, type_text string, lower_text string")
+    got = {(r.obs_id, r["rank"]): r for r in match(obs, names, records).collect()}
+    assert got["o", 1].name == "Storm Crow" and got["o", 1].notes == ["fuzzy", "type_line_match", "lower_text_match"]
+    assert got["p", 1].name == "Storm Crew" and got["p", 1].notes == ["fuzzy", "type_line_match"]
+    assert got["q", 1].notes == ["fuzzy"]

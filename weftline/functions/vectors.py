@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 
 def hamming_hex(a: Column, b: Column, digits: int) -> Column:
-    """Different bits of two hexadecimal strings of ``digits`` digits, in chunks of 8 digits."""
-    starts = F.sequence(F.lit(1), F.lit(digits), F.lit(8))
-    part = lambda c, i: F.conv(F.substring(c, i, F.lit(8)), 16, 10).cast("bigint")
-    return F.aggregate(starts, F.lit(0), lambda acc, i: acc + F.bit_count(part(a, i).bitwiseXOR(part(b, i))))
+    """Different bits of two hexadecimal strings of ``digits`` digits, 8 digits at a time."""
+    part = lambda c, i: F.conv(F.substring(c, i, 8), 16, 10).cast("bigint")
+    out = F.lit(0)
+    for i in range(1, digits + 1, 8):
+        out = out + F.bit_count(part(a, i).bitwiseXOR(part(b, i)))
+    return out
 
 
 def hash_similarity(a: Column, b: Column, digits: int) -> Column:
@@ -57,22 +59,22 @@ def score_delta(score: Column, similarity: Column, factor: float) -> Column:
 
 
 def bits_hex(flags: Column, bits: int) -> Column:
-    """Array of booleans as hexadecimal digits, the first bit the highest."""
-    text = F.array_join(F.transform(flags, lambda f: F.when(f, "1").otherwise("0")), "")
-    starts = F.sequence(F.lit(1), F.lit(bits), F.lit(4))
-    return F.lower(F.array_join(F.transform(starts, lambda i: F.conv(F.substring(text, i, F.lit(4)), 2, 16)), ""))
+    """Array of at most 64 booleans as hexadecimal digits, the first bit the highest."""
+    number = F.aggregate(flags, F.lit(0).cast("bigint"), lambda acc, f: F.shiftleft(acc, 1).bitwiseOR(F.when(f, 1).otherwise(0).cast("bigint")))
+    return F.lower(F.lpad(F.hex(number), -(-bits // 4), "0"))
 
 
 def difference_hash(grid: Column, rows: int, columns: int) -> Column:
     """Bits of each row's neighbours: right at least left. ``grid`` is row by row."""
-    flags = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(rows - 1)), lambda r: F.transform(F.sequence(F.lit(0), F.lit(columns - 2)), lambda c: F.get(grid, r * columns + c + 1) >= F.get(grid, r * columns + c))))
-    return bits_hex(flags, rows * (columns - 1))
+    # The grid is bound once and each bit is a plain comparison.
+    flags = lambda g: F.array(*(F.get(g, F.lit(r * columns + c + 1)) >= F.get(g, F.lit(r * columns + c)) for r in range(rows) for c in range(columns - 1)))
+    return bits_hex(F.get(F.transform(F.array(grid), flags), F.lit(0)), rows * (columns - 1))
 
 
 def average_hash(grid: Column, size: int) -> Column:
-    """Bits of the values that are at least the mean."""
+    """Bits of the values that are at least the mean, which is taken once."""
     mean = F.aggregate(grid, F.lit(0.0), lambda s, x: s + x.cast("double")) / size
-    return bits_hex(F.transform(grid, lambda x: x.cast("double") >= mean), size)
+    return bits_hex(F.get(F.transform(F.array(mean), lambda m: F.transform(grid, lambda x: x.cast("double") >= m)), F.lit(0)), size)
 
 
 def mask_quality(foreground: Column, box_share: Column, centre_distance: Column) -> Column:

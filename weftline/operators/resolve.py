@@ -1,22 +1,27 @@
 """Names for noisy queries: exact before fuzzy, identities before printings.
 
-Exact hits are equi-joins. Only queries without one are compared with the list: in blocks of at most
-``block_names`` names, each sent to the executors once, every query meets all names. Within a block
-an upper bound of the score, from letter counts and common words, leaves few names whose gestalt
-ratio is computed; the bound is never below the score, so nothing is lost.
+Exact hits are equi-joins. Only distinct queries without one are compared with the list: a stated set of
+queries, against blocks of at most ``block_names`` names, each sent to the executors once. Within a block
+the trigram postings give the names that share one, upper bounds of the score, from letter counts, common
+words and common subsequences, put them in order, and the gestalt ratio is computed from the top until
+the bounds fall below the worst of the best found. A bound is never below the score, so nothing is lost.
 """
 
 from __future__ import annotations
 
+import bisect
+import collections
 import difflib
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
-from weftline.functions.text import contains_noise, normalize_text, split_title_queries, title_quality
+from weftline.functions.text import APOSTROPHES, contains_noise, normalize_text, split_title_queries, title_quality
 from weftline.operators.scoring import clamp
 from weftline.session import tasks
 
@@ -59,42 +64,83 @@ class NameBlock:
         self.keys = [k for k, _ in forms]
         self.texts = [t for _, t in forms]
         self.lengths = np.array([len(t) for t in self.texts], np.float64)
-        self.letters = _counts(self.texts)
-        self.words: dict[str, list[int]] = {}
-        self.grams: dict[str, list[int]] = {}
+        self.letters = np.ascontiguousarray(_counts(self.texts).T)  # a row a letter
+        self.first = np.array([t[:1] for t in self.texts], dtype="U1")
+        self.key_ids = np.unique(np.array(self.keys, dtype=object).astype(str), return_inverse=True)[1] if forms else np.empty(0, np.int64)
+        self.n_keys = int(self.key_ids.max(initial=-1)) + 1
+        words: dict[str, list[int]] = {}
+        grams: dict[str, list[int]] = {}
         for i, t in enumerate(self.texts):
             for w in set(t.split()):
-                self.words.setdefault(w, []).append(i)
+                words.setdefault(w, []).append(i)
             for g in _grams(t):
-                self.grams.setdefault(g, []).append(i)
+                grams.setdefault(g, []).append(i)
+        self.words = {w: np.array(x, np.int32) for w, x in words.items()}
+        self.grams = {g: np.array(x, np.int32) for g, x in grams.items()}
 
-    def search(self, query: str) -> tuple[list[tuple[str, float, bool]], int]:
-        """(key, score, shares a trigram) of every key that scores enough, and how many keys share one."""
+    def search(self, query: str, limit: int) -> tuple[list[tuple[str, float, bool]], int]:
+        """(key, score, shares a trigram) of the best keys that score enough, and how many keys share one.
+
+        If enough keys share a trigram only these can count, and the ``limit`` best of them are given
+        (more where the last ones are equal); else all keys that score enough.
+        """
         n = len(self.texts)
         own = set(query.split())
-        overlap = np.zeros(n)
-        for w in own:
-            overlap[self.words.get(w, [])] += 1 / len(own)
         shares = np.zeros(n, bool)
         for g in _grams(query):
-            shares[self.grams.get(g, [])] = True
-        common = np.minimum(self.letters, _counts([query])).sum(axis=1)
-        bound = 1.5 * common / (self.lengths + len(query)) + 0.25 * overlap + 0.05
+            if g in self.grams:
+                shares[self.grams[g]] = True
+        sharing = np.flatnonzero(shares)
+        keys = np.zeros(self.n_keys, bool)
+        keys[self.key_ids[sharing]] = True
+        many = int(np.count_nonzero(keys))
+        narrow = many >= FEW_NAMES and len(query) >= SHORT_QUERY
+        at = sharing if narrow else np.arange(n)
+        overlap = np.zeros(n)
+        for w in own:
+            if w in self.words:
+                overlap[self.words[w]] += 1 / len(own)
+        overlap = overlap[at]
+        common = np.zeros(len(at), np.int32)
+        for c, k in collections.Counter(query).items():
+            if c in _LETTERS:
+                common += np.minimum(self.letters[_LETTERS[c]][at], k)
+        total = self.lengths[at] + len(query)
+        begins = np.where(self.first[at] == query[:1], 0.05, 0.0)  # one can only begin with the other if both begin alike
+        bound = 1.5 * common / total + 0.25 * overlap + begins
+        some = np.flatnonzero(bound >= LEAST_SCORE - 1e-9)
+        some = some[np.argsort(-bound[some], kind="stable")]
         best: dict[str, tuple[float, bool]] = {}
+        top: list[float] = []  # the best scores of different keys, worst first
+        least = LEAST_SCORE
         positions: dict[str, int] = {}
         for j, c in enumerate(query):
             positions[c] = positions.get(c, 0) | 1 << j
-        for i in np.flatnonzero(bound >= LEAST_SCORE - 1e-9).tolist():
+        match = difflib.SequenceMatcher(None, query, "")
+        for j in some.tolist():
+            if bound[j] < least - 1e-9:
+                break
+            i = int(at[j])
             t = self.texts[i]
+            extra = 0.25 * overlap[j] + (0.05 if t.startswith(query) or query.startswith(t) else 0.0)
             # The blocks of a gestalt match stand in order, so they can't be longer than this.
-            if 1.5 * in_order(positions, len(query), t) / (len(t) + len(query)) + 0.25 * overlap[i] + 0.05 < LEAST_SCORE - 1e-9:
+            if 1.5 * in_order(positions, len(query), t) / total[j] + extra < least - 1e-9:
                 continue
-            s = 0.75 * difflib.SequenceMatcher(None, query, t).ratio() + 0.25 * overlap[i] + (0.05 if t.startswith(query) or query.startswith(t) else 0.0)
-            s = min(0.99, s)
+            match.set_seq2(t)
+            s = min(0.99, 0.75 * match.ratio() + extra)
             if s >= LEAST_SCORE:
-                old = best.get(self.keys[i], (0.0, False))
-                best[self.keys[i]] = (max(s, old[0]), bool(shares[i]) or old[1])
-        return [(k, s, sh) for k, (s, sh) in best.items()], len({self.keys[i] for i in np.flatnonzero(shares).tolist()})
+                key, shared = self.keys[i], bool(shares[i])
+                old = best.get(key)
+                best[key] = (s, shared) if old is None else (max(s, old[0]), shared or old[1])
+                if narrow and (old is None or s > old[0]):
+                    if old is not None and old[0] in top:
+                        top.remove(old[0])
+                    bisect.insort(top, s)
+                    if len(top) > limit:
+                        top.pop(0)
+                    if len(top) == limit:
+                        least = max(LEAST_SCORE, top[0])
+        return [(k, s, sh) for k, (s, sh) in best.items() if s >= least - 1e-9], many
 
 
 def fuzzy_names(queries: DataFrame, names: DataFrame, limit: int = 5, block_names: int = 50_000) -> DataFrame:
@@ -118,7 +164,7 @@ def fuzzy_names(queries: DataFrame, names: DataFrame, limit: int = 5, block_name
             for batch in batches:
                 rows = []
                 for q in batch["query"]:
-                    hits, n = block.value.search(q)
+                    hits, n = block.value.search(q, limit)
                     rows += [(q, k, s, sh, n) for k, s, sh in hits] or [(q, None, None, False, n)]
                 yield pd.DataFrame(rows, columns=["query", "key", "score", "shares", "n"])
 
@@ -141,7 +187,8 @@ def match(observations: DataFrame, names: DataFrame, records: DataFrame, limit:
     """(obs_id, rank, name, score, key, notes): candidates of every observation (obs_id, lines, layout_hint).
 
     ``names`` has key and form (normalized names and aliases), ``records`` one row a key with name
-    and layout. Of an observation's queries the best counts: an exact one, then the higher score, the
+    and layout. Where observations have type_text and lower_text (what was read below the title) and
+    records type_line and lower_texts, their agreement counts as well. Of an observation's queries the best counts: an exact one, then the higher score, the
     better title, the earlier. Observations without any match get the joined title alone, with the
     score 0.2.
     """
@@ -153,15 +200,15 @@ def match(observations: DataFrame, names: DataFrame, records: DataFrame, limit:
     hits = exact.unionByName(fuzzy)
     tops = hits.groupBy("obs_id", "q_ord", "query").agg(F.max("score").alias("top"))
     best = tops.groupBy("obs_id").agg(F.min_by(F.struct("q_ord", "query"), F.struct(-F.col("top"), -title_quality(F.col("query")), "q_ord")).alias("b")).select("obs_id", "b.q_ord")
-    chosen = hits.join(best, ["obs_id", "q_ord"]).join(records, "key").join(observations.select("obs_id", "layout_hint"), "obs_id")
+    chosen = hits.join(best, ["obs_id", "q_ord"]).join(records, "key").join(observations.drop("lines"), "obs_id")
     hint, layout = F.lower("layout_hint"), F.lower("layout")
-    known = F.coalesce(F.col("layout_hint"), F.lit("")) != ""
-    known = known & (F.coalesce(F.col("layout"), F.lit("")) != "")
+    known = (F.coalesce(F.col("layout_hint"), F.lit("")) != "") & (F.coalesce(F.col("layout"), F.lit("")) != "")
     same = (hint == layout) | (hint.isin("transform", "modal_dfc") & layout.isin("transform", "modal_dfc"))
-    noisy = contains_noise(F.col("query"))
-    score = F.col("score") * TITLE_WEIGHT + F.when(known & same, LAYOUT_MATCH).when(known, -LAYOUT_MISMATCH).otherwise(0.0) - F.when(noisy, NOISY_TITLE).otherwise(0.0)
-    notes = F.array_compact(F.array(F.col("kind"), F.when(known & same, "layout_match").when(known, "layout_mismatch"), F.when(noisy, "noisy_title_ocr")))
-    scored = chosen.select("obs_id", "name", "key", clamp(score).alias("score"), notes.alias("notes"))
+    seen = {"type_text", "lower_text"} <= set(observations.columns) and {"type_line", "lower_texts"} <= set(records.columns)
+    if seen:
+        chosen = chosen.withColumn("type_score", text_agreement("type_text", F.array("type_line"))).withColumn("lower_score", text_agreement("lower_text", "lower_texts"))
+    score, notes = candidate_score(F.col("score"), F.col("kind"), F.when(known, same), contains_noise(F.col("query")), *((F.col("type_score"), F.col("lower_score")) if seen else ()))
+    scored = chosen.select("obs_id", "name", "key", score.alias("score"), notes.alias("notes"))
     rank = F.row_number().over(Window.partitionBy("obs_id").orderBy(F.desc("score"), "name", "key"))
     ranked = scored.withColumn("rank", rank).where((F.col("rank") <= limit) | F.array_contains("notes", "exact"))
     none = asked.join(hits.select("obs_id").distinct(), "obs_id", "left_anti").groupBy("obs_id").agg(F.max_by("query", "q_ord").alias("name"))
@@ -169,24 +216,45 @@ def match(observations: DataFrame, names: DataFrame, records: DataFrame, limit:
     return ranked.unionByName(alone)
 
 
-def candidate_score(title: float, *, type_score=None, lower_score=None, layouts=None, noisy=False, kind="exact"):
-    """Score and notes of one candidate as literal Columns of given similarities; used where all regions are read.
+def _agreement(read: pd.Series, given: pd.Series) -> pd.Series:
+    out, seen = [], {}
+    for q, texts in zip(read, given):
+        q = _norm(q)
+        best = None
+        for t in () if texts is None or not q else texts:
+            t = _norm(t)
+            if t and (q, t) not in seen:
+                words = set(q.split())
+                seen[q, t] = 0.65 * difflib.SequenceMatcher(None, q, t).ratio() + 0.35 * len(words & set(t.split())) / len(words)
+            if t:
+                best = max(best or 0.0, seen[q, t])
+        out.append(best)
+    return pd.Series(out, dtype="float64")
+
+
+def _norm(text: str | None) -> str:
+    return re.sub("[^0-9a-z]+", " ", (text or "").casefold().translate(dict.fromkeys(map(ord, APOSTROPHES)))).strip()
+
+
+#: Best agreement of a text with any of an array of texts; null where either side has none.
+text_agreement = F.pandas_udf(_agreement, DoubleType())
+
+
+def candidate_score(title: Column, kind: Column, layouts: Column, noisy: Column, type_score: Column | None = None, lower_score: Column | None = None) -> tuple[Column, Column]:
+    """Score and notes of a candidate from its similarities.
 
-    ``type_score`` and ``lower_score`` are Columns, null where the query or the record has no text.
+    ``layouts`` says whether the layouts agree, ``type_score`` and ``lower_score`` how far type line and
+    lower text do; null where either side has none, which then counts for nothing.
     """
-    value, notes = F.lit(title) * TITLE_WEIGHT, [F.lit(kind)]
+    value, notes = title * TITLE_WEIGHT, [kind]
     if type_score is not None:
         value = value + F.coalesce(type_score * TYPE_WEIGHT - F.when(type_score <= 0.2, TYPE_MISMATCH).otherwise(0.0), F.lit(0.0))
         notes.append(F.when(type_score >= 0.65, "type_line_match").when(type_score <= 0.2, "type_line_mismatch"))
     if lower_score is not None:
         value = value + F.coalesce(lower_score * LOWER_WEIGHT - F.when(lower_score <= 0.12, LOWER_MISMATCH).otherwise(0.0), F.lit(0.0))
         notes.append(F.when(lower_score >= 0.55, "lower_text_match").when(lower_score <= 0.12, "lower_text_mismatch"))
-    if layouts is not None:
-        value = value + F.when(layouts, LAYOUT_MATCH).otherwise(-LAYOUT_MISMATCH)
-        notes.append(F.when(layouts, "layout_match").otherwise("layout_mismatch"))
-    if noisy:
-        value = value - NOISY_TITLE
-        notes.append(F.lit("noisy_title_ocr"))
+    value = value + F.when(layouts, LAYOUT_MATCH).when(~layouts, -LAYOUT_MISMATCH).otherwise(0.0) - F.when(noisy, NOISY_TITLE).otherwise(0.0)
+    notes += [F.when(layouts, "layout_match").when(~layouts, "layout_mismatch"), F.when(noisy, "noisy_title_ocr")]
     return clamp(value), F.array_compact(F.array(*notes))
 
 

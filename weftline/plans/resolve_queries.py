@@ -31,7 +31,16 @@ def _names(spark, d):
 
 def _records(spark, d):
     i = identities(spark, d).where("normalized_name <> ''")
-    return i.groupBy(F.col("normalized_name").alias("key")).agg(F.min("name").alias("name"), F.min_by("layout", "id").alias("layout"))
+    return i.groupBy(F.col("normalized_name").alias("key")).agg(F.min("name").alias("name"), F.min_by(F.struct("layout", "type_line", "oracle_text"), "id").alias("r")).select("key", "name", "r.layout", "r.type_line", R.lower_texts(F.col("r.oracle_text"), F.lit(None).cast("string")).alias("lower_texts"))
+
+
+def _read(spark, d):
+    """Observations with what was read below the title: lines around a long dash are type lines, sentences rules."""
+    o = _observations(spark, d)
+    lines = F.filter(F.col("lines"), lambda x: x.isNotNull())
+    types = F.filter(lines, lambda x: x.rlike("^[^.:]+ (—|//) [^.:]+$"))
+    rules = F.filter(lines, lambda x: x.rlike("[.]$|^[{]|^(When|Whenever|Each) "))
+    return o.withColumn("type_text", F.get(types, F.lit(0))).withColumn("lower_text", F.nullif(F.array_join(rules, " "), F.lit("")))
 
 
 @query()
@@ -44,7 +53,7 @@ def ref_j9_t4_fuzzy_names(spark, d):
 
 @query()
 def ref_d1_d2_match_candidates(spark, d):
-    return R.match(cut(_observations(spark, d)), cut(_names(spark, d)), _records(spark, d))
+    return R.match(cut(_read(spark, d)), cut(_names(spark, d)), _records(spark, d))
 
 
 QUERIES, SQL = query.queries, query.sql
