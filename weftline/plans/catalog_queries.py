@@ -114,13 +114,13 @@ def ref_f8_split_layouts(spark, d):
     return view(spark, d).where(F.contains("name", F.lit(" // "))).groupBy("layout").agg(F.count("*").alias("n"), F.min("released_at").alias("first_release"))
 
 
-@query(f"SELECT id, name, set_code, released_at FROM {_VIEW} WHERE contains(name, ' // ') AND layout IS NOT NULL ORDER BY lower(coalesce(released_at, '')), lower(name), lower(coalesce(set_code, '')), lower(coalesce(collector_number, '')), id LIMIT 50")
+@query(f"SELECT id, name, set_code, released_at FROM {_VIEW} WHERE contains(name, ' // ') AND layout IS NOT NULL")
 def ref_k6_split_order(spark, d):
     low = lambda c: F.lower(F.coalesce(c, F.lit("")))
     return view(spark, d).where(F.contains("name", F.lit(" // ")) & F.col("layout").isNotNull()).orderBy(low("released_at"), F.lower("name"), low("set_code"), low("collector_number"), "id").select("id", "name", "set_code", "released_at")
 
 
-@query(f"SELECT id, set_code, collector_number, released_at FROM {_VIEW} WHERE normalized_name = 'mudgrave servant' ORDER BY released_at DESC NULLS LAST, set_code ASC NULLS FIRST, collector_number ASC NULLS FIRST, id LIMIT 50")
+@query(f"SELECT id, set_code, collector_number, released_at FROM {_VIEW} WHERE normalized_name = 'mudgrave servant'")
 def ref_i3_k2_printings_for_name(spark, d):
     order = [F.col("released_at").desc_nulls_last(), F.col("set_code").asc_nulls_first(), F.col("collector_number").asc_nulls_first(), "id"]
     return view(spark, d).where(C.predicates(name="Mudgrave Servant")).orderBy(*order).select("id", "set_code", "collector_number", "released_at")

@@ -149,7 +149,7 @@ def ref_a18_metric_summary(spark, d):
     return E.beside(a, q, ["error_class"]).select("error_class", "lo", F.round("p10", 7).alias("p10"), "mean", F.round("median", 7).alias("median"), F.round("p90", 7).alias("p90"), "hi")
 
 
-@query(f"SELECT expected_set_code, count(*) FILTER (mode = 'greenfield') AS greenfield, count(*) FILTER (mode = 'confirmation') AS confirmation, count(*) FILTER (mode = 'reevaluation') AS reevaluation FROM {_F} GROUP BY 1")
+@query(f"SELECT expected_set_code, mode, count(*) AS n FROM {_F} GROUP BY ALL")
 def ref_a19_two_level_counts(spark, d):
     """Rows of each set and mode; a missing mode is 'unknown'."""
     return facts(spark, d).groupBy("expected_set_code", "mode").agg(F.count(F.lit(1)).alias("n"))
@@ -218,7 +218,7 @@ def ref_a20_grouped_mismatches(spark, d):
     return P.grouped_mismatches(_store(spark, d))
 
 
-@query(f"SELECT expected_card_id, actual_card_id, seen_count FROM {_P} ORDER BY last_seen_utc DESC, first_seen_utc DESC, expected_card_id DESC, actual_card_id DESC LIMIT 1000")
+@query(f"SELECT expected_card_id, actual_card_id, seen_count FROM {_P} ORDER BY last_seen_utc DESC, first_seen_utc DESC, expected_card_id DESC, actual_card_id DESC LIMIT 10000")
 def ref_w14_keep_newest_pairs(spark, d):
     return P.keep_newest(_store(spark, d), 10_000).select("expected_card_id", "actual_card_id", "seen_count")
 

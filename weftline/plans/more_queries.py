@@ -18,7 +18,7 @@ from weftline.session import table
 query = Registry()
 
 
-@query(f"SELECT id, name, released_at FROM {_VIEW} WHERE length(trim(image_uri)) > 0 ORDER BY coalesce(released_at, '') DESC, lower(name), lower(coalesce(set_code, '')), lower(coalesce(collector_number, '')), id LIMIT 200")
+@query(f"SELECT id, name, released_at FROM {_VIEW} WHERE length(trim(image_uri)) > 0")
 def ref_k5_newest_first(spark, d):
     low = lambda c: F.lower(F.coalesce(c, F.lit("")))
     v = view(spark, d).where(F.length(F.trim("image_uri")) > 0)
