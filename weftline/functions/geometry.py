@@ -26,13 +26,15 @@ def clamp_box(b: Column, frame_width: Column, frame_height: Column) -> Column:
 
 
 def centred_box(frame_width: Column, frame_height: Column, ratio: float = CARD_RATIO, inset: float = 0.92) -> Column:
-    """The largest box of a ratio within the inner ``inset`` of the frame, centred."""
-    usable_w = F.greatest(F.lit(1), F.floor(frame_width * inset))
-    usable_h = F.greatest(F.lit(1), F.floor(frame_height * inset))
-    high = usable_w / usable_h > ratio
-    w = F.when(high, F.greatest(F.lit(1), F.bround(usable_h * ratio, 0))).otherwise(usable_w).cast("int")
-    h = F.when(high, usable_h).otherwise(F.greatest(F.lit(1), F.bround(usable_w / ratio, 0))).cast("int")
-    return box(F.greatest(F.lit(0), F.floor((frame_width - w) / 2)), F.greatest(F.lit(0), F.floor((frame_height - h) / 2)), w, h)
+    """The largest box of a ratio within the inner ``inset`` of the frame, centred; at least a pixel each way."""
+    across, down = (F.greatest(F.lit(1), F.floor(c * inset)) for c in (frame_width, frame_height))
+    # The box is ratio * s by s, and s is the smaller of what either side of the frame allows.
+    s = F.least(down.cast("double"), across / ratio)
+    low = s < down
+    w = F.when(low, across).otherwise(F.greatest(F.lit(1), F.bround(s * ratio, 0))).cast("int")
+    h = F.when(low, F.greatest(F.lit(1), F.bround(s, 0))).otherwise(down).cast("int")
+    middle = lambda whole, part: F.greatest(F.lit(0), F.floor((whole - part) / 2))
+    return box(middle(frame_width, w), middle(frame_height, h), w, h)
 
 
 def box_score(b: Column, frame_width: Column, frame_height: Column) -> Column:

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.functions.keys import clean_optional, fold_key
 from weftline.functions.text import normalize_text
+from weftline.session import tasks
 
 SCHEMA_VERSION = "4"
 
@@ -141,10 +145,15 @@ def predicates(name: str | None = None, oracle_id: str | None = None, set_code:
 
 
 def exact_then_like(df: DataFrame, column: str, norm: str) -> DataFrame:
-    """Rows equal to ``norm``; if there are none, those that contain it."""
-    hit = df.where(F.col(column).contains(norm)) if norm else df.limit(0)
-    flag = F.max((F.col(column) == norm).cast("int"))
-    return hit.join(F.broadcast(hit.agg(flag.alias("any_exact"))), (F.col("any_exact") == 0) | (F.col(column) == norm)).drop("any_exact")
+    """Rows equal to ``norm``; if there are none, those that contain it.
+
+    The equality, which a scan can use to skip row groups, is tried first; only if it finds nothing
+    are the values searched.
+    """
+    if not norm:
+        return df.limit(0)
+    same = df.where(F.col(column) == norm)
+    return same if same.limit(1).count() else df.where(F.col(column).contains(norm))
 
 
 def newest_first() -> list[Column]:
@@ -205,15 +214,23 @@ def exact_summary(queries: DataFrame, names: DataFrame, aliases: DataFrame) -> D
 def unique_or_filtered(requests: DataFrame, records: DataFrame) -> DataFrame:
     """A record for each request (q_id, name, set_code, collector_number): by name alone only if it is unique.
 
-    With a set or number the first record (by record_id) that agrees without case is taken.
+    With a set or number the first record (by record_id) that agrees without case is taken. Records are
+    counted by what a request asks for before they are joined, so a name's many records meet no request one
+    by one; requests without a name or without a record give no row.
     """
-    r = records.select(F.col("name").alias("r_name"), F.col("set_code").alias("r_set"), F.col("collector_number").alias("r_number"), "record_id")
-    j = requests.join(r, requests["name"] == r["r_name"])
     low = lambda c: F.lower(F.coalesce(F.col(c), F.lit("")))
-    bare = F.col("set_code").isNull() & F.col("collector_number").isNull()
-    agrees = (F.col("set_code").isNull() | (low("set_code") == low("r_set"))) & (F.col("collector_number").isNull() | (low("collector_number") == low("r_number")))
-    per = j.where(agrees).groupBy("q_id", bare.alias("bare")).agg(F.count("*").alias("n"), F.min("record_id").alias("record_id"))
-    return per.where(~F.col("bare") | (F.col("n") == 1)).select("q_id", "record_id")
+    out = None
+    for given in ((), ("set_code",), ("collector_number",), ("set_code", "collector_number")):
+        asks = F.lit(True)
+        for c in ("set_code", "collector_number"):
+            asks = asks & (F.col(c).isNotNull() if c in given else F.col(c).isNull())
+        per = records.groupBy("name", *(low(c).alias(c) for c in given)).agg(F.count("*").alias("n"), F.min("record_id").alias("record_id"))
+        if not given:
+            per = per.where("n = 1")
+        mine = requests.where(asks).select("q_id", "name", *(low(c).alias(c) for c in given))
+        part = mine.join(per, ["name", *given]).select("q_id", "record_id")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def latest_rank(df: DataFrame, keep: int, order: list[Column]) -> DataFrame:
@@ -221,14 +238,41 @@ def latest_rank(df: DataFrame, keep: int, order: list[Column]) -> DataFrame:
     return df.orderBy(*order).limit(keep)
 
 
-def blocked_pairs(queries: DataFrame, names: DataFrame) -> DataFrame:
-    """(q_id, key, shared): names that share trigrams with a query, with their number.
+def blocked_counts(queries: DataFrame, names: DataFrame, block_names: int = 50_000) -> DataFrame:
+    """(q_id, n_blocked, most_shared): how many names share a trigram with each query, and how many at most.
 
-    Both sides have a column ``grams``; the join is on the trigram, counted per pair.
+    Both sides have a column ``grams``; ``names`` has one row a key. The queries are a stated set that
+    meets the names block by block: a block is the postings of its trigrams, added up for each query, so
+    neither a frequent trigram nor its pairs are ever gathered. Queries that share nothing give no row.
     """
-    q = queries.select("q_id", F.explode("grams").alias("gram"))
-    n = names.select("key", F.explode("grams").alias("gram"))
-    return q.join(n, "gram").groupBy("q_id", "key").agg(F.count("*").alias("shared"))
+    spark = queries.sparkSession
+    blocks = max(1, -(-names.count() // block_names))
+    asked = queries.select("q_id", "grams").repartition(tasks(spark))
+    out = None
+    for b in range(blocks):
+        part = names.where(F.pmod(F.xxhash64("key"), F.lit(blocks)) == b).select("grams")
+        postings: dict[str, list[int]] = {}
+        n = 0
+        for r in part.toLocalIterator():
+            for g in r.grams or ():
+                postings.setdefault(g, []).append(n)
+            n += 1
+        held = spark.sparkContext.broadcast(({g: np.array(x, np.int32) for g, x in postings.items()}, n))
+
+        def look(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
+            known, size = held.value
+            for batch in batches:
+                rows = []
+                for q, grams in zip(batch["q_id"], batch["grams"]):
+                    hit = [known[g] for g in (() if grams is None else grams) if g in known]
+                    if hit:
+                        counts = np.bincount(np.concatenate(hit), minlength=size)
+                        rows.append((q, int(np.count_nonzero(counts)), int(counts.max())))
+                yield pd.DataFrame(rows, columns=["q_id", "n", "most"])
+
+        found = asked.mapInPandas(look, f"q_id {queries.schema['q_id'].dataType.simpleString()}, n bigint, most bigint")
+        out = found if out is None else out.unionByName(found)
+    return out.groupBy("q_id").agg(F.sum("n").alias("n_blocked"), F.max("most").alias("most_shared"))
 
 
 def newest_per_key(df: DataFrame, by: list[str], order: str) -> DataFrame:

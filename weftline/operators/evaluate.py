@@ -163,12 +163,12 @@ def average_map(df: DataFrame, by: list[str], column: str) -> DataFrame:
 
 
 def metric_deltas(baseline: DataFrame, current: DataFrame, by: list[str]) -> DataFrame:
-    """(by, metric, baseline, current, delta): both rounded to 4 places, then their difference."""
+    """(by, metric, baseline, current, delta): both rounded to 4 places, then their difference; null where a side lacks the group."""
     def tall(df: DataFrame, name: str) -> DataFrame:
         pairs = ", ".join(f"'{m}', cast(`{m}` as double)" for m in METRICS)
         return df.select(*by, F.expr(f"stack({len(METRICS)}, {pairs})").alias("metric", "v")).select(*by, "metric", F.round("v", 4).alias(name))
 
-    j = tall(baseline, "baseline_value").join(tall(current, "current_value"), [*by, "metric"])
+    j = tall(baseline, "baseline_value").join(tall(current, "current_value"), [*by, "metric"], "full")
     return j.withColumn("delta", F.round(F.col("current_value") - F.col("baseline_value"), 4))
 
 

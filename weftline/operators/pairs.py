@@ -20,11 +20,12 @@ def merge_pairs(store: DataFrame, events: DataFrame) -> DataFrame:
 def prior_counts(events: DataFrame, store: DataFrame | None = None) -> DataFrame:
     """Events with the number of times their pair had been seen before.
 
-    Ranks are counted in two levels: within a pair's day, and by the days before. So a pair that a
-    third of all events belong to is spread over its days.
+    Ranks are counted in two levels: within a stretch of a pair's events, and by the stretches before. A
+    stretch is a minute, or 65,536 numbers of ``seq`` for events without a time (which come first); so a
+    pair that a third of all events belong to is spread over many tasks.
     """
     key = ["expected_card_id", "actual_card_id"]
-    dated = events.withColumn("__day", F.to_date("seen_at"))
+    dated = events.withColumn("__day", F.when(F.col("seen_at").isNull(), F.floor(F.col("seq") / 65_536) - F.lit(1 << 60)).otherwise(F.floor(F.unix_seconds(F.col("seen_at").cast("timestamp")) / 60)))
     days = dated.groupBy(*key, "__day").agg(F.count("*").alias("__n"))
     before = Window.partitionBy(*key).orderBy(F.col("__day").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
     days = days.select(*(F.col(c).alias(f"__{c}") for c in key), F.col("__day").alias("__d"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))

@@ -180,7 +180,7 @@ SELECT query, count(*) AS n_blocked, max(shared) AS most_shared FROM c GROUP BY
 def ref_j9_trigram_blocking(spark, d):
     q = _queries(spark, d).select("query").distinct().select(F.col("query").alias("q_id"), trigrams(F.col("query")).alias("grams"))
     n = identities(spark, d).where("normalized_name <> ''").select(F.col("normalized_name").alias("key")).distinct().withColumn("grams", trigrams(F.col("key")))
-    return C.blocked_pairs(q, n).groupBy(F.col("q_id").alias("query")).agg(F.count("*").alias("n_blocked"), F.max("shared").alias("most_shared"))
+    return C.blocked_counts(q, n).withColumnRenamed("q_id", "query")
 
 
 @query(f"""SELECT e.eval_id, min(w.id) AS record_id, count(DISTINCT s.id) AS n_siblings FROM (SELECT DISTINCT eval_id, expected_set_code, expected_collector_number FROM evaluations) e

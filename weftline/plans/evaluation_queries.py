@@ -116,7 +116,7 @@ _OLD, _NEW = f"(SELECT * FROM {_F} WHERE evaluated_at < TIMESTAMP '{CUT}')", f"(
 _TALL = lambda src, v: "SELECT mode, metric, round(v, 4) AS " + v + f" FROM (SELECT mode, unnest([{', '.join(repr(m) for m in E.METRICS)}]) AS metric, unnest([{', '.join(m + '::DOUBLE' for m in E.METRICS)}]) AS v FROM ({_summary_sql(src, 'mode')}))"
 
 
-@query(f"SELECT mode, metric, baseline_value, current_value, round(current_value - baseline_value, 4) AS delta FROM ({_TALL(_OLD, 'baseline_value')}) JOIN ({_TALL(_NEW, 'current_value')}) USING (mode, metric)")
+@query(f"SELECT mode, metric, baseline_value, current_value, round(current_value - baseline_value, 4) AS delta FROM ({_TALL(_OLD, 'baseline_value')}) FULL JOIN ({_TALL(_NEW, 'current_value')}) USING (mode, metric)")
 def ref_a16_metric_deltas(spark, d):
     old, new = _halves(spark, d)
     return E.metric_deltas(E.summary(old, ["mode"]), E.summary(new, ["mode"]), ["mode"])

@@ -99,9 +99,10 @@ def read_tolerant(spark: SparkSession, path: str, schema: str, defaults: dict |
 
 
 def publish(df: DataFrame, path: str, fmt: str = "parquet", **options: str) -> None:
-    """Write beside ``path`` and rename, so that a reader sees the old or the new result.
+    """Write beside ``path``, move the old result aside, rename, and remove the old one last.
 
-    The rename goes through the file system of the path, so it works on any that Spark can write.
+    If anything fails the old result is put back, so it is never lost. Between the two renames a reader
+    may find nothing for a moment; the renames go through the file system of the path.
     """
     spark = df.sparkSession
     staging = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
@@ -109,10 +110,18 @@ def publish(df: DataFrame, path: str, fmt: str = "parquet", **options: str) -> N
     jvm = spark.sparkContext._jvm
     new, old = jvm.org.apache.hadoop.fs.Path(staging), jvm.org.apache.hadoop.fs.Path(path)
     fs = new.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if fs.exists(old):
-        fs.delete(old, True)
+    aside = jvm.org.apache.hadoop.fs.Path(f"{staging}.old")
+    had = fs.exists(old)
+    if had and not fs.rename(old, aside):
+        fs.delete(new, True)
+        raise OSError(f"{path} couldn't be moved aside")
     if not fs.rename(new, old):
+        if had:
+            fs.rename(aside, old)
+        fs.delete(new, True)
         raise OSError(f"{staging} couldn't be renamed to {path}")
+    if had:
+        fs.delete(aside, True)
 
 
 def write_report_csv(df: DataFrame, path: str, columns: list[str]) -> None:
