@@ -16,6 +16,7 @@ found with at most k errors is the closest there is.
 from __future__ import annotations
 
 import bisect
+import functools
 import itertools
 import re
 import unicodedata
@@ -43,6 +44,11 @@ def normalize(text: str) -> str:
 
 def fold(text: str) -> str:
     """As :func:`normalize`, with accents dropped and look-alike characters replaced first."""
+    return _fold(text) if len(text) <= 200 else _fold.__wrapped__(text)
+
+
+@functools.lru_cache(maxsize=1 << 14)
+def _fold(text: str) -> str:
     if not text.isascii():
         text = "".join(PROTOTYPE.get(c, c) for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c) and not invisible(c))
     return normalize(text)
@@ -65,7 +71,7 @@ def _lowest(bits: np.ndarray, words: int) -> np.ndarray:
 def _up(x: np.ndarray) -> np.ndarray:
     """All bits one place higher, from word to word."""
     y = x << np.uint64(1)
-    if len(x) > 1:
+    if x.ndim > 1:
         y[1:] |= x[:-1] >> np.uint64(63)
     return y
 
@@ -143,6 +149,9 @@ class Trie:
         at = np.zeros(len(queries), np.int64)
         state = [_lowest(np.full(len(queries), e + 1), size) & allowed[e] for e in range(top + 1)]
         last, bit = m // 64, one << (m % 64).astype(np.uint64)
+        if size == 1:  # the usual case, without the axis of the words
+            masks, state, allowed = masks[0], [x[0] for x in state], [x[0] for x in allowed]
+        held_at = np.arange(len(queries))  # where a pair's state stands
         hits = []
         while len(q):
             n = self.count[at]
@@ -152,30 +161,29 @@ class Trie:
             child = np.repeat(self.first[at] + n - np.cumsum(n), n) + np.arange(len(q))
             # Lengths that no entry below can have with so few errors.
             ok = (self.longest[child] >= m[q] - most[q]) & (self.shortest[child] <= m[q] + most[q])
-            origin = np.repeat(np.arange(len(at)), n)[ok]
+            origin = np.repeat(held_at, n)[ok]
             q, child = q[ok], child[ok]
-            mask = masks[:, q, self.char[child]]
-            new, before, made = [], None, None
+            mask = masks[..., q, self.char[child]]
+            new, before, made, live = [], None, None, None
             for e in range(top + 1):
-                r = state[e][:, origin]
+                r = np.take(state[e], origin, axis=-1)
                 x = _up(r) & mask
                 if e:
                     x |= before | _up(before | made)
-                x &= allowed[e][:, q]
+                x &= np.take(allowed[e], q, axis=-1)
                 new.append(x)
                 before, made = r, x
-            live = new[0] != 0
-            for x in new[1:]:
-                live |= x != 0
-            live = live.any(axis=0)
+                live = x if live is None else live | x
+            live = np.flatnonzero(live if size == 1 else live.any(axis=0))
             entry = self.entry[child]
             whole = np.flatnonzero(entry >= 0)
             for e in range(top + 1):
-                got = whole[(new[e][last[q[whole]], whole] & bit[q[whole]]) != 0]
+                ends = new[e][whole] if size == 1 else new[e][last[q[whole]], whole]
+                got = whole[(ends & bit[q[whole]]) != 0]
                 if len(got):
                     hits.append((q[got], entry[got], np.full(len(got), e)))
                     whole = np.setdiff1d(whole, got, assume_unique=True)
-            q, at, state = q[live], child[live], [x[:, live] for x in new]
+            q, at, state, held_at = q[live], child[live], new, live
         if not hits:
             z = np.empty(0, np.int64)
             return z, z, z
@@ -211,7 +219,7 @@ class Lexicon:
         """Most errors an entry may have that a query of ``n`` characters can be within."""
         return int(n * self.share / (1 - self.share) + 1e-9)
 
-    def within(self, queries: list[str], most: int, frontier: int = 48) -> list[list[tuple[int, int]]]:
+    def within(self, queries: list[str], most: int, frontier: int = 96) -> list[list[tuple[int, int]]]:
         """Of each query all (distance, entry) within ``most`` errors and the entry's own limit."""
         out: list[dict[int, int]] = [{} for _ in queries]
         near = self.longest + int(self.longest * self.share + 1e-9)  # no entry is near a longer query
@@ -324,7 +332,7 @@ def _titles(lines: Sequence[str | None], flags: Sequence[int]) -> dict[str, bool
             free = loose[k] and loose[k + 1]
             texts += [(f"{line} {lines[k + 1]}", free), (f"{line}{lines[k + 1]}", free)]
         for t, free in texts:
-            for f in dict.fromkeys((fold(t), normalize(t))):
+            for f in (fold(t),) if t.isascii() else dict.fromkeys((fold(t), normalize(t))):
                 words = f.split()
                 forms = [f]
                 # Stray digits and single signs at the ends belong to no title.
