@@ -187,13 +187,13 @@ def _leaks(batch: list[list[str]], index: SeedIndex) -> set[tuple[int, int]]:
     found: set[tuple[int, int]] = set()
     n_items = len(index.items)
     widest = int(index.stretch.max(initial=1))
-    ids, owner, unknown = [], [], len(index.vocabulary)
+    ids, sizes, unknown = [], [], len(index.vocabulary)
     gap = [-1] * max(index.run, 4)
     for k, w in enumerate(batch):
-        x = [get(t, -1) for t in w]
-        ids += x + gap  # no seed spans two texts
-        owner += [k] * (len(x) + len(gap))
-    ids, owner = np.array(ids, np.int64), np.array(owner, np.int64)
+        ids.extend(map(get, w, itertools.repeat(-1)))
+        ids += gap  # no seed spans two texts
+        sizes.append(len(w) + len(gap))
+    ids, owner = np.array(ids, np.int64), np.repeat(np.arange(len(batch)), sizes)
     # Unknown words differ from every word, so that no hash of the index has them.
     ids = np.where(ids < 0, unknown, ids)
     start = np.searchsorted(owner, np.arange(len(batch) + 1))
@@ -216,14 +216,21 @@ def _leaks(batch: list[list[str]], index: SeedIndex) -> set[tuple[int, int]]:
     p, i = np.divmod(window[both >= index.need[window % n_items]], n_items)
     of = np.searchsorted(base, p, "right") - 1
     real = p < base[of + 1] - 1  # the last piece of each text is empty, a space to the next
-    for t, p, i in zip(of[real].tolist(), p[real].tolist(), i[real].tolist()):
-        if (t, i) in found:
-            continue
-        lo = start[t] + (p - base[t]) * widest
-        hi = min(start[t + 1], lo + 2 * widest)
-        w = ids[lo:hi]
-        if verified(index.items[i], w, int(index.kept[i]), int(index.stretch[i]), index.member(i)):
-            found.add((t, i))
+    t, p, i = of[real], p[real], i[real]
+    lo = start[t] + (p - base[t]) * widest
+    hi = np.minimum(start[t + 1], lo + 2 * widest)
+    order = np.argsort(i, kind="stable")
+    for part in np.split(order, np.flatnonzero(np.diff(i[order])) + 1) if len(order) else ():
+        k = int(i[part[0]])
+        member, kept, stretch = index.member(k), int(index.kept[k]), int(index.stretch[k])
+        if len(part) > 3:  # one look at all texts: places from which a stretch has enough of the item's words
+            at = np.flatnonzero(member[ids])
+            good = at[np.searchsorted(at, at + stretch, "left") - np.arange(len(at)) >= kept]
+            part = part[np.searchsorted(good, hi[part], "left") > np.searchsorted(good, lo[part], "left")]
+        for x in part.tolist():
+            pair = (int(t[x]), k)
+            if pair not in found and verified(index.items[k], ids[lo[x] : hi[x]], kept, stretch, member):
+                found.add(pair)
     return found
 
 
