@@ -203,10 +203,12 @@ def ref_j8_candidate_to_record(spark, d):
     return e.join(v, e["s"].eqNullSafe(v["set_code"]) & e["c"].eqNullSafe(v["collector_number"])).select("eval_id", "id")
 
 
-@query(f"""SELECT w.id, w.name FROM {_VIEW} w WHERE w.identity_id IN (SELECT {_KEY('oracle_id')} FROM catalog_snapshots WHERE snapshot_no = 5)""")
+@query(f"""SELECT p.snapshot_no, count(DISTINCT w.id) AS n_printings, count(DISTINCT w.normalized_name) AS n_names FROM (SELECT DISTINCT snapshot_no, {_KEY('oracle_id')} AS k FROM catalog_snapshots) p JOIN {_VIEW} w ON {_KEY('w.identity_id')} = p.k GROUP BY 1""")
 def ref_j10_pool_semi_join(spark, d):
-    pool = table(spark, d, "catalog_snapshots").where("snapshot_no = 5").select(fold_key(F.col("oracle_id")).alias("identity_id"))
-    return view(spark, d).join(pool, "identity_id", "left_semi").select("id", "name")
+    """Printings and names of each export's pool: the pool's identities, each counted once."""
+    pool = table(spark, d, "catalog_snapshots").select("snapshot_no", fold_key(F.col("oracle_id")).alias("oracle_key")).distinct()
+    per = view(spark, d).groupBy("oracle_key", "normalized_name").agg(F.count_distinct("id").alias("n"))
+    return pool.join(per, "oracle_key").groupBy("snapshot_no").agg(F.sum("n").alias("n_printings"), F.count_distinct("normalized_name").alias("n_names"))
 
 
 @query(f"SELECT v.id FROM {_VAR} v WHERE v.scryfall_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM catalog_snapshots s WHERE s.scryfall_id = v.scryfall_id)")

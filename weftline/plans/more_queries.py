@@ -86,12 +86,12 @@ def ref_j18_reconcile(spark, d):
     return R.reconcile(c, [(v, ["name", "set_code"]), (v, ["name"])], ["id"]).select("cand_id", "priority", "found_id")
 
 
-@query(f"""SELECT v.id, len(list_filter([nullif(trim(o.oracle_text), ''), nullif(trim(v.flavor_text), ''), nullif(trim(o.oracle_text), '') || ' ' || nullif(trim(v.flavor_text), '')], lambda x: x IS NOT NULL)) AS n_texts
+@query(f"""SELECT v.id, unnest(list_filter([nullif(trim(o.oracle_text), ''), nullif(trim(v.flavor_text), ''), nullif(trim(o.oracle_text), '') || ' ' || nullif(trim(v.flavor_text), '')], lambda x: x IS NOT NULL)) AS text
 FROM (SELECT DISTINCT id, oracle_id, flavor_text FROM printed_cards) v JOIN {_IDENT} o ON o.oracle_id = v.oracle_id""")
 def ref_t18_lower_texts(spark, d):
     v = table(spark, d, "printed_cards").select("id", "oracle_id", "flavor_text").distinct()
     j = v.join(identities(spark, d).select("oracle_id", "oracle_text"), "oracle_id")
-    return j.select("id", F.size(R.lower_texts(F.col("oracle_text"), F.col("flavor_text"))).alias("n_texts"))
+    return j.select("id", F.explode(R.lower_texts(F.col("oracle_text"), F.col("flavor_text"))).alias("text"))
 
 
 @query(f"SELECT id, name AS expected_name, coalesce(lower(set_code), '') AS expected_set_code, collector_number AS expected_collector_number, layout AS layout_hint, CASE WHEN contains(name, ' // ') THEN string_split(name, ' // ')[1] ELSE name END AS title FROM {_VIEW}")

@@ -187,11 +187,12 @@ def ref_g2_w15_best_box(spark, d):
 _EV = lambda e: f"round_even({e}, 0)::INT"
 
 
-@query(f"""WITH b AS (SELECT x, y, w, h FROM (SELECT DISTINCT p_size AS w, 300 + p_size * 7 AS y, 400 + p_size * 5 AS x, p_size AS h FROM part)) SELECT x AS frame_width, y AS frame_height,
- CASE WHEN (x * 0.92)::DOUBLE IS NOT NULL AND floor(x * 0.92) / floor(y * 0.92) > 63 / 88 THEN greatest(1, {_EV('floor(y * 0.92) * (63 / 88)')}) ELSE floor(x * 0.92)::INT END AS width FROM b""")
+@query(f"""WITH f AS (SELECT DISTINCT 400 + p_size * 5 AS fw, 300 + p_size * (p_size % 3 + 5) AS fh FROM part), a AS (SELECT *, greatest(1, floor(fw * 0.92))::BIGINT AS iw, greatest(1, floor(fh * 0.92))::BIGINT AS ih FROM f),
+b AS (SELECT *, CASE WHEN iw / (63 / 88) < ih THEN iw ELSE greatest(1, {_EV('ih * (63 / 88)')}) END::INT AS w, CASE WHEN iw / (63 / 88) < ih THEN greatest(1, {_EV('iw / (63 / 88)')}) ELSE ih END::INT AS h FROM a)
+SELECT fw AS frame_width, fh AS frame_height, greatest(0, floor((fw - w) / 2))::INT AS left, greatest(0, floor((fh - h) / 2))::INT AS top, w AS width, h AS height FROM b""")
 def ref_g3_centred_box(spark, d):
-    f = table(spark, d, "part").select((F.col("p_size") * 5 + 400).alias("frame_width"), (F.col("p_size") * 7 + 300).alias("frame_height")).distinct()
-    return f.withColumn("b", G.centred_box(F.col("frame_width"), F.col("frame_height"))).select("frame_width", "frame_height", "b.width")
+    f = table(spark, d, "part").select((F.col("p_size") * 5 + 400).alias("frame_width"), (F.col("p_size") * (F.col("p_size") % 3 + 5) + 300).alias("frame_height")).distinct()
+    return f.withColumn("b", G.centred_box(F.col("frame_width"), F.col("frame_height"))).select("frame_width", "frame_height", "b.left", "b.top", "b.width", "b.height")
 
 
 @query(f"""SELECT frame_id, n, least(rx1, rx2) AS left, least(ry1, ry2) AS top FROM (SELECT frame_id, n, CASE n % 4 WHEN 1 THEN y WHEN 2 THEN greatest(0, 639 - x) WHEN 3 THEN greatest(0, 639 - y) ELSE x END::DOUBLE AS rx1,

@@ -48,18 +48,18 @@ def ref_t2_trigrams(spark, d):
 
 
 def _lines(spark, d):
-    return table(spark, d, "recognition_results").groupBy("obs_id").agg(F.min("ocr_lines").alias("ocr_lines")).select("obs_id", F.coalesce("ocr_lines", F.array().cast("array<string>")).alias("ocr_lines"))
+    return table(spark, d, "recognition_results").groupBy("obs_id").agg(F.min_by("ocr_lines", F.struct("ingested_at", F.coalesce("ocr_lines", F.array().cast("array<string>")))).alias("ocr_lines")).select("obs_id", F.coalesce("ocr_lines", F.array().cast("array<string>")).alias("ocr_lines"))
 
 
-_L = "(SELECT obs_id, coalesce(min(ocr_lines), []) AS ocr_lines FROM recognition_results GROUP BY obs_id)"
+_L = "(SELECT obs_id, coalesce(ocr_lines, []) AS ocr_lines FROM recognition_results QUALIFY row_number() OVER (PARTITION BY obs_id ORDER BY ingested_at, coalesce(ocr_lines, [])) = 1)"
 
 
-@query(f"""WITH q AS (SELECT obs_id, {norm_sql('ocr_lines[1]')} AS n FROM {_L} WHERE len(ocr_lines) > 0 AND ocr_lines[1] IS NOT NULL)
+@query(f"""WITH q AS (SELECT obs_id, {norm_sql('l')} AS n FROM (SELECT obs_id, unnest(ocr_lines) AS l FROM {_L}) WHERE l IS NOT NULL)
 SELECT obs_id, n, n <> '' AND len(list_filter(string_split(n, ' '), lambda t: regexp_full_match(t, '[0-9]+'))) > 0 AS noisy,
  round(CASE WHEN n = '' THEN 0.0 ELSE greatest(0.0, least(length(n) / 24.0, 1.0) - greatest(len(list_filter(string_split(n, ' '), lambda t: t <> '')) - 2, 0) * 0.08
   - CASE WHEN len(list_filter(string_split(n, ' '), lambda t: regexp_full_match(t, '[0-9]+'))) > 0 THEN 0.18 ELSE 0.0 END) END, 6) AS quality FROM q""")
 def ref_t6_t7_title_quality(spark, d):
-    q = _lines(spark, d).where(F.size("ocr_lines") > 0).select("obs_id", T.normalize_text(F.col("ocr_lines")[0]).alias("n")).where("n is not null")
+    q = _lines(spark, d).select("obs_id", F.explode("ocr_lines").alias("l")).where("l is not null").select("obs_id", T.normalize_text(F.col("l")).alias("n"))
     return q.select("obs_id", "n", T.contains_noise(F.col("n")).alias("noisy"), F.round(T.title_quality(F.col("n")), 6).alias("quality"))
 
 
@@ -80,7 +80,15 @@ def ref_t9_title_fragments(spark, d):
     return x.groupBy("obs_id").agg(F.count("*").alias("n_lines"), F.count_if(T.is_title_fragment(F.col("l"))).alias("n_fragments"))
 
 
-@query()
+_FRAGMENT = f"len(list_filter(string_split({norm_sql('y')}, ' '), lambda t: t <> '')) BETWEEN 1 AND 3 AND NOT regexp_matches({norm_sql('y')}, '[0-9]') AND length({norm_sql('y')}) BETWEEN 3 AND 32"
+SPLIT_SQL = f"""k AS (SELECT * EXCLUDE (ocr_lines), list_filter([{_clean_line('x')} FOR x IN ocr_lines], lambda y: y <> '') AS kept FROM src),
+p AS (SELECT *, list_filter(kept, lambda y: {_FRAGMENT}) AS parts FROM k),
+e AS (SELECT *, list_concat(kept, CASE WHEN len(parts) >= 2 THEN [parts[1] || ' // ' || parts[2], parts[2] || ' // ' || parts[1]] ELSE [] END, [array_to_string(kept[1:2], ' ')]) AS every FROM p),
+n AS (SELECT *, list_filter([{norm_sql('x')} FOR x IN every], lambda y: y <> '') AS norms FROM e),
+split AS (SELECT *, list_filter(norms, lambda y, i: list_position(norms, y) = i) AS queries FROM n)"""
+
+
+@query(f"WITH src AS (SELECT obs_id, ocr_lines FROM {_L} WHERE len(ocr_lines) > 0), {SPLIT_SQL} SELECT obs_id, queries FROM split")
 def ref_t10_split_title_queries(spark, d):
     return _lines(spark, d).where(F.size("ocr_lines") > 0).select("obs_id", T.split_title_queries(F.col("ocr_lines")).alias("queries"))
 
