@@ -124,3 +124,53 @@ def region_box(x: Column, y: Column, w: Column, h: Column, width: Column, height
     x0, y0 = F.greatest(F.lit(0), r(cx - tw / 2)), F.greatest(F.lit(0), r(cy - th / 2))
     x1, y1 = F.least(width, r(cx + tw / 2)), F.least(height, r(cy + th / 2))
     return box(x0, y0, F.greatest(F.lit(1), x1 - x0), F.greatest(F.lit(1), y1 - y0))
+
+
+# Order in which regions are taken, and the regions of each layout.
+REGION_ORDER = ("planar_title", "split_full", "standard", "art_match", "type_line", "set_symbol", "lower_text", "adventure", "transform_back", "split_left", "split_right")
+LAYOUT_REGIONS = {
+    "normal": ("standard", "art_match", "type_line", "set_symbol", "lower_text"),
+    "split": ("planar_title", "split_full", "art_match", "type_line", "set_symbol", "lower_text"),
+    "adventure": ("standard", "art_match", "type_line", "set_symbol", "adventure", "lower_text"),
+    "transform": ("standard", "art_match", "type_line", "set_symbol", "transform_back", "lower_text"),
+    "modal_dfc": ("standard", "art_match", "type_line", "set_symbol", "transform_back", "lower_text"),
+    "planar": ("planar_title", "art_match", "lower_text"),
+}
+
+
+def regions_of_layout(layout: Column, enabled: Column | None = None) -> Column:
+    """Regions to read of a layout beside the enabled ones: by the fixed order, unknown names left out.
+
+    A missing layout counts as normal, one that isn't known adds nothing.
+    """
+    words = lambda xs: F.array(*map(F.lit, xs))
+    none = F.array().cast("array<string>")
+    table = F.create_map(*(x for k, v in LAYOUT_REGIONS.items() for x in (F.lit(k), words(v))))
+    mine = F.coalesce(F.try_element_at(table, F.lower(F.coalesce(layout, F.lit("normal")))), none)
+    every = F.array_union(mine, F.coalesce(enabled, none) if enabled is not None else none)
+    return F.filter(words(REGION_ORDER), lambda r: F.array_contains(every, r))
+
+
+def coerce_ints(value: Column, size: int) -> Column:
+    """An array of texts as whole numbers; null unless there are ``size`` and all are numbers."""
+    numbers = F.transform(value, lambda x: F.floor(x.try_cast("double")).cast("int"))
+    return F.when((F.size(value) == size) & ~F.exists(numbers, lambda x: x.isNull()), numbers)
+
+
+def pick_box(quad: Column, given: Column, candidates: Column, frame_width: Column, frame_height: Column, most_off: float = 0.12) -> Column:
+    """(source, box) of where a card is: a quad, a box, the best candidate box, the frame, its middle.
+
+    ``candidates`` are boxes; the best by score counts, the first of equals, if its score is above 0. The
+    whole frame counts if its ratio is at most ``most_off`` from a card's.
+    """
+    frame = box(F.lit(0), F.lit(0), frame_width, frame_height)
+    scored = F.transform(candidates, lambda b, i: F.struct(box_score(b, frame_width, frame_height).alias("score"), (-i).alias("order"), b.alias("b")))
+    best = F.array_max(scored)
+    out = lambda source, b: F.struct(F.lit(source).alias("source"), b.alias("box"))
+    return (
+        F.when(quad.isNotNull(), out("quad", box_of(quad)))
+        .when(given.isNotNull(), out("box", given))
+        .when(best["score"] > 0, out("candidate", best["b"]))
+        .when(F.abs(frame_width / frame_height - CARD_RATIO) <= most_off, out("frame", frame))
+        .otherwise(out("centre", centred_box(frame_width, frame_height)))
+    )

@@ -182,3 +182,11 @@ def stage_comparison(baseline: DataFrame, current: DataFrame, by: list[str]) ->
 
 def value_counts(df: DataFrame, by: list[str], value: Column) -> DataFrame:
     return df.groupBy(*by, value.alias("value")).agg(F.count("*").alias("n"))
+
+
+def bin_comparison(baseline: DataFrame, current: DataFrame, by: list[str]) -> DataFrame:
+    """Calibration bins that both sides have, with the difference of their gaps and accuracies."""
+    key = [*by, "lower_bound", "upper_bound"]
+    side = lambda df, name: df.select(*key, F.col("n").alias(f"{name}_n"), F.col("calibration_gap").alias(f"{name}_gap"), F.col("empirical_accuracy").alias(f"{name}_accuracy"))
+    j = side(baseline, "baseline").join(side(current, "current"), key)
+    return j.withColumn("gap_delta", F.round(F.col("current_gap") - F.col("baseline_gap"), 4)).withColumn("accuracy_delta", F.round(F.col("current_accuracy") - F.col("baseline_accuracy"), 4))

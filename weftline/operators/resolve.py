@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from weftline.functions.text import APOSTROPHES, contains_noise, normalize_text, split_title_queries, title_quality
+from weftline.functions.text import APOSTROPHES, clean_title_query, contains_noise, normalize_text, split_title_queries, title_quality
 from weftline.operators.scoring import clamp
 from weftline.session import tasks
 
@@ -297,3 +297,28 @@ def reconcile(candidates: DataFrame, sources: list[tuple[DataFrame, list[str]]],
         found = hit if found is None else found.unionByName(hit)
     best = found.groupBy("cand_id").agg(F.min("priority").alias("priority"), F.min_by("r", "priority").alias("r"))
     return candidates.join(best, "cand_id", "left").select(*candidates.columns, "priority", *(F.col(f"r.{c}").alias(f"found_{c}") for c in columns))
+
+
+# Regions that show a title, in the order in which they are asked, and those of two faces.
+TITLE_REGIONS = ("planar_title", "standard", "split_full", "split_left", "split_right", "adventure", "transform_back")
+FACE_REGIONS = ("planar_title", "split_full", "split_left", "split_right")
+
+
+def ordered_title_queries(readings: DataFrame) -> DataFrame:
+    """(obs_id, q_ord, query) of readings (obs_id, region, lines, layout_hint): title regions in their order.
+
+    Regions of two faces of a split layout give all their split queries, others their cleaned title; of equal
+    queries the first counts. An observation whose title regions give none gets the cleaned title of any of
+    its readings, that of the least region.
+    """
+    order = F.array_position(F.array(*map(F.lit, TITLE_REGIONS)), F.col("region"))
+    r = readings.where(F.size("lines") > 0).withColumn("at", order)
+    single = F.array(normalize_text(clean_title_query(F.col("lines"))))
+    faces = (F.lower("layout_hint") == "split") & F.col("region").isin(*FACE_REGIONS)
+    queries = F.when(F.coalesce(faces, F.lit(False)), split_title_queries(F.col("lines"))).otherwise(single)
+    title = r.where("at > 0").select("obs_id", "at", F.posexplode(queries).alias("pos", "query")).where("query <> ''")
+    first = title.groupBy("obs_id", "query").agg(F.min(F.struct("at", "pos")).alias("p"))
+    ranked = first.select("obs_id", (F.row_number().over(Window.partitionBy("obs_id").orderBy("p.at", "p.pos")) - 1).alias("q_ord"), "query")
+    rest = r.select("obs_id", "region", single[0].alias("query")).where("query <> ''").join(title.select("obs_id").distinct(), "obs_id", "left_anti")
+    fallback = rest.groupBy("obs_id").agg(F.min_by("query", F.struct(F.coalesce("region", F.lit("")), F.col("query"))).alias("query")).select("obs_id", F.lit(0).alias("q_ord"), "query")
+    return ranked.unionByName(fallback)

@@ -188,3 +188,23 @@ def visual_rerank(candidates: DataFrame, window: float, most: int, factor: float
     moved = F.coalesce(F.col("s").isNotNull() & (F.col("top") >= least) & (F.col("top") - F.col("second") >= lead), F.lit(False))
     delta = F.round((F.col("sim") - 0.5) * factor, 4)
     return t.withColumn("moved", moved).withColumn("score", F.when(F.col("moved"), clamp(F.col("score") + delta)).otherwise(F.col("score"))).drop("near", "s", "top", "second", "rn")
+
+
+def visual_pool(candidates: DataFrame, least: float = 0.92, lead: float = 0.06) -> DataFrame:
+    """(obs_id, ord, similarity, margin, score) of observations that pictures alone decide.
+
+    ``candidates`` has obs_id, ord and sim. The most similar (the first of equals) wins if it reaches
+    ``least`` and leads the next by ``lead``, an only one by its whole similarity; its score is the
+    similarity raised by half the margin, by ``lead`` at most. Null similarities don't take part.
+    """
+    w = Window.partitionBy("obs_id").orderBy(F.desc("sim"), "ord")
+    r = candidates.where(F.col("sim").isNotNull()).select("obs_id", "ord", "sim", F.row_number().over(w).alias("rn"), F.coalesce(F.lead("sim").over(w), F.lit(0.0)).alias("next"))
+    margin = F.round(F.col("sim") - F.col("next"), 4)
+    won = r.where((F.col("rn") == 1) & (F.col("sim") >= least) & (margin >= lead))
+    return won.select("obs_id", "ord", F.col("sim").alias("similarity"), margin.alias("margin"), clamp(F.col("sim") + F.least(F.lit(lead), margin * 0.5)).alias("score"))
+
+
+def external_top(configured: Column, pool: Column, expected: Column) -> Column:
+    """How many results to ask of an external engine: three a pool record, 100 at most; 20 where one card is expected."""
+    own = F.greatest(F.lit(1), F.coalesce(configured, F.lit(1)))
+    return F.when(F.coalesce(pool, F.lit(0)) > 0, F.greatest(own, F.least(F.lit(100), pool * 3))).when(expected, F.greatest(own, F.lit(20))).otherwise(own)
