@@ -13,7 +13,7 @@ from weftline.plans.registry import Registry
 from weftline.plans.score_queries import _C, candidates
 from weftline.plans.text_queries import norm_sql
 from weftline.session import shared_folder, table
-from weftline.streaming.state import count_pairs, event_stream, latest_store, pool_snapshot
+from weftline.streaming.state import count_pairs, event_stream, latest_store, pool_snapshot, track_pool
 
 query = Registry()
 
@@ -33,9 +33,19 @@ _POOL = f"(SELECT mode AS session, predicted_name AS name, predicted_set_code AS
 
 @query(f"SELECT session, name, set_code, collector_number, arg_max(fingerprint, seq) FILTER (fingerprint IS NOT NULL) AS fingerprint, max(seq) AS seq, count(*) AS updates FROM {_POOL} GROUP BY ALL")
 def ref_r1_r2_tracked_pool(spark, d):
+    """The tracked pool after all events have gone through the stream with state, written and read back."""
     f = facts(spark, d).where("predicted_name is not null")
     e = f.select(F.col("mode").alias("session"), F.col("predicted_name").alias("name"), F.col("predicted_set_code").alias("set_code"), F.col("predicted_collector_number").alias("collector_number"), F.when(F.col("eval_id") % 3 > 0, F.col("path")).alias("fingerprint"), F.col("eval_id").alias("seq"))
-    return pool_snapshot(e)
+    at = shared_folder(spark, "pool")
+    e.write.parquet(f"{at}/events")
+    out = track_pool(event_stream(spark, f"{at}/events"))
+    keep = lambda batch, number: batch.write.mode("overwrite").parquet(f"{at}/updates/batch={number}")
+    out.writeStream.foreachBatch(keep).outputMode("update").option("checkpointLocation", f"{at}/offsets").trigger(availableNow=True).start().awaitTermination()
+    if not f.limit(1).count():
+        return pool_snapshot(e)
+    key = ["session", "name", "set_code", "collector_number"]
+    updates = spark.read.schema("session string, name string, set_code string, collector_number string, fingerprint string, seq bigint, updates bigint").parquet(f"{at}/updates")
+    return updates.groupBy(*key).agg(F.max_by(F.struct("fingerprint", "seq", "updates"), "updates").alias("r")).select(*key, "r.*")
 
 
 @query("SELECT event_type, json_extract(props, '$.k')::BIGINT AS k, count(*) AS n FROM events GROUP BY ALL")

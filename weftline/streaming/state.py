@@ -9,42 +9,82 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from weftline.operators.pairs import merge_pairs
+from weftline.operators.pairs import keep_newest, merge_pairs
 
 
 def event_stream(spark: SparkSession, path: str, files_per_batch: int = 8) -> DataFrame:
-    """A stream over the Parquet files of a table."""
+    """A stream over the Parquet files of a table: those of a folder, or the one file."""
     schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path if _is_folder(spark, path) else f"{path}*")
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
+    if _status(spark, path).isDirectory():
+        return reader.parquet(path)
+    folder, name = path.rsplit("/", 1)
+    return reader.option("pathGlobFilter", "".join(f"[{c}]" if c in "*?[]{}" else c for c in name)).parquet(folder)
 
 
-def _is_folder(spark: SparkSession, path: str) -> bool:
+def _fs(spark: SparkSession, path: str):
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def count_pairs(events: DataFrame, store_path: str, checkpoint: str) -> None:
+def _status(spark: SparkSession, path: str):
+    p, fs = _fs(spark, path)
+    return fs.getFileStatus(p)
+
+
+def _names(spark: SparkSession, path: str) -> list[str]:
+    p, fs = _fs(spark, path)
+    return [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+
+
+_STORE = "expected_card_id string, actual_card_id string, seen_count bigint, first_seen_utc timestamp, last_seen_utc timestamp"
+
+
+def _part(parts: int):
+    return F.pmod(F.xxhash64("expected_card_id", "actual_card_id"), F.lit(parts)).cast("int")
+
+
+def _versions(spark: SparkSession, store: str) -> dict[int, list[int]]:
+    """Of each part of the store the finished batches that wrote it, in order."""
+    out: dict[int, list[int]] = {}
+    for v in sorted(int(n[2:]) for n in _names(spark, store) if n.startswith("v=") and "_SUCCESS" in _names(spark, f"{store}/{n}")):
+        for p in _names(spark, f"{store}/v={v}"):
+            if p.startswith("part="):
+                out.setdefault(int(p[5:]), []).append(v)
+    return out
+
+
+def _read(spark: SparkSession, paths: list[str]) -> DataFrame:
+    return spark.read.schema(_STORE).parquet(*paths) if paths else spark.createDataFrame([], _STORE)
+
+
+def count_pairs(events: DataFrame, store_path: str, checkpoint: str, parts: int = 16) -> None:
     """Merge (expected_card_id, actual_card_id, seen_at, seq) into the pair store, until no data is left.
 
-    Each batch reads the store of the batch before and writes its own; a repeated batch overwrites
-    what it wrote, so every event counts once.
+    The store is kept in ``parts`` by a hash of the pair. A batch reads and writes only the parts it
+    touches, from the version of an earlier batch to one of its own number; a repeated batch overwrites
+    what it wrote, so every event counts once. The version before the last stays, older ones are removed.
     """
     spark = events.sparkSession
 
     def merge(batch: DataFrame, number: int) -> None:
-        old = spark.read.parquet(f"{store_path}/v={number - 1}") if number else None
-        store = old if old is not None else spark.createDataFrame([], "expected_card_id string, actual_card_id string, seen_count bigint, first_seen_utc timestamp, last_seen_utc timestamp")
-        merge_pairs(store, batch).write.mode("overwrite").parquet(f"{store_path}/v={number}")
+        have = _versions(spark, store_path)
+        touched = sorted(r.part for r in batch.select(_part(parts).alias("part")).distinct().collect())  # at most `parts` rows
+        older = {p: [v for v in have.get(p, []) if v < number] for p in touched}
+        store = _read(spark, [f"{store_path}/v={vs[-1]}/part={p}" for p, vs in older.items() if vs])
+        merge_pairs(store, batch).withColumn("part", _part(parts)).write.mode("overwrite").partitionBy("part").parquet(f"{store_path}/v={number}")
+        for part, vs in older.items():
+            for v in vs[:-1]:
+                p, fs = _fs(spark, f"{store_path}/v={v}/part={part}")
+                fs.delete(p, True)
 
     events.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-def latest_store(spark: SparkSession, store_path: str) -> DataFrame:
-    """The pair store after the last batch."""
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(store_path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    last = max(int(s.getPath().getName()[2:]) for s in fs.listStatus(p) if s.getPath().getName().startswith("v="))
-    return spark.read.parquet(f"{store_path}/v={last}")
+def latest_store(spark: SparkSession, store_path: str, most: int | None = None) -> DataFrame:
+    """The pair store after the last batch; the ``most`` pairs seen last if given."""
+    out = _read(spark, [f"{store_path}/v={vs[-1]}/part={p}" for p, vs in sorted(_versions(spark, store_path).items())])
+    return out if most is None else keep_newest(out, most)
 
 
 _POOL = "session string, name string, set_code string, collector_number string, fingerprint string, seq bigint, updates bigint"
