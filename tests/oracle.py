@@ -34,4 +34,5 @@ def differences(spark, con, f, sql, folder):
     assert sorted(names) == columns
     at = [names.index(c) for c in columns]
     want = sorted(str([plain(r[i]) for i in at]) for r in cur.fetchall())
-    return [x for x in got if x not in set(want)][:3], [x for x in want if x not in set(got)][:3], len(got) - len(want)
+    here, there = set(got), set(want)
+    return [x for x in got if x not in there][:3], [x for x in want if x not in here][:3], len(got) - len(want)
