@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftline.functions import text as T
+from weftline.operators import resolve as R
 from weftline.operators.resolve import candidate_score, fuzzy_names, match
 
 
@@ -84,3 +85,30 @@ def test_type_line_and_lower_text_decide(spark):
     assert got["o", 1].name == "Storm Crow" and got["o", 1].notes == ["fuzzy", "type_line_match", "lower_text_match"]
     assert got["p", 1].name == "Storm Crew" and got["p", 1].notes == ["fuzzy", "type_line_match"]
     assert got["q", 1].notes == ["fuzzy"]
+
+
+def test_the_driver_stays_small(spark, monkeypatch):
+    def built_here(forms):
+        raise AssertionError("a block is built in the driver")
+
+    monkeypatch.setattr(R, "NameBlock", built_here)
+    names = spark.createDataFrame([("bolt", "lightning bolt")], "key string, form string")
+    records = spark.createDataFrame([("bolt", "Lightning Bolt", "normal")], "key string, name string, layout string")
+    obs = spark.createDataFrame([("o", ["lightning bot"], None), ("p", ["Lightning Bolt"], None)], "obs_id string, lines array<string>, layout_hint string")
+    got = match(obs, names, records)
+    assert {(r.obs_id, r.name, r.notes[0]) for r in got.collect()} == {("o", "Lightning Bolt", "fuzzy"), ("p", "Lightning Bolt", "exact")}
+    assert "posexplode" not in got._jdf.queryExecution().optimizedPlan().toString()  # titles are cut out once, not in each branch
+
+
+@pytest.mark.parametrize("block", [50_000, 25])
+def test_long_and_odd_texts_equal_plain_search(spark, block):
+    rnd = random.Random(7)
+    word = lambda: "".join(rnd.choice("abcdé-") for _ in range(rnd.randrange(1, 9)))
+    forms = [(f"k{i % 60}", " ".join(word() for _ in range(rnd.choice((1, 2, 4, 12, 30))))) for i in range(90)]
+    queries = [t[: rnd.randrange(1, len(t) + 1)] + rnd.choice(("", "a", " b")) for _, t in forms] + [t.replace("a", "b", 2) for _, t in forms]
+    q = spark.createDataFrame([(x,) for x in queries], "query string")
+    got = {}
+    for r in fuzzy_names(q, spark.createDataFrame(forms, "key string, form string"), 3, block).collect():
+        got.setdefault(r.query, []).append((round(-r.score, 9), r.key))
+    want = {x: [(round(s, 9), k) for s, k in p] for x in queries if (p := plain(x, forms, 3))}
+    assert {k: sorted(x[0] for x in v) for k, v in got.items()} == {k: sorted(x[0] for x in v) for k, v in want.items()}

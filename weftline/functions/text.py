@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -103,7 +104,15 @@ def is_title_fragment(value: Column) -> Column:
 def split_title_queries(lines: Column) -> Column:
     """Each cleaned line, the first two fragments in both orders, and the joined title; no repeats."""
     kept = F.filter(F.transform(lines, clean_line), lambda x: x != "")
-    parts = F.filter(kept, is_title_fragment)
+    return _once(kept, lambda k: _once(F.filter(k, is_title_fragment), lambda parts: _title_forms(k, parts)))
+
+
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once however often it stands there."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _title_forms(kept: Column, parts: Column) -> Column:
     a, b = F.get(parts, F.lit(0)), F.get(parts, F.lit(1))
     both = F.when(F.size(parts) >= 2, F.array(F.concat(a, F.lit(" // "), b), F.concat(b, F.lit(" // "), a))).otherwise(F.array().cast("array<string>"))
     every = F.concat(kept, both, F.array(F.array_join(F.slice(kept, 1, 2), " ")))

@@ -3,8 +3,8 @@
 Exact hits are equi-joins. Only distinct queries without one are compared with the list: a stated set of
 queries, against blocks of at most ``block_names`` names, each sent to the executors once. Within a block
 the trigram postings give the names that share one, upper bounds of the score, from letter counts, common
-words and common subsequences, put them in order, and the gestalt ratio is computed from the top until
-the bounds fall below the worst of the best found. A bound is never below the score, so nothing is lost.
+words and common subsequences (of many queries at once), put them in order, and the gestalt ratio is
+computed from the top until the bounds fall below the worst of the best found. A bound is never below the score, so nothing is lost.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ import bisect
 import collections
 import difflib
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,9 +24,11 @@ from pyspark.sql.types import DoubleType
 
 from weftline.functions.text import APOSTROPHES, clean_title_query, contains_noise, normalize_text, split_title_queries, title_quality
 from weftline.operators.scoring import clamp
-from weftline.session import tasks
+from weftline.session import cut, tasks
 
 _LETTERS = {c: i for i, c in enumerate("0123456789abcdefghijklmnopqrstuvwxyz ")}
+_OTHER, _NONE = len(_LETTERS), len(_LETTERS) + 1  # any other character, and the places after a text's end
+_AT_ONCE = 256
 
 # Weights and limits of a candidate's score.
 TITLE_WEIGHT, LAYOUT_MATCH, LAYOUT_MISMATCH, NOISY_TITLE = 0.74, 0.03, 0.08, 0.04
@@ -38,13 +41,8 @@ def _grams(v: str) -> set[str]:
     return {p[i : i + 3] for i in range(len(p) - 2)}
 
 
-def _counts(texts: list[str]) -> np.ndarray:
-    out = np.zeros((len(texts), len(_LETTERS)), np.int16)
-    for i, t in enumerate(texts):
-        for c in t:
-            if c in _LETTERS:
-                out[i, _LETTERS[c]] += 1
-    return out
+def _codes(text: str) -> bytes:
+    return bytes(_LETTERS.get(c, _OTHER) for c in text)
 
 
 def in_order(positions: dict[str, int], size: int, text: str) -> int:
@@ -57,17 +55,56 @@ def in_order(positions: dict[str, int], size: int, text: str) -> int:
     return size - v.bit_count()
 
 
+def matched(a: str, b: str) -> int:
+    """Characters in the blocks of a gestalt match, as difflib finds them in texts under 200 characters."""
+    places: dict[str, list[int]] = {}
+    for j, c in enumerate(b):
+        places.setdefault(c, []).append(j)
+    total, todo = 0, [(0, len(a), 0, len(b))]
+    while todo:
+        a_from, a_to, b_from, b_to = todo.pop()
+        at, to, best = a_from, b_from, 0
+        runs: dict[int, int] = {}
+        for i in range(a_from, a_to):
+            longer: dict[int, int] = {}
+            for j in places.get(a[i], ()):
+                if j < b_from:
+                    continue
+                if j >= b_to:
+                    break
+                k = longer[j] = runs.get(j - 1, 0) + 1
+                if k > best:
+                    at, to, best = i - k + 1, j - k + 1, k
+            runs = longer
+        if best:
+            total += best
+            if a_from < at and b_from < to:
+                todo.append((a_from, at, b_from, to))
+            if at + best < a_to and to + best < b_to:
+                todo.append((at + best, a_to, to + best, b_to))
+    return total
+
+
+def gestalt(a: str, b: str) -> float:
+    return difflib.SequenceMatcher(None, a, b).ratio() if len(b) >= 200 else 2.0 * matched(a, b) / (len(a) + len(b))
+
+
 class NameBlock:
-    """Forms of a block of names, with letter counts, words and trigrams."""
+    """Forms of a block of names in order of length, with their letters, words and trigrams."""
 
     def __init__(self, forms: list[tuple[str, str]]):
+        forms = sorted(forms, key=lambda f: (len(f[1]), f))
         self.keys = [k for k, _ in forms]
         self.texts = [t for _, t in forms]
-        self.lengths = np.array([len(t) for t in self.texts], np.float64)
-        self.letters = np.ascontiguousarray(_counts(self.texts).T)  # a row a letter
-        self.first = np.array([t[:1] for t in self.texts], dtype="U1")
-        self.key_ids = np.unique(np.array(self.keys, dtype=object).astype(str), return_inverse=True)[1] if forms else np.empty(0, np.int64)
-        self.n_keys = int(self.key_ids.max(initial=-1)) + 1
+        self.lengths = np.array([len(t) for t in self.texts], np.int32)
+        longest = int(self.lengths.max(initial=1))
+        codes = np.full((len(forms), longest), _NONE, np.uint8)
+        for i, t in enumerate(self.texts):
+            codes[i, : len(t)] = np.frombuffer(_codes(t), np.uint8)
+        self.letters = np.stack([(codes == c).sum(axis=1, dtype=np.int8 if longest < 128 else np.int32) for c in range(_NONE)])  # a row a letter
+        self.codes = np.ascontiguousarray(codes.T)  # a row a place
+        ids = {k: i for i, k in enumerate(dict.fromkeys(self.keys))}
+        self.key_ids = np.array([ids[k] for k in self.keys], np.int32)
         words: dict[str, list[int]] = {}
         grams: dict[str, list[int]] = {}
         for i, t in enumerate(self.texts):
@@ -77,59 +114,119 @@ class NameBlock:
                 grams.setdefault(g, []).append(i)
         self.words = {w: np.array(x, np.int32) for w, x in words.items()}
         self.grams = {g: np.array(x, np.int32) for g, x in grams.items()}
+        self.gram_keys = {g: len(np.unique(self.key_ids[x])) for g, x in self.grams.items()}
 
-    def search(self, query: str, limit: int) -> tuple[list[tuple[str, float, bool]], int]:
-        """(key, score, shares a trigram) of the best keys that score enough, and how many keys share one.
+    def _likely(self, query: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, int, bool]:
+        """(forms, their word overlap, whether they share a trigram, keys that do, whether only these count).
 
-        If enough keys share a trigram only these can count, and the ``limit`` best of them are given
-        (more where the last ones are equal); else all keys that score enough.
+        The forms are those whose letters and words allow the least score. The number of keys is exact
+        where it is below ``FEW_NAMES``, else a lower bound.
         """
-        n = len(self.texts)
-        own = set(query.split())
-        shares = np.zeros(n, bool)
+        size, codes, own = len(query), _codes(query), set(query.split())
+        shares = np.zeros(len(self.texts), bool)
+        many = 0
         for g in _grams(query):
             if g in self.grams:
                 shares[self.grams[g]] = True
-        sharing = np.flatnonzero(shares)
-        keys = np.zeros(self.n_keys, bool)
-        keys[self.key_ids[sharing]] = True
-        many = int(np.count_nonzero(keys))
-        narrow = many >= FEW_NAMES and len(query) >= SHORT_QUERY
-        at = sharing if narrow else np.arange(n)
-        overlap = np.zeros(n)
-        for w in own:
-            if w in self.words:
-                overlap[self.words[w]] += 1 / len(own)
-        overlap = overlap[at]
-        common = np.zeros(len(at), np.int32)
-        for c, k in collections.Counter(query).items():
-            if c in _LETTERS:
-                common += np.minimum(self.letters[_LETTERS[c]][at], k)
-        total = self.lengths[at] + len(query)
-        begins = np.where(self.first[at] == query[:1], 0.05, 0.0)  # one can only begin with the other if both begin alike
-        bound = 1.5 * common / total + 0.25 * overlap + begins
-        some = np.flatnonzero(bound >= LEAST_SCORE - 1e-9)
-        some = some[np.argsort(-bound[some], kind="stable")]
+                many = max(many, self.gram_keys[g])
+        if many < FEW_NAMES:
+            many = len(np.unique(self.key_ids[shares]))
+        narrow = many >= FEW_NAMES and size >= SHORT_QUERY
+        counts = collections.Counter(codes)
+
+        def common(part) -> np.ndarray:
+            out = np.zeros_like(self.letters[0, part])
+            least = np.empty_like(out)
+            for c, k in counts.items():
+                out += np.minimum(self.letters[c, part], min(k, 127) if out.dtype == np.int8 else k, out=least)
+            return out
+
+        # Without a common word the lengths differ by a factor of two at most: 1.5 x the shorter / both + 0.05 >= 0.55.
+        lo, hi = np.searchsorted(self.lengths, [(size + 1) // 2, 2 * size + 1]).tolist()
+        total = self.lengths[lo:hi] + size
+        near = common(slice(lo, hi))
+        fits = 30 * near.astype(np.int32) >= (11 - (self.codes[0, lo:hi] == codes[0])) * total
+        if narrow:
+            fits &= shares[lo:hi]
+        found = [self.words[w] for w in own if w in self.words]
+        at, n = np.unique(np.concatenate(found), return_counts=True) if found else (np.empty(0, np.int64), np.empty(0, np.int64))
+        inside = (at >= lo) & (at < hi)
+        fits[at[inside] - lo] = False
+        overlap = n / max(1, len(own))
+        letters = np.empty(len(at))
+        letters[inside], letters[~inside] = near[at[inside] - lo], common(at[~inside])
+        bound = 1.5 * letters / (self.lengths[at] + size) + 0.25 * overlap + np.where(self.codes[0, at] == codes[0], 0.05, 0.0)
+        some = bound >= LEAST_SCORE - 1e-9
+        if narrow:
+            some &= shares[at]
+        rest = np.flatnonzero(fits) + lo
+        forms = np.concatenate([rest, at[some]])
+        return forms, np.concatenate([np.zeros(len(rest)), overlap[some]]), shares[forms], many, narrow
+
+    def _in_order(self, queries: list[str], forms: np.ndarray, of: np.ndarray) -> np.ndarray:
+        """Length of the longest common subsequence of each form and the query ``of`` it, at most 64 characters long."""
+        bits = np.zeros((len(queries), _NONE + 1), np.uint64)
+        full = np.zeros(len(queries), np.uint64)
+        for i, q in enumerate(queries):
+            masks: dict[int, int] = {}
+            for j, c in enumerate(_codes(q[:64])):
+                masks[c] = masks.get(c, 0) | 1 << j
+            for c, m in masks.items():
+                bits[i, c] = m
+            full[i] = (1 << min(64, len(q))) - 1
+        order = np.argsort(-self.lengths[forms], kind="stable")  # the longest first, so that those not yet at their end come first
+        forms, of = forms[order], of[order]
+        left, base, flat = self.lengths[forms], of.astype(np.int64) * (_NONE + 1), bits.ravel()
+        v = full[of]
+        for j in range(int(left.max(initial=0))):
+            n = int(np.searchsorted(-left, -j))
+            w = v[:n]
+            u = w & flat[base[:n] + self.codes[j, forms[:n]]]
+            v[:n] = (w + u) | (w - u)
+        out = np.empty(len(order), np.int64)
+        out[order] = np.bitwise_count(full[of]).astype(np.int64) - np.bitwise_count(v & full[of])
+        return out
+
+    def search(self, queries: list[str], limit: int) -> Iterator[tuple[list[tuple[str, float, bool]], int]]:
+        """For each query (key, score, shares a trigram) of the best keys that score enough, and how many keys share one.
+
+        If enough keys share a trigram only these can count, and the ``limit`` best of them are given
+        (more where the last ones are equal); else all keys that score enough. The number is exact where
+        it is below ``FEW_NAMES``.
+        """
+        for start in range(0, len(queries), _AT_ONCE):
+            some = queries[start : start + _AT_ONCE]
+            likely = [self._likely(q) for q in some]
+            sizes = [len(x[0]) for x in likely]
+            lengths = self._in_order(some, np.concatenate([x[0] for x in likely]), np.repeat(np.arange(len(some)), sizes))
+            end = 0
+            for q, (forms, overlap, shares, many, narrow), n in zip(some, likely, sizes):
+                end += n
+                yield self._best(q, forms, overlap, shares, lengths[end - n : end], narrow, limit), many
+
+    def _best(self, query: str, forms: np.ndarray, overlap: np.ndarray, shares: np.ndarray, lengths: np.ndarray, narrow: bool, limit: int) -> list[tuple[str, float, bool]]:
+        if len(query) > 64:
+            positions: dict[str, int] = {}
+            for j, c in enumerate(query):
+                positions[c] = positions.get(c, 0) | 1 << j
+            lengths = np.array([in_order(positions, len(query), self.texts[i]) for i in forms.tolist()], np.int64)
+        # The blocks of a gestalt match stand in order, so they can't be longer than this; 0.05 is for a beginning.
+        bound = 1.5 * lengths / (self.lengths[forms] + len(query)) + 0.25 * overlap + np.where(self.codes[0, forms] == _codes(query[:1])[0], 0.05, 0.0)
+        kept = np.flatnonzero(bound >= LEAST_SCORE - 1e-9)
+        kept = kept[np.argsort(-bound[kept], kind="stable")]
         best: dict[str, tuple[float, bool]] = {}
         top: list[float] = []  # the best scores of different keys, worst first
         least = LEAST_SCORE
-        positions: dict[str, int] = {}
-        for j, c in enumerate(query):
-            positions[c] = positions.get(c, 0) | 1 << j
-        match = difflib.SequenceMatcher(None, query, "")
-        for j in some.tolist():
-            if bound[j] < least - 1e-9:
+        for i, b, words, shared in zip(forms[kept].tolist(), bound[kept].tolist(), overlap[kept].tolist(), shares[kept].tolist()):
+            if b < least - 1e-9:
                 break
-            i = int(at[j])
             t = self.texts[i]
-            extra = 0.25 * overlap[j] + (0.05 if t.startswith(query) or query.startswith(t) else 0.0)
-            # The blocks of a gestalt match stand in order, so they can't be longer than this.
-            if 1.5 * in_order(positions, len(query), t) / total[j] + extra < least - 1e-9:
+            begins = t.startswith(query) or query.startswith(t)
+            if not begins and t[0] == query[0] and b - 0.05 < least - 1e-9:
                 continue
-            match.set_seq2(t)
-            s = min(0.99, 0.75 * match.ratio() + extra)
+            s = min(0.99, 0.75 * gestalt(query, t) + 0.25 * words + (0.05 if begins else 0.0))
             if s >= LEAST_SCORE:
-                key, shared = self.keys[i], bool(shares[i])
+                key = self.keys[i]
                 old = best.get(key)
                 best[key] = (s, shared) if old is None else (max(s, old[0]), shared or old[1])
                 if narrow and (old is None or s > old[0]):
@@ -140,7 +237,17 @@ class NameBlock:
                         top.pop(0)
                     if len(top) == limit:
                         least = max(LEAST_SCORE, top[0])
-        return [(k, s, sh) for k, (s, sh) in best.items() if s >= least - 1e-9], many
+        return [(k, s, sh) for k, (s, sh) in best.items() if s >= least - 1e-9]
+
+
+_built: dict[str, NameBlock] = {}  # of a Python worker: the block that it used last
+
+
+def _block(name: str, forms: list[tuple[str, str]]) -> NameBlock:
+    if name not in _built:
+        _built.clear()
+        _built[name] = NameBlock(forms)
+    return _built[name]
 
 
 def fuzzy_names(queries: DataFrame, names: DataFrame, limit: int = 5, block_names: int = 50_000) -> DataFrame:
@@ -148,7 +255,8 @@ def fuzzy_names(queries: DataFrame, names: DataFrame, limit: int = 5, block_name
 
     ``names`` has key and form, several forms a key. A key counts if it shares a trigram with the
     query; where fewer than 12 do, or the query has fewer than 4 characters, all keys count.
-    Null and empty queries give no row.
+    Null and empty queries give no row. The driver holds the forms of one block at a time; what
+    is needed to search them is built on the executors.
     """
     spark = queries.sparkSession
     asked = queries.where(F.length("query") > 0).select("query").distinct().repartition(tasks(spark) * 2, "query")
@@ -158,20 +266,28 @@ def fuzzy_names(queries: DataFrame, names: DataFrame, limit: int = 5, block_name
     out = None
     for b in range(blocks):
         part = forms.where(F.pmod(F.xxhash64("key"), F.lit(blocks)) == b)
-        block = spark.sparkContext.broadcast(NameBlock([(r.key, r.form) for r in part.toLocalIterator()]))
+        sent, name = spark.sparkContext.broadcast([(r.key, r.form) for r in part.toLocalIterator()]), uuid.uuid4().hex
 
-        def look(batches: Iterator[pd.DataFrame], block=block) -> Iterator[pd.DataFrame]:
+        def look(batches: Iterator[pd.DataFrame], sent=sent, name=name) -> Iterator[pd.DataFrame]:
+            block = _block(name, sent.value)
             for batch in batches:
-                rows = []
-                for q in batch["query"]:
-                    hits, n = block.value.search(q, limit)
-                    rows += [(q, k, s, sh, n) for k, s, sh in hits] or [(q, None, None, False, n)]
+                rows, now = [], batch["query"].tolist()
+                for q, (hits, n) in zip(now, block.search(now, limit)):
+                    if blocks == 1:  # all is known here
+                        every = n < FEW_NAMES or len(q) < SHORT_QUERY
+                        best = sorted((-s, k) for k, s, shared in hits if shared or every)[:limit]
+                        rows += [(q, k, -s, True, i) for i, (s, k) in enumerate(best, 1)]
+                    else:
+                        rows += [(q, k, s, sh, n) for k, s, sh in hits] or [(q, None, None, False, n)]
                 yield pd.DataFrame(rows, columns=["query", "key", "score", "shares", "n"])
 
-        found = asked.mapInPandas(look, "query string, key string, score double, shares boolean, n int").withColumn("block", F.lit(b))
+        found = asked.mapInPandas(look, "query string, key string, score double, shares boolean, n int")
+        if blocks == 1:
+            return found.select("query", "key", "score", F.col("n").alias("rank"))
+        found = found.withColumn("block", F.lit(b))
         out = found if out is None else out.unionByName(found)
     per_block = Window.partitionBy("query", "block")
-    one = out.withColumn("first", F.row_number().over(per_block.orderBy("key")))
+    one = out.repartition("query").withColumn("first", F.row_number().over(per_block.orderBy("key")))
     shared = F.sum(F.when(F.col("first") == 1, F.col("n"))).over(Window.partitionBy("query"))
     kept = one.withColumn("shared", shared).where(F.col("key").isNotNull() & (F.col("shares") | (F.col("shared") < FEW_NAMES) | (F.length("query") < SHORT_QUERY)))
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "key"))
@@ -192,15 +308,16 @@ def match(observations: DataFrame, names: DataFrame, records: DataFrame, limit:
     better title, the earlier. Observations without any match get the joined title alone, with the
     score 0.2.
     """
-    asked = title_queries(observations)
-    exact = asked.join(names.select(F.col("form").alias("query"), "key").distinct(), "query").select("obs_id", "q_ord", "query", "key", F.lit(1.0).alias("score"), F.lit("exact").alias("kind"))
-    settled = exact.select("obs_id").distinct()
-    open_ = asked.join(settled, "obs_id", "left_anti")
+    # Cut where a result is read more than once: the plans, of which the driver holds a text for every change, stay small.
+    asked = cut(title_queries(observations))
+    exact = cut(asked.join(names.select(F.col("form").alias("query"), "key").distinct(), "query").select("obs_id", "q_ord", "query", "key", F.lit(1.0).alias("score"), F.lit("exact").alias("kind")))
+    open_ = asked.join(exact.select("obs_id").distinct(), "obs_id", "left_anti")
     fuzzy = open_.join(fuzzy_names(open_, names, limit * 3), "query").select("obs_id", "q_ord", "query", "key", "score", F.lit("fuzzy").alias("kind"))
-    hits = exact.unionByName(fuzzy)
-    tops = hits.groupBy("obs_id", "q_ord", "query").agg(F.max("score").alias("top"))
-    best = tops.groupBy("obs_id").agg(F.min_by(F.struct("q_ord", "query"), F.struct(-F.col("top"), -title_quality(F.col("query")), "q_ord")).alias("b")).select("obs_id", "b.q_ord")
-    chosen = hits.join(best, ["obs_id", "q_ord"]).join(records, "key").join(observations.drop("lines"), "obs_id")
+    per_obs = Window.partitionBy("obs_id")
+    tops = exact.unionByName(fuzzy).repartition("obs_id").withColumn("top", F.max("score").over(Window.partitionBy("obs_id", "q_ord"))).withColumn("most", F.max("score").over(per_obs)).where("top = most")
+    best = tops.withColumn("first", F.min(F.struct((-title_quality(F.col("query"))).alias("quality"), "q_ord")).over(per_obs)).where("q_ord = first.q_ord")
+    hits = cut(best.select("obs_id", "query", "key", "score", "kind"))
+    chosen = hits.join(records, "key").join(observations.drop("lines"), "obs_id")
     hint, layout = F.lower("layout_hint"), F.lower("layout")
     known = (F.coalesce(F.col("layout_hint"), F.lit("")) != "") & (F.coalesce(F.col("layout"), F.lit("")) != "")
     same = (hint == layout) | (hint.isin("transform", "modal_dfc") & layout.isin("transform", "modal_dfc"))
